@@ -12,8 +12,9 @@ from pyspark.sql import Column, functions as F
 
 # 2**32 + 1: eight hex digits plus one, divided by this, lie strictly between 0 and 1.
 _UNIFORM_SPAN = 4294967297.0
-# Hex digits read for the bit length of a draw (60 bits fit a signed long).
-_LEVEL_DIGITS = 15
+# Draws of 16 hex digits that one sha256 digest holds.
+WORDS_PER_DIGEST = 4
+_WORD_DIGITS = 16
 
 
 def draw_hash(seed: int, salt: str, *keys: Column | str) -> Column:
@@ -40,17 +41,35 @@ def draw_index(h: Column, n: Column) -> Column:
     return F.when(n > 0, F.pmod(hex_word(h, 0), n))
 
 
-def hash_bucket(h: Column, bits: int = 16) -> Column:
-    """Leading bits of the hash: buckets that follow the order of the hash itself."""
-    digits = math.ceil(bits / 4)
-    return F.shiftright(F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint"), 4 * digits - bits)
+def hash_bucket(h: Column, digits: int = 4) -> Column:
+    """Leading hex digits of the hash: 16**digits buckets that follow the order of the hash itself."""
+    return F.substring(h, 1, digits)
+
+
+def round_digests(seed: int, salt: str, rounds: int, *keys: Column | str) -> dict[str, Column]:
+    """The digests that draws of so many rounds need, as columns to be added first."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    out = {}
+    for i in range(-(-rounds // WORDS_PER_DIGEST)):
+        parts = [F.lit(str(seed)), F.lit(salt), F.lit(str(i)), *[c.cast("string") for c in cols]]
+        out[f"_digest{i}"] = F.sha2(F.concat_ws(":", *parts), 256)
+    return out
+
+
+def round_draws(rounds: int) -> Column:
+    """One draw of 16 hex digits per round, as an array over the columns of ``round_digests``."""
+    return F.array(
+        *[
+            F.substring(f"_digest{r // WORDS_PER_DIGEST}", _WORD_DIGITS * (r % WORDS_PER_DIGEST) + 1, _WORD_DIGITS)
+            for r in range(rounds)
+        ]
+    )
 
 
 def draw_level(h: Column) -> Column:
-    """Number of leading zero bits (0 to 59). Half the rows have level 0, a quarter level 1, ...
+    """Number of leading zero digits: each level holds about a sixteenth of the rows of the one before.
 
-    A smaller hash never has a smaller level, so "the q smallest hashes of a group" all lie at or
-    above the highest level that still holds q rows.
+    A smaller draw never has a smaller level, so "the q smallest draws of a group" all lie at or above
+    the highest level that, with those above it, still holds q rows.
     """
-    word = F.conv(F.substring(h, 1, _LEVEL_DIGITS), 16, 10).cast("bigint")
-    return F.lit(4 * _LEVEL_DIGITS) - F.length(F.bin(word))
+    return F.length(h) - F.length(F.ltrim(h, F.lit("0")))

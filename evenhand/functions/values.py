@@ -56,6 +56,21 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(numerator / F.nullif(denominator.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def fixed(value: Column, digits: int = 4) -> Column:
+    """Text with a fixed number of digits, rounded half to even on the exact binary value.
+
+    The value is split into 26 fractional bits and a remainder, whose products with a power of ten are
+    both exact, so a tie is told apart from values that only look like one in decimals.
+    """
+    scale, bits = F.lit(float(10**digits)), F.lit(float(2**26))
+    size = F.abs(value)
+    high = F.floor(size * bits) / bits
+    units = F.floor(size * scale)
+    above = (high * scale - (units + F.lit(0.5))) + (size - high) * scale
+    rounded = F.when(above > 0, units + 1).when(above < 0, units).otherwise(units + units % 2)
+    return F.format_string(f"%.{digits}f", F.signum(value) * rounded / scale)
+
+
 def mean_and_spread(mean: Column, std: Column, digits: int = 4) -> Column:
     """``mean +/- std`` as text with a fixed number of digits."""
-    return F.format_string(f"%.{digits}f +/- %.{digits}f", mean, std)
+    return F.concat(fixed(mean, digits), F.lit(" +/- "), fixed(std, digits))

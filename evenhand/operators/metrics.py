@@ -188,6 +188,20 @@ def ranking_metrics(
     )
 
 
+def two_predictions(df: DataFrame, by: Sequence[str], first: str, second: str) -> DataFrame:
+    """``(by..., which, c_a?y?p?)``: the counts of two prediction columns from one pass."""
+    both = df.select(
+        *by, "a", "y",
+        F.explode(
+            F.array(
+                F.struct(F.lit(first).alias("which"), F.col(first).alias("pred")),
+                F.struct(F.lit(second).alias("which"), F.col(second).alias("pred")),
+            )
+        ).alias("_p"),
+    ).select(*by, "a", "y", "_p.which", "_p.pred")
+    return outcome_counts(both, [*by, "which"])
+
+
 def pick_threshold(df: DataFrame, score: str = "f", by: Sequence[str] = (), groups: int | None = 1) -> DataFrame:
     """``(by..., threshold, balanced)``: the score quantile with the best mean of TPR and TNR.
 
@@ -195,21 +209,24 @@ def pick_threshold(df: DataFrame, score: str = "f", by: Sequence[str] = (), grou
     candidates below its score, instead of once per candidate.
     """
     by = list(by)
-    positions = [F.col("_last") * F.lit(i) / F.lit(float(CANDIDATES + 1)) for i in range(1, CANDIDATES + 1)]
-    candidates = exact_quantiles(df, score, positions, by, groups)
+    candidates = exact_quantiles(df, score, range(1, CANDIDATES + 1), CANDIDATES + 1, by, groups)
     if by:
         met = df.join(small_side(candidates, groups), by)
     else:
         met = df.withColumn("quantiles", candidates.select("quantiles").scalar())
-    counted = met.groupBy(*by, F.size(F.filter("quantiles", lambda c: F.col(score) > c)).alias("_k")).agg(
+    # The outer transform binds the score to a variable, which is then compared with each candidate.
+    below = F.transform(F.array(score), lambda v: F.size(F.filter("quantiles", lambda c: v > c)))[0]
+    counted = met.groupBy(*by, below.alias("_k")).agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("_n"),
+        F.first("quantiles").alias("quantiles"),
     )
     # A row that is above k candidates is predicted positive by the first k of them.
     cells = counted.groupBy(*by).agg(
         F.sum("_p").alias("_all_p"),
         F.sum("_n").alias("_all_n"),
         F.collect_list(F.struct("_k", "_p", "_n")).alias("_cells"),
+        F.first("quantiles").alias("quantiles"),
     )
 
     def above(i: Column, field: str) -> Column:
@@ -227,8 +244,7 @@ def pick_threshold(df: DataFrame, score: str = "f", by: Sequence[str] = (), grou
     )
     both = (F.col("_all_p") > 0) & (F.col("_all_n") > 0)
     best = cells.withColumn("_best", F.when(both, F.array_max(candidates_row)))
-    joined = best.join(candidates, by) if by else best.crossJoin(F.broadcast(candidates))
-    return joined.select(
+    return best.select(
         *by,
         F.when(both, F.element_at("quantiles", 1 - F.col("_best.first"))).otherwise(F.lit(0.0)).alias("threshold"),
         F.coalesce(F.col("_best.balanced"), F.lit(0.0)).alias("balanced"),

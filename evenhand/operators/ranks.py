@@ -28,138 +28,163 @@ def values_at_ranks(
     df: DataFrame,
     value: Column,
     bucket: Column,
-    wanted: DataFrame,
+    ranks: Column | DataFrame,
     by: Sequence[str] = (),
     bound: int | None = None,
 ) -> DataFrame:
-    """The value at each 0-based rank in ``wanted(by..., ranks ARRAY<BIGINT>)``, per ``by``.
+    """The values at 0-based ranks per ``by``: ``(by..., total, at MAP<rank, value>)``.
 
-    ``bound`` bounds the number of rows of ``wanted`` times the number of ranks.
-    Returns ``(by..., rank, value)``.
+    ``ranks`` is an array expression of ``total``, the rows of the stratum (and of ``by``), or a small
+    table ``(by..., ranks)``. Ranks beyond the stratum have no entry. ``bound`` bounds the number of
+    strata times ranks.
     """
-    by = list(by)
+    keys = list(by) or ["_all"]
     rows = df.select(*by, bucket.alias("_bucket"), value.alias("_value"))
     if not by:
-        # One constant stratum, so that the joins below are equi-joins.
-        by_keys = ["_all"]
         rows = rows.withColumn("_all", F.lit(0))
-        wanted = wanted.withColumn("_all", F.lit(0))
+    histogram = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    stratum = Window.partitionBy(*keys)
+    before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = histogram.withColumns(
+        {"_start": F.coalesce(F.sum("_n").over(before), F.lit(0)), "total": F.sum("_n").over(stratum)}
+    )
+    if isinstance(ranks, Column):
+        placed = placed.withColumn("ranks", ranks)
     else:
-        by_keys = by
-    histogram = rows.groupBy(*by_keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by_keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = histogram.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        placed = placed.join(small_side(ranks, bound), keys)
+    # The wanted ranks line up with the bucket starts (the first bucket brings them along), and each
+    # takes the last bucket that starts at or before it.
+    own = F.struct(
+        F.col("_start").alias("pos"), F.lit(0).alias("wanted"), F.col("_bucket").alias("bucket"), F.col("_start").alias("start")
+    )
+    missing = F.lit(None)
+    lookups = F.transform(
+        F.array_distinct("ranks"),
+        lambda r: F.struct(
+            r.cast("bigint").alias("pos"),
+            F.lit(1).alias("wanted"),
+            missing.cast(placed.schema["_bucket"].dataType).alias("bucket"),
+            missing.cast("bigint").alias("start"),
+        ),
+    )
+    events = placed.select(
+        *keys,
+        "total",
+        F.inline(F.when(F.col("_start") == 0, F.concat(F.array(own), lookups)).otherwise(F.array(own))),
+    )
+    so_far = stratum.orderBy("pos", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
-        offsets.join(small_side(wanted, bound), by_keys)
-        .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n"))))
-        .filter(F.size("ranks") > 0)
-        .select(*by_keys, "_bucket", "_start", "ranks")
+        events.withColumns(
+            {
+                "_bucket": F.last("bucket", ignorenulls=True).over(so_far),
+                "_start": F.last("start", ignorenulls=True).over(so_far),
+            }
+        )
+        .filter((F.col("wanted") == 1) & (F.col("pos") < F.col("total")))
+        .groupBy(*keys, "_bucket", "_start", "total")
+        .agg(F.collect_list("pos").alias("ranks"))
     )
-    # Only the buckets with a wanted rank; equal values are counted before the shuffle.
+    # Only rows in the buckets with a wanted rank go on; equal values are counted before the shuffle.
     counted = (
-        rows.join(small_side(hits.select(*by_keys, "_bucket"), bound), [*by_keys, "_bucket"], "left_semi")
-        .groupBy(*by_keys, "_bucket", "_value")
-        .agg(F.count("*").alias("_n"))
+        rows.join(small_side(hits, bound), [*keys, "_bucket"])
+        .groupBy(*keys, "_bucket", "_value")
+        .agg(
+            F.count("*").alias("_n"),
+            F.first("_start").alias("_start"),
+            F.first("total").alias("total"),
+            F.first("ranks").alias("ranks"),
+        )
     )
     upto = (
-        Window.partitionBy(*by_keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(hits, [*by_keys, "_bucket"])
-    return (
-        placed.withColumn(
-            "rank",
-            F.explode(
-                F.filter(
-                    "ranks",
-                    lambda r: (r >= F.col("_start") + F.col("_upto") - F.col("_n"))
-                    & (r < F.col("_start") + F.col("_upto")),
-                )
-            ),
+    end = F.col("_start") + F.sum("_n").over(upto)
+    found = (
+        counted.withColumn("_end", end)
+        .withColumn(
+            "_rank",
+            F.explode(F.filter("ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.first("total").alias("total"),
+            F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("at"),
         )
-        .select(*by, "rank", F.col("_value").alias("value"))
     )
+    return found if by else found.drop("_all")
 
 
 def exact_quantiles(
     df: DataFrame,
     value: str,
-    quantiles: Sequence[Column],
+    parts: Sequence[int],
+    of: int,
     by: Sequence[str] = (),
     groups: int | None = 1,
     resolution: int = VALUE_RESOLUTION,
 ) -> DataFrame:
-    """Linearly interpolated quantiles, exact: ``(by..., quantiles ARRAY<DOUBLE>)``.
+    """Linearly interpolated quantiles ``part / of``, exact: ``(by..., quantiles ARRAY<DOUBLE>)``.
 
-    ``quantiles`` holds one expression of ``n - 1`` (column ``_last``) per quantile, its position.
     ``groups`` bounds the number of ``by`` groups, None where it is unknown.
     """
-    by = list(by)
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*by).agg((F.count("*") - 1).alias("_last")).filter(F.col("_last") >= 0)
-    positions = sizes.select(*by, F.array(*quantiles).alias("positions"))
-    wanted = positions.select(
-        *by,
-        F.array_distinct(
-            F.concat(
-                F.transform("positions", lambda p: F.floor(p).cast("bigint")),
-                F.transform("positions", lambda p: F.ceil(p).cast("bigint")),
-            )
-        ).alias("ranks"),
+    positions = F.transform(
+        F.expr(f"array({', '.join(map(str, parts))})"), lambda n: (F.col("total") - 1) * n / F.lit(float(of))
     )
-    bound = None if groups is None else groups * 2 * len(quantiles)
-    found = (
-        values_at_ranks(rows, F.col("_v"), value_bucket(F.col("_v"), resolution), wanted, by, bound)
-        .groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    neighbours = F.concat(
+        F.transform(positions, lambda p: F.floor(p).cast("bigint")),
+        F.transform(positions, lambda p: F.ceil(p).cast("bigint")),
     )
-    joined = found.join(positions, by) if by else found.crossJoin(F.broadcast(positions))
+    bound = None if groups is None else groups * 2 * len(parts)
+    found = values_at_ranks(rows, F.col("_v"), value_bucket(F.col("_v"), resolution), neighbours, by, bound)
 
-    def interpolate(p: Column) -> Column:
+    def interpolated(p: Column) -> Column:
         low = F.element_at("at", F.floor(p).cast("bigint"))
         high = F.element_at("at", F.ceil(p).cast("bigint"))
         return low + (high - low) * (p - F.floor(p))
 
-    return joined.select(*by, F.transform("positions", interpolate).alias("quantiles"))
+    return found.select(*by, F.transform(positions, interpolated).alias("quantiles"))
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = (), groups: int | None = 1) -> DataFrame:
     """``(by..., median)``; the mean of the two middle values where the count is even."""
-    half = F.col("_last") * F.lit(0.5)
-    out = exact_quantiles(df, value, [half], by, groups)
+    out = exact_quantiles(df, value, [1], 2, by, groups)
     return out.select(*by, F.col("quantiles")[0].alias("median"))
 
 
 def shuffle_cuts(
     df: DataFrame,
     h: Column,
-    cuts: DataFrame,
+    counts: Sequence[Column] | DataFrame,
     by: Sequence[str] = (),
     bound: int | None = None,
-    bits: int = 16,
+    digits: int = 4,
 ) -> DataFrame:
     """Hashes that cut a table, taken in hash order, after given numbers of rows.
 
-    ``cuts(by..., counts ARRAY<BIGINT>)`` asks for the hash of row ``count``; rows from that hash on
-    are behind the cut. Returns ``(by..., cut_hashes ARRAY<STRING>)``. A count that reaches the size
-    of the stratum has no row behind it and is left out.
-    ``bits`` sets the histogram: about 2**-bits of the rows are sorted per cut.
+    ``counts`` are expressions of ``total`` (the rows of the stratum) or a table ``(by..., counts)``; rows
+    from the hash of row ``count`` on are behind the cut. Returns ``(by..., cut_hashes ARRAY<STRING>)``,
+    where a count that reaches the size of its stratum, with no row behind it, is null.
+    ``digits`` sets the histogram: about 16**-digits of the rows are sorted per cut.
     """
-    by = list(by)
-    wanted = cuts.select(*by, F.array_distinct("counts").alias("ranks"))
     hashed = df.select(*by, h.alias("_h"))
-    found = (
-        values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), bits), wanted, by, bound)
-        .groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
-    )
-    joined = cuts.join(found, by, "left") if by else cuts.crossJoin(F.broadcast(found))
-    hashes = F.filter(F.transform("counts", lambda c: F.try_element_at("_at", c)), lambda v: v.isNotNull())
-    return joined.select(*by, F.coalesce(hashes, F.array().cast("array<string>")).alias("cut_hashes"))
+    ranks = F.array(*counts) if not isinstance(counts, DataFrame) else counts.withColumnRenamed("counts", "ranks")
+    found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound)
+    if isinstance(counts, DataFrame):
+        found = found.join(counts, list(by))
+    else:
+        found = found.withColumn("counts", ranks)
+    return found.select(*by, F.transform("counts", lambda c: F.try_element_at("at", c)).alias("cut_hashes"))
 
 
 def part_of(h: Column, cut_hashes: Column) -> Column:
-    """Number of cuts at or below the hash: the 0-based part of a row."""
-    return F.size(F.filter(cut_hashes, lambda c: h >= c))
+    """Number of cuts at or below the hash: the 0-based part of a row. A null cut is never reached.
+
+    The outer transform makes the hash a variable, so that it is computed once and not once per cut.
+    """
+    return F.transform(
+        F.array(h), lambda v: F.size(F.filter(cut_hashes, lambda c: F.coalesce(v >= c, F.lit(False))))
+    )[0]
 
 
 def dense_codes(df: DataFrame, column: str, prefix: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from evenhand.functions.values import mean_and_spread, ratio
+from evenhand.functions.values import fixed, mean_and_spread, ratio
 
 # Text that a report shows for a run that does not exist.
 FAILED = "FAILED"
@@ -96,10 +96,6 @@ def fairness_table(rows: DataFrame) -> DataFrame:
     return _report(rows, ["dp_gap", "eo_gap", "eod_gap"])
 
 
-def fixed(value: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", value)
-
-
 def sensitivity_table(runs: DataFrame) -> DataFrame:
     """Sweep runs by dataset and falling accuracy; final, winner and skewed runs are left out."""
     swept = runs.filter(F.col("rho").isNotNull() & F.col("eps").isNotNull())
@@ -113,7 +109,8 @@ def skew_table(expected: DataFrame, runs: DataFrame, keys: Sequence[str] = ("dat
     """Each expected partition with its result, or FAILED where there is none."""
     joined = expected.join(runs, list(keys), "left")
     return joined.select(
-        *keys, *[F.coalesce(fixed(F.col(c)), F.lit(FAILED)).alias(c) for c in ("accuracy", "eo_gap")]
+        *keys,
+        *[F.when(F.col(c).isNull(), FAILED).otherwise(fixed(F.col(c))).alias(c) for c in ("accuracy", "eo_gap")],
     )
 
 

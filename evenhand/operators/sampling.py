@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenhand.functions.draws import draw_hash, draw_level
+from evenhand.functions.draws import draw_level, round_digests, round_draws
 from evenhand.operators.sizes import small_side
 
 STRATA = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -96,15 +96,17 @@ def draw_minibatch(
     Adds ``round`` and ``pos`` (1-based place of the row in its stratum); a stratum gives
     ``min(quota, its size)`` rows, those with the smallest draws.
 
-    Only candidates are shuffled: the draws fall into levels of which each holds about half the rows
-    of the one before, the counts per level are a small table, and rows below the lowest level that
+    Only candidates are shuffled: the draws fall into levels of which each holds about a sixteenth of
+    the rows of the one before, the counts per level are a small table, and rows below the level that
     is needed to fill the quota are dropped where they are read. A stratum of any size therefore
-    sends a few quotas' worth of rows to its task.
+    sends at most some sixteen quotas' worth of rows to its task.
     """
-    drawn = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(
-        "_h", draw_hash(seed, "batch", F.col("round"), F.col(key))
+    digests = round_digests(seed, "batch", rounds, key)
+    drawn = (
+        df.withColumns(digests)
+        .select(*df.columns, F.posexplode(round_draws(rounds)).alias("round", "_h"))
+        .withColumn("_level", draw_level(F.col("_h")))
     )
-    drawn = drawn.withColumn("_level", draw_level(F.col("_h")))
     group = ["round", "client_id", "a", "y"]
     levels = drawn.groupBy(*group, "_level").agg(F.count("*").alias("_n"))
     profile = _with_rates(

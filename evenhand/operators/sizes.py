@@ -29,15 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _bytes(size: str) -> int:
+    """A size setting in bytes: a number, or one with a unit such as 128m or 134217728b."""
+    text = size.strip().lower().removesuffix("b")
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(text[-1:], 1)
+    return int(text.rstrip("kmg")) * unit
+
+
 def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from there.
 
     The table survives lost executors, and its size is known to the planner. It stays in the folder,
-    as checkpoints do, until the folder is cleaned.
+    as checkpoints do, until the folder is cleaned. Its row groups are as large as the share of a scan
+    task, so that the table can be read with as many tasks as the session wants.
     """
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark)}/evenhand/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    share = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    writer = df.write.partitionBy(*partition_by).option("parquet.block.size", _bytes(share))
+    writer.parquet(path)
     # Partition columns come back in their own types, not in those guessed from directory names.
     return spark.read.schema(df.schema).parquet(path)
 

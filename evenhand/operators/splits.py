@@ -16,19 +16,22 @@ from evenhand.operators.ranks import part_of, shuffle_cuts
 from evenhand.operators.sizes import small_side
 
 
-def _cut_globally(df: DataFrame, h: Column, counts: list[Column], output: str) -> DataFrame:
-    """Number the parts of the whole table; ``counts`` are expressions of the row count ``_n``."""
-    cuts = df.agg(F.count("*").alias("_n")).select(F.array(*counts).alias("counts"))
-    hashes = shuffle_cuts(df, h, cuts, bound=len(counts))
-    cut_hashes = hashes.select("cut_hashes").scalar()
-    return df.withColumn("_cuts", cut_hashes).withColumn(output, part_of(h, F.col("_cuts"))).drop("_cuts")
+def _cut_globally(df: DataFrame, h: Column, counts: Sequence[Column], output: str) -> DataFrame:
+    """Number the parts of the whole table; ``counts`` are expressions of its row count ``total``."""
+    cut_hashes = shuffle_cuts(df, h, counts, bound=len(counts)).select("cut_hashes").scalar()
+    # A table whose cuts all lie at its end has no cut row at all.
+    cuts = F.coalesce(cut_hashes, F.array().cast("array<string>"))
+    return df.withColumn("_cuts", cuts).withColumn(output, part_of(h, F.col("_cuts"))).drop("_cuts")
 
 
 def _cut_by_stratum(
-    df: DataFrame, h: Column, cuts: DataFrame, stratum: str, strata: int, parts: int, output: str
+    df: DataFrame, h: Column, counts: Sequence[Column] | DataFrame, stratum: str, strata: int, parts: int, output: str
 ) -> DataFrame:
-    hashes = shuffle_cuts(df, h, cuts, [stratum], bound=strata * parts)
-    return df.join(small_side(hashes, strata * parts), stratum).withColumn(output, part_of(h, F.col("cut_hashes"))).drop("cut_hashes")
+    bound = strata * parts
+    hashes = shuffle_cuts(df, h, counts, [stratum], bound=bound)
+    joined = df.join(small_side(hashes, bound), stratum, "left")
+    cuts = F.coalesce("cut_hashes", F.array().cast("array<string>"))
+    return joined.withColumn(output, part_of(h, cuts)).drop("cut_hashes")
 
 
 def split_by_count(
@@ -41,7 +44,7 @@ def split_by_count(
     salt: str = "split",
 ) -> DataFrame:
     """Column ``split``: the first ``int(n * fraction)`` rows, and the rest."""
-    first = F.greatest(F.lit(at_least), F.floor(F.col("_n") * F.lit(float(fraction)))).cast("bigint")
+    first = F.greatest(F.lit(at_least), F.floor(F.col("total") * F.lit(float(fraction)))).cast("bigint")
     parts = _cut_globally(df, draw_hash(seed, salt, key), [first], "_part")
     return parts.withColumn("split", F.when(F.col("_part") == 0, names[0]).otherwise(names[1])).drop("_part")
 
@@ -78,14 +81,30 @@ def given_split(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
+def even_counts(rows: Column, parts: int, offset: Column | None = None) -> list[Column]:
+    """Where to cut ``rows`` rows into parts that differ by at most one row, larger ones first."""
+    start = F.lit(0).cast("bigint") if offset is None else offset
+    return [
+        (start + F.lit(k) * F.floor(rows / parts) + F.least(F.lit(k).cast("bigint"), rows % parts)).cast("bigint")
+        for k in range(1, parts)
+    ]
+
+
 def partition_iid(df: DataFrame, key: str, seed: int, clients: int) -> DataFrame:
     """Column ``client_id``: shuffled parts whose sizes differ by at most one, larger ones first."""
-    n = F.col("_n")
-    counts = [
-        (F.lit(k) * F.floor(n / clients) + F.least(F.lit(k).cast("bigint"), n % clients)).cast("bigint")
-        for k in range(1, clients)
-    ]
-    return _cut_globally(df, draw_hash(seed, "iid", key), counts, "client_id")
+    return _cut_globally(df, draw_hash(seed, "iid", key), even_counts(F.col("total"), clients), "client_id")
+
+
+def split_and_partition(df: DataFrame, key: str, seed: int, fraction: float, clients: int) -> DataFrame:
+    """Columns ``split`` (val, train) and ``client_id`` in one go: the first ``int(n * fraction)`` rows in
+    hash order are for validation (no client), the others are cut evenly."""
+    held_out = F.floor(F.col("total") * F.lit(float(fraction))).cast("bigint")
+    counts = [held_out, *even_counts(F.col("total") - held_out, clients, held_out)]
+    parts = _cut_globally(df, draw_hash(seed, "split", key), counts, "_part")
+    held = F.col("_part") == 0
+    return parts.withColumns(
+        {"split": F.when(held, "val").otherwise("train"), "client_id": F.when(~held, F.col("_part") - 1)}
+    ).drop("_part")
 
 
 def dirichlet_shares(classes: Sequence[int], clients: int, alpha: float, seed: int) -> dict[int, list[float]]:
@@ -99,14 +118,17 @@ def partition_by_shares(
 ) -> DataFrame:
     """Column ``client_id``: each class is cut at ``int(cumulative share * class size)``."""
     clients = len(next(iter(shares.values())))
-    size = F.col("_n")
-    counts = None
-    for value, class_shares in shares.items():
-        upto = np.cumsum(class_shares)[:-1]
-        expression = F.array(*[F.floor(F.lit(float(u)) * size).cast("bigint") for u in upto])
-        counts = F.when(F.col(label) == value, expression) if counts is None else counts.when(F.col(label) == value, expression)
-    cuts = df.groupBy(label).agg(F.count("*").alias("_n")).select(label, counts.alias("counts"))
-    return _cut_by_stratum(df, draw_hash(seed, "skew", key), cuts, label, len(shares), clients, "client_id")
+    uptos = {value: np.cumsum(class_shares)[:-1] for value, class_shares in shares.items()}
+
+    def upto(k: int) -> Column:
+        cases = [(F.col(label) == value, F.lit(float(u[k]))) for value, u in uptos.items()]
+        share = F.when(*cases[0])
+        for case in cases[1:]:
+            share = share.when(*case)
+        return F.floor(share * F.col("total")).cast("bigint")
+
+    counts = [upto(k) for k in range(clients - 1)]
+    return _cut_by_stratum(df, draw_hash(seed, "skew", key), counts, label, len(shares), clients, "client_id")
 
 
 def natural_partition(df: DataFrame, column: str) -> DataFrame:

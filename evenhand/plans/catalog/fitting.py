@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import vectors
 from evenhand.operators import metrics, objectives as f, prepare, refine, splits, synthesis, training
+from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.sampling import batch_of
-from evenhand.plans.catalog.synthesizing import payload_of, parts_of
+from evenhand.plans.catalog.synthesizing import parts_of, payload_from
 from evenhand.plans.views import ANCHOR, CLIENTS, SEED, THETA, WIDTH
 
 STRENGTH = 0.1
@@ -29,8 +30,10 @@ def _soft(group: int) -> str:
 
 
 def scored_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotas = parts_of(spark, sf_dir)[2].select("round", "client_id", "delta_s")
-    return payload_of(spark, sf_dir).withColumn("f", vectors.score("x", "a", THETA)).join(quotas, ["round", "client_id"])
+    batch, stats, quotas = parts_of(spark, sf_dir)
+    imbalance = quotas.select("round", "client_id", "delta_s")
+    scored = payload_from(batch, stats, quotas).withColumn("f", vectors.score("x", "a", THETA))
+    return scored.join(imbalance, ["round", "client_id"])
 
 
 def scored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +246,8 @@ def _run_rows(spark: SparkSession, sf_dir: str):
     """Line items parted into training and test rows, as a dataset of the round driver."""
     from evenhand.plans.datasets import Prepared
 
-    rows = splits.stratified_split(views.line_columns(spark, sf_dir).drop("client_id"), "row_id", SEED)
+    lines = cut_lineage(views.line_columns(spark, sf_dir).drop("client_id"))
+    rows = cut_lineage(splits.stratified_split(lines, "row_id", SEED), ["split"])
     return Prepared(
         rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split"), views.LINE_FEATURES
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions.vectors import spread
 from evenhand.operators import sampling as s, splits, synthesis
+from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.views import CLIENTS, SEED, WIDTH, table
@@ -243,7 +244,7 @@ def fill_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def importance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = batch_of(spark, sf_dir)
+    batch = cut_lineage(batch_of(spark, sf_dir))
     quotas = synthesis.synthetic_quotas(s.minibatch_stats(batch))
     rows = synthesis.synthetic_rows(quotas, synthesis.stratum_moments(batch), SEED)
     weighted = s.importance_weights(rows, ["round", "client_id"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.operators import noise, sampling as s, synthesis as e
+from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.sampling import batch_of
@@ -15,8 +16,8 @@ SIGMA = 0.5
 
 
 def parts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Minibatch, its statistics and the synthetic quotas."""
-    batch = batch_of(spark, sf_dir)
+    """Minibatch (a bounded sample, written once for all that follows), its statistics and quotas."""
+    batch = cut_lineage(batch_of(spark, sf_dir))
     stats = s.minibatch_stats(batch)
     return batch, stats, e.synthetic_quotas(stats)
 
@@ -32,7 +33,10 @@ def universum_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch, stats, quotas = parts_of(spark, sf_dir)
+    return payload_from(*parts_of(spark, sf_dir))
+
+
+def payload_from(batch: DataFrame, stats: DataFrame, quotas: DataFrame) -> DataFrame:
     synthetic = e.synthetic_rows(quotas, e.stratum_moments(batch), SEED)
     universum = e.universum_rows(e.universum_slots(quotas, stats), batch, SEED, WIDTH)
     return e.build_payload(synthetic, universum)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenhand.functions import values
 from evenhand.operators import prepare, splits
 from evenhand.operators.ranks import dense_codes
-from evenhand.operators.sizes import cut_lineage
+from evenhand.operators.sizes import cut_lineage, small_side
 from evenhand.sources import readers, schemas
 
 ADULT_CATEGORIES = (
@@ -30,7 +30,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _parted(df: DataFrame, features: list[str], seed: int, test_share: float) -> Prepared:
-    split = splits.stratified_split(df, "row_id", seed, test_share=test_share)
+    split = cut_lineage(splits.stratified_split(df, "row_id", seed, test_share=test_share), ["split"])
     return Prepared(split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split"), features)
 
 
@@ -182,7 +182,7 @@ def census_table(spark: SparkSession, folder: str) -> DataFrame:
     text = [c.replace("-", "_") for c in ADULT_CATEGORIES]
     filled = prepare.impute_modes(cleaned, text)
     for c in text:
-        codes = dense_codes(filled, c)
+        codes = small_side(dense_codes(filled, c))
         filled = filled.join(codes, c).drop(c).withColumnRenamed("code", c)
     return prepare.positional(filled, "sex", "income")
 

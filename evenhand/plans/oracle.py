@@ -18,6 +18,11 @@ def draw(salt: str, *keys: str, seed: int = SEED) -> str:
     return f"md5(concat_ws(':', '{seed}', '{salt}', {parts}))"
 
 
+def round_draw(salt: str, *keys: str, seed: int = SEED) -> str:
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"substr(sha256(concat_ws(':', '{seed}', '{salt}', CAST(round // 4 AS VARCHAR), {parts})), 16 * (round % 4) + 1, 16)"
+
+
 def word(h: str, slot: int = 0) -> str:
     return f"CAST(('0x' || substr({h}, {8 * slot + 1}, 8))::UBIGINT AS BIGINT)"
 
@@ -165,8 +170,8 @@ def quota_body(profile: str, by: str, group_floor: int = 5) -> str:
 
 def batch_body(source: str, quotas: str, rounds: int) -> str:
     return (
-        "SELECT * EXCLUDE (h, quota) FROM (SELECT *, row_number() OVER (PARTITION BY round, client_id, a, y ORDER BY h) AS pos "
-        f"FROM (SELECT s.*, {_pick('q')} AS quota FROM (SELECT *, {draw('batch', 'round', 'row_id')} AS h FROM {source}, "
+        "SELECT * EXCLUDE (h, quota) FROM (SELECT *, row_number() OVER (PARTITION BY round, client_id, a, y ORDER BY h, row_id) AS pos "
+        f"FROM (SELECT s.*, {_pick('q')} AS quota FROM (SELECT *, {round_draw('batch', 'row_id')} AS h FROM {source}, "
         f"(SELECT CAST(unnest(range({rounds})) AS INT) AS round)) s JOIN {quotas} USING (client_id))) WHERE pos <= quota"
     )
 

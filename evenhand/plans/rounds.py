@@ -83,27 +83,48 @@ def judge_weights(rows: DataFrame, thetas: Mapping[int, Sequence[float]], width:
     return metrics.evaluate(metrics.outcome_counts(scored, ["round"]), ["round"])
 
 
-def labelled_rows(prepared: Prepared, config: RunConfig) -> DataFrame:
-    """``(row_id, client_id, a, y, x, split)`` with split train, val or test, scaled on the training rows."""
-    parts = splits.split_by_count(prepared.train, "row_id", config.seed, config.val_share)
-    columns = ["row_id", "a", "y", *prepared.features]
-    if config.partition == "natural":
-        columns.append("client")
-    both = parts.select(*columns, "split").unionByName(prepared.test.select(*columns).withColumn("split", F.lit("test")))
-    both = both.withColumns({c: F.col(c).cast("double") for c in prepared.features})
+def keyed_rows(prepared: Prepared, config: RunConfig) -> DataFrame:
+    """``(row_id, client_id, split, a, y, features...)`` with split train, val or test, written once.
+
+    Even partitions are cut together with the validation split; the others are cut afterwards.
+    """
+    if config.partition == "iid":
+        parts = splits.split_and_partition(prepared.train, "row_id", config.seed, config.val_share, config.clients)
+    else:
+        parts = splits.split_by_count(prepared.train, "row_id", config.seed, config.val_share)
+        client = F.col("client") if config.partition == "natural" else F.lit(None).cast("int")
+        parts = parts.withColumn("client_id", client)
+    features = [F.col(c).cast("double").alias(c) for c in prepared.features]
+    nobody = F.lit(None).cast(parts.schema["client_id"].dataType)
+    test = prepared.test.withColumns({"split": F.lit("test"), "client_id": nobody})
+    columns = ["row_id", "client_id", "split", "a", "y", *features]
+    return cut_lineage(parts.select(*columns).unionByName(test.select(*columns)), ["split"])
+
+
+def with_inputs(keyed: DataFrame, features: Sequence[str], config: RunConfig) -> DataFrame:
+    """Scale by the moments of the training rows and assemble ``x``.
+
+    The moments are a model-sized row: two numbers per feature, which become constants of the plan.
+    """
+    scaled = keyed
     if config.scale:
-        both = prepare.standardize(both, prepared.features, fit_on=both.filter("split = 'train'"))
-    keep = ["row_id", "a", "y", "split"] + (["client"] if config.partition == "natural" else [])
-    return cut_lineage(both.select(*keep, assemble(prepared.features, config.intercept).alias("x")), ["split"])
+        moments = prepare.moments_of(keyed.filter("split = 'train'"), features).first()["moments"]
+        scaled = keyed.withColumns(
+            {c: (F.col(c) - F.lit(moments[c]["mean"])) / F.lit(moments[c]["scale"]) for c in features}
+        )
+    return scaled.select("row_id", "client_id", "split", "a", "y", assemble(features, config.intercept).alias("x"))
 
 
 def client_rows(train: DataFrame, config: RunConfig) -> DataFrame:
-    if config.partition == "iid":
-        return splits.partition_iid(train, "row_id", config.seed, config.clients)
+    """The training rows with their client; small clients are left out where a minimum is set."""
+    parted = train
     if config.partition == "dirichlet":
         shares = splits.dirichlet_shares([0, 1], config.clients, config.dirichlet_alpha, config.seed)
-        return splits.partition_by_shares(train, "row_id", config.seed, shares)
-    return splits.natural_partition(train, "client")
+        parted = splits.partition_by_shares(train.drop("client_id"), "row_id", config.seed, shares)
+    if config.min_rows > 1:
+        bound = None if config.partition == "natural" else config.clients
+        parted = splits.with_enough_rows(parted, config.min_rows, bound)
+    return parted
 
 
 def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int, list[float]]:
@@ -121,77 +142,77 @@ def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int,
         payload = noise.release(sent.select("round", "client_id", "pt_id", "a", "y", "x"), release, config.seed)
         payload = payload.persist()
         try:
-            if any(theta):
-                theta = training.fit_shift(payload, width, config.strength, theta)
-            else:
-                theta = training.fit_logistic(payload, width, config.strength)
+            theta = training.fit_shift(payload, width, config.strength, theta)
         finally:
             payload.unpersist()
         found[t] = theta
     return found
 
 
-def _scored(rows: DataFrame, theta: Sequence[float]) -> DataFrame:
-    return rows.select("a", "y", score("x", "a", theta).alias("f"))
-
-
-def model_result(test: DataFrame, theta: Sequence[float], threshold: float) -> DataFrame:
-    """One row: metrics at the tuned threshold, and ``extended_metrics`` at threshold 0."""
-    scored = _scored(test, theta)
-    tuned = metrics.evaluate(metrics.outcome_counts(scored.withColumn("pred", predict(F.col("f"), threshold))))
-    plain = metrics.evaluate(metrics.outcome_counts(scored.withColumn("pred", predict(F.col("f")))))
-    areas = metrics.ranking_metrics(scored, "f")
-    extended = plain.crossJoin(F.broadcast(areas)).select(
-        F.struct(
-            F.col("pr_auc").alias("PR_AUC"),
-            F.col("roc_auc").alias("ROC_AUC"),
-            F.col("macro_f1").alias("macro_F1"),
-            "balanced_accuracy",
-            F.col("dp_gap").alias("DP_gap"),
-            F.col("eod_gap").alias("EOD_gap"),
-        ).alias("extended_metrics")
+def scored_by_model(rows: DataFrame, models: Mapping[str, Sequence[float]], width: int) -> DataFrame:
+    """``(model, a, y, f)``: every row scored by every model."""
+    weighted = rows.select("a", "y", "x", F.explode(_weight_structs(models, "model")).alias("_w"))
+    return weighted.select(F.col("_w.model").alias("model"), "a", "y", score("x", "a", F.col("_w.theta"), width).alias("f"))
+
+
+def thresholds(rows: DataFrame, models: Mapping[str, Sequence[float]], width: int) -> dict[str, float]:
+    """The validation-tuned threshold of every model, all from the same passes."""
+    picked = metrics.pick_threshold(scored_by_model(rows, models, width), "f", ["model"], groups=len(models))
+    return {row["model"]: float(row["threshold"]) for row in picked.collect()}
+
+
+def model_results(
+    test: DataFrame, models: Mapping[str, Sequence[float]], cuts: Mapping[str, float], width: int
+) -> DataFrame:
+    """``(model, result)``: metrics at the tuned threshold, and ``extended_metrics`` at threshold 0."""
+    scored = scored_by_model(test, models, width)
+    cut = F.element_at(F.create_map(*[F.lit(v) for m, t in cuts.items() for v in (m, float(t))]), F.col("model"))
+    judged = scored.withColumns({"tuned": predict(F.col("f"), cut), "plain": predict(F.col("f"))})
+    counts = metrics.two_predictions(judged, ["model"], "tuned", "plain")
+    report = metrics.evaluate(counts, ["model", "which"])
+    extended = F.struct(
+        F.col("pr_auc").alias("PR_AUC"),
+        F.col("roc_auc").alias("ROC_AUC"),
+        F.col("macro_f1").alias("macro_F1"),
+        F.col("balanced_accuracy").alias("balanced_accuracy"),
+        F.col("dp_gap").alias("DP_gap"),
+        F.col("eod_gap").alias("EOD_gap"),
+    )
+    plain = (
+        report.filter("which = 'plain'")
+        .join(metrics.ranking_metrics(scored, "f", ["model"]), "model")
+        .select("model", extended.alias("extended_metrics"))
     )
-    named = tuned.select(
+    tuned = report.filter("which = 'tuned'").select(
+        "model",
         "accuracy",
         F.col("f1").alias("F1_score"),
         F.col("eo_gap").alias("EO_gap"),
         F.col("tpr0").alias("TPR_group0"),
         F.col("tpr1").alias("TPR_group1"),
     )
-    return named.crossJoin(F.broadcast(extended))
-
-
-def _threshold(rows: DataFrame, theta: Sequence[float], tune: bool) -> float:
-    if not tune:
-        return 0.0
-    found = metrics.pick_threshold(_scored(rows, theta)).first()
-    return float(found["threshold"]) if found else 0.0
+    joined = tuned.join(plain, "model")
+    return joined.select("model", F.struct(*[c for c in joined.columns if c != "model"]).alias("result"))
 
 
 def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
     """A whole run; returns its result as one nested row (see ``schemas.RUN``)."""
     spark: SparkSession = prepared.train.sparkSession
-    labelled = labelled_rows(prepared, config)
+    labelled = with_inputs(keyed_rows(prepared, config), prepared.features, config)
     train, val, test = (labelled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
     width = len(prepared.features) + (1 if config.intercept else 0)
-    parted = client_rows(train, config)
-    if config.min_rows > 1:
-        parted = splits.with_enough_rows(parted, config.min_rows, config.clients)
     clients = None if config.partition == "natural" else config.clients
-    points = cut_lineage(round_points(parted, config.seed, config.rounds, width, clients, config.universum), ["round"])
-    thetas = train_rounds(points, config, width)
-    final = thetas[config.rounds - 1]
+    drawn = round_points(client_rows(train, config), config.seed, config.rounds, width, clients, config.universum)
+    thetas = train_rounds(cut_lineage(drawn, ["round"]), config, width)
     constant = width - 1 if config.intercept else None
-    baseline = training.fit_logistic(train, width, config.strength, constant_at=constant)
-
-    logs = {row["round"]: row for row in judge_weights(val, thetas, width).collect()}
-    cuts = {
-        "pipeline": _threshold(val, final, config.tune_threshold),
-        "baseline": _threshold(val, baseline, config.tune_threshold),
+    models = {
+        "baseline": training.fit_logistic(train, width, config.strength, constant_at=constant),
+        "pipeline": thetas[config.rounds - 1],
     }
+    logs = {row["round"]: row for row in judge_weights(val, thetas, width).collect()}
+    cuts = thresholds(val, models, width) if config.tune_threshold else dict.fromkeys(models, 0.0)
     results = {
-        "pipeline": model_result(test, final, cuts["pipeline"]).first().asDict(recursive=True),
-        "baseline": model_result(test, baseline, cuts["baseline"]).first().asDict(recursive=True),
+        row["model"]: row["result"].asDict(recursive=True) for row in model_results(test, models, cuts, width).collect()
     }
     settings = {
         "num_clients": config.clients,

@@ -24,6 +24,8 @@ def session():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
