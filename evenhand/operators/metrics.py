@@ -252,14 +252,13 @@ def pick_threshold(df: DataFrame, score: str = "f", by: Sequence[str] = (), grou
 
 
 def agreement(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
-    """Compare the accuracies of two scored tables (columns ``y`` and ``pred``)."""
-
-    def share(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias(name))
-
-    both = share(left, "accuracy_left").crossJoin(F.broadcast(share(right, "accuracy_right")))
+    """Compare the accuracies of two scored tables (columns ``y`` and ``pred``), in one aggregate."""
+    hit = (F.col("pred") == F.col("y")).cast("double").alias("hit")
+    both = left.select(F.lit("left").alias("side"), hit).unionByName(right.select(F.lit("right").alias("side"), hit))
+    sides = {side: F.avg(F.when(F.col("side") == side, F.col("hit"))) for side in ("left", "right")}
+    shares = both.agg(sides["left"].alias("accuracy_left"), sides["right"].alias("accuracy_right"))
     gap = F.abs(F.col("accuracy_left") - F.col("accuracy_right"))
-    return both.withColumn("gap", gap).withColumn("agrees", F.col("gap") <= F.lit(float(tolerance)))
+    return shares.withColumn("gap", gap).withColumn("agrees", F.col("gap") <= F.lit(float(tolerance)))
 
 
 def within_tolerance(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

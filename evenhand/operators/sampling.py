@@ -62,8 +62,10 @@ def batch_quotas(profile: DataFrame, rule: BatchRule = BatchRule()) -> DataFrame
     Shares are rounded half to even; each group gets a floor of positives, paid for by its own
     negatives; what is missing or too much goes to (0, 0).
     """
+    # No positives: a null rate, and greatest and least skip nulls, so the case is told apart first.
     wanted = F.ceil(F.lit(float(rule.positives)) / F.nullif(F.col("pi_plus"), F.lit(0.0)))
-    size = F.coalesce(F.greatest(F.lit(rule.smallest), F.least(F.lit(rule.largest), wanted)), F.lit(rule.smallest))
+    clipped = F.greatest(F.lit(rule.smallest), F.least(F.lit(rule.largest), wanted))
+    size = F.when(F.col("pi_plus") > 0, clipped).otherwise(F.lit(rule.smallest))
     out = profile.withColumn("size", size.cast("bigint"))
     for a, y in STRATA:
         share = F.col(stratum_name("pi", a, y)) * F.col("size")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import vectors
 from evenhand.operators import metrics as m, training
+from evenhand.operators.splits import split_by_count
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
-from evenhand.plans.catalog.sampling import batch_of
-from evenhand.plans.views import CLIENTS, SEED, THETA, WIDTH
+from evenhand.plans.catalog.fitting import training_lines
+from evenhand.plans.views import CLIENTS, SEED, WIDTH
 
 
-def _report(spark: SparkSession, sf_dir: str, names: Sequence[str], keep_counts: bool = False) -> DataFrame:
+def _report(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> DataFrame:
     report = m.evaluate(m.outcome_counts(views.predicted_lines(spark, sf_dir), ["client_id"]), ["client_id"])
     return report.select("client_id", *[F.col(c) if c == "n" else F.round(c, 6).alias(c) for c in names])
 
@@ -111,8 +112,6 @@ def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g11_model_agreement")
 def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline fit against an independent solver, on standardised line items."""
-    from evenhand.plans.catalog.fitting import training_lines
-
     rows = training_lines(spark, sf_dir).persist()
     first = training.fit_logistic(rows, WIDTH, 1e-4)
     second = training.fit_shift(rows, WIDTH, 1e-4, [0.0] * (WIDTH + 1))
@@ -174,8 +173,6 @@ def regression_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def two_run_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same split on differently partitioned rows, and a split with another seed."""
-    from evenhand.operators.splits import split_by_count
-
     rows = views.line_columns(spark, sf_dir).select("row_id")
     first = split_by_count(rows, "row_id", SEED, 0.2)
     again = split_by_count(rows.repartition(5), "row_id", SEED, 0.2)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenhand.operators import metrics, runs as r
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
-from evenhand.plans.views import RHOS, SEEDS, SWEEP
+from evenhand.plans.views import RHOS, SEEDS
 
 KEYS = ["dataset", "universum_off", "rho"]
 RUN = [*KEYS, "seed"]

@@ -11,6 +11,8 @@ from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.sampling import batch_of
 from evenhand.plans.catalog.synthesizing import parts_of, payload_from
+from evenhand.plans.datasets import Prepared
+from evenhand.plans.rounds import RunConfig, judge_weights, model_results, round_points, run_experiment
 from evenhand.plans.views import ANCHOR, CLIENTS, SEED, THETA, WIDTH
 
 STRENGTH = 0.1
@@ -171,8 +173,6 @@ def baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _client_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evenhand.plans.rounds import round_points
-
     rows = training_lines(spark, sf_dir)
     return round_points(rows, SEED, 1, WIDTH, CLIENTS)
 
@@ -242,10 +242,8 @@ def multiplier_and_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _run_rows(spark: SparkSession, sf_dir: str):
+def _run_rows(spark: SparkSession, sf_dir: str) -> Prepared:
     """Line items parted into training and test rows, as a dataset of the round driver."""
-    from evenhand.plans.datasets import Prepared
-
     lines = cut_lineage(views.line_columns(spark, sf_dir).drop("client_id"))
     rows = cut_lineage(splits.stratified_split(lines, "row_id", SEED), ["split"])
     return Prepared(
@@ -255,8 +253,6 @@ def _run_rows(spark: SparkSession, sf_dir: str):
 
 def run_of(spark: SparkSession, sf_dir: str, rounds: int = 8) -> DataFrame:
     """A full run in the published setting: 5 clients, 8 rounds, 100 inner steps."""
-    from evenhand.plans.rounds import RunConfig, run_experiment
-
     config = RunConfig(
         clients=CLIENTS, rounds=rounds, seed=SEED, intercept=True, tune_threshold=True, noise_enabled=False,
         solver=refine.RefineConfig(rho=0.05, epsilon=0.1, inner_steps=100),
@@ -271,12 +267,54 @@ def round_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select("round", *[F.round(c, 4).alias(c) for c in logs.columns if c != "round"])
 
 
-@register("g9_validation_log")
+ROUND_THETAS = {t: [w * (1.0 - 0.2 * t) for w in THETA[:-1]] + [THETA[-1] + 0.1 * t] for t in range(3)}
+_LOG = ("accuracy", "eo_gap", "tpr0", "tpr1", "f1")
+
+
+@register(
+    "g9_validation_log",
+    o.query(
+        f"SELECT round, {o.metrics(*_LOG)} FROM (SELECT round, {o.outcome_cells()} FROM judged GROUP BY round)",
+        "lines",
+        judged=" UNION ALL ".join(
+            f"SELECT {t} AS round, a, y, CAST({o.dot(theta, [*views.LINE_FEATURES, 'a'])} > 0 AS INT) AS pred FROM lines"
+            for t, theta in ROUND_THETAS.items()
+        ),
+    ),
+)
 def validation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed weights of three rounds, judged on all line items in one pass."""
-    from evenhand.plans.rounds import judge_weights
+    logs = judge_weights(views.labelled_lines(spark, sf_dir), ROUND_THETAS, WIDTH)
+    return logs.select("round", *[F.round(c, 6).alias(c) for c in _LOG])
 
-    thetas = {t: [w * (1.0 - 0.2 * t) for w in THETA[:-1]] + [THETA[-1] + 0.1 * t] for t in range(3)}
-    return judge_weights(views.labelled_lines(spark, sf_dir), thetas, WIDTH).select(
-        "round", *[F.round(c, 6).alias(c) for c in ("accuracy", "eo_gap", "tpr0", "tpr1", "f1")]
-    )
+
+CUTS = {"baseline": 0.1, "pipeline": 0.2}
+_TUNED = {"accuracy": "accuracy", "F1_score": "f1", "EO_gap": "eo_gap", "TPR_group0": "tpr0", "TPR_group1": "tpr1"}
+_EXTENDED = {"macro_F1": "macro_f1", "balanced_accuracy": "balanced_accuracy", "DP_gap": "dp_gap", "EOD_gap": "eod_gap"}
+_AREAS = {"ROC_AUC": "roc_auc", "PR_AUC": "pr_auc"}
+
+
+def _counted(source: str) -> str:
+    return f"SELECT model, {o.outcome_cells()} FROM {source} GROUP BY model"
+
+
+@register(
+    "g10_final_result",
+    o.query(
+        "SELECT model, " + ", ".join(f"t.{n}" for n in _TUNED) + ", " + ", ".join(f"p.{n}" for n in _EXTENDED) + ", "
+        + ", ".join(f"{o.rnd(c)} AS {n}" for n, c in _AREAS.items())
+        + " FROM tuned t JOIN plain p USING (model) JOIN scores_areas USING (model)",
+        "model_rows",
+        scores="SELECT model, a, y, f, pred, CAST(f > CASE model WHEN 'baseline' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS INT) AS cut FROM model_rows",
+        tuned="SELECT model, " + ", ".join(f"{o.rnd(o.METRIC[c])} AS {n}" for n, c in _TUNED.items())
+        + f" FROM ({_counted('(SELECT model, a, y, cut AS pred FROM scores)')})",
+        plain="SELECT model, " + ", ".join(f"{o.rnd(o.METRIC[c])} AS {n}" for n, c in _EXTENDED.items())
+        + f" FROM ({_counted('scores')})",
+        **{name: body for name, (_, body) in o.auc("scores", "model").items()},
+    ),
+)
+def final_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result struct of both models at given thresholds, flattened."""
+    results = model_results(views.labelled_lines(spark, sf_dir), views.MODELS, CUTS, WIDTH)
+    flat = results.select("model", "result.*").select("*", "extended_metrics.*").drop("extended_metrics")
+    return flat.select("model", *[F.round(c, 6).alias(c) for c in (*_TUNED, *_EXTENDED, *_AREAS)])

@@ -159,7 +159,7 @@ def profile_body(source: str, by: str) -> str:
 
 
 def quota_body(profile: str, by: str, group_floor: int = 5) -> str:
-    size = "coalesce(greatest(32, least(128, ceil(8.0::DOUBLE / nullif(pi_plus, 0)))), 32)"
+    size = "CASE WHEN pi_plus > 0 THEN greatest(32, least(128, ceil(8.0::DOUBLE / nullif(pi_plus, 0)))) ELSE 32 END"
     rounded = ", ".join(f"{big(f'round_even(pi_a{a}y{y} * size, 0)')} AS q_a{a}y{y}" for a, y in _STRATA)
     inner = (
         f"(SELECT *, {rounded}, least({group_floor}, n_a0y1, n_a1y1) AS lift FROM "

@@ -34,6 +34,8 @@ class RunConfig:
     intercept: bool = False
     tune_threshold: bool = False
     universum: bool = True
+    # Let positives of earlier rounds stand in for a group that has none in a batch.
+    buffer: bool = False
     fairness: bool = True
     refine_features: bool = True
     strength: float = 1e-4
@@ -48,8 +50,27 @@ class RunConfig:
             raise ValueError(f"partition {self.partition!r} is not iid, dirichlet or natural")
 
 
+def buffered_positives(batch: DataFrame, rounds: int, size: int = 50) -> DataFrame:
+    """For every round the last positives of the rounds before, for the (client, group) pairs whose
+    own batch of that round has none."""
+    positives = sampling.positive_slice(batch)
+    earlier = positives.filter(F.col("round") < rounds - 1).select(
+        F.explode(F.sequence(F.col("round") + 1, F.lit(rounds - 1))).alias("round"),
+        F.col("round").alias("seen"), "client_id", "a", "y", "pos", "row_id", "x",
+    )
+    group = ["round", "client_id", "a"]
+    lacking = earlier.join(positives.select(*group).distinct(), group, "left_anti")
+    return sampling.last_positives(lacking, ["seen", "pos", "row_id"], size, group)
+
+
 def round_points(
-    rows: DataFrame, seed: int, rounds: int, width: int, clients: int | None, universum: bool = True
+    rows: DataFrame,
+    seed: int,
+    rounds: int,
+    width: int,
+    clients: int | None,
+    universum: bool = True,
+    buffer: bool = False,
 ) -> DataFrame:
     """Minibatch, synthetic rows and pseudo-positives of every round and client in one table."""
     batch = sampling.draw_minibatch(rows.select("row_id", "client_id", "a", "y", "x"), seed, rounds, clients=clients)
@@ -57,12 +78,15 @@ def round_points(
     batch = cut_lineage(batch)
     stats = sampling.minibatch_stats(batch)
     quotas = synthesis.synthetic_quotas(stats)
-    synthetic = synthesis.synthetic_rows(quotas, synthesis.stratum_moments(batch), seed)
-    points = synthetic
+    points = synthesis.synthetic_rows(quotas, synthesis.stratum_moments(batch), seed)
     if universum:
         slots = synthesis.universum_slots(quotas, stats)
-        points = synthesis.build_payload(synthetic, synthesis.universum_rows(slots, batch, seed, width))
-    own = batch.select("round", "client_id", F.lit("batch").alias("kind"), F.col("row_id").alias("pt_id"), "a", "y", "x")
+        points = synthesis.build_payload(points, synthesis.universum_rows(slots, batch, seed, width))
+    real = batch.withColumn("kind", F.lit("batch"))
+    if buffer:
+        added = buffered_positives(batch, rounds).withColumn("kind", F.lit("buffer"))
+        real = real.select(*real.columns).unionByName(added.select(*real.columns))
+    own = real.select("round", "client_id", "kind", F.col("row_id").alias("pt_id"), "a", "y", "x")
     return own.unionByName(points)
 
 
@@ -138,7 +162,7 @@ def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int,
         if config.refine_features:
             sent = refine.refine_clients(own, theta, settings).filter("kind <> 'theta'")
         else:
-            sent = own.filter("kind <> 'batch'")
+            sent = own.filter("kind IN ('synthetic', 'universum')")
         payload = noise.release(sent.select("round", "client_id", "pt_id", "a", "y", "x"), release, config.seed)
         payload = payload.persist()
         try:
@@ -202,7 +226,9 @@ def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataF
     train, val, test = (labelled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
     width = len(prepared.features) + (1 if config.intercept else 0)
     clients = None if config.partition == "natural" else config.clients
-    drawn = round_points(client_rows(train, config), config.seed, config.rounds, width, clients, config.universum)
+    drawn = round_points(
+        client_rows(train, config), config.seed, config.rounds, width, clients, config.universum, config.buffer
+    )
     thetas = train_rounds(cut_lineage(drawn, ["round"]), config, width)
     constant = width - 1 if config.intercept else None
     models = {
@@ -222,7 +248,7 @@ def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataF
         "tpr_tau": config.solver.tau,
         "ema_beta": config.solver.ema_beta,
         "use_importance_weighting": config.solver.weighted,
-        "use_rolling_buffer": False,
+        "use_rolling_buffer": config.buffer,
         "dp_enabled": config.noise_enabled,
         "dp_sigma": config.noise_sigma,
         "dp_variant": noise.noise_config(config.noise_enabled, config.noise_sigma, config.noise_variant).variant,

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evenhand.functions.draws import draw_hash, uniform
 from evenhand.functions.vectors import assemble, predict, score, score_columns
 
 SEED = 7
@@ -142,6 +141,3 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         predict(F.col("f")).alias("pred"),
     )
 
-
-def keyed_uniform(salt: str, *keys: str) -> Column:
-    return uniform(draw_hash(SEED, salt, *keys))
