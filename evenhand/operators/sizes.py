@@ -13,20 +13,25 @@ BROADCAST_ROWS = 200_000
 FOLDER_SETTING = "spark.checkpoint.dir"
 
 
+# Folders made for local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``, else the context's own one.
 
-    A local session without one gets a temporary folder. On a cluster that would be a machine-local
+    A local session without either gets a temporary folder. On a cluster that would be a machine-local
     path, so it is refused there.
     """
-    folder = spark.conf.get(FOLDER_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(FOLDER_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {FOLDER_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="evenhand-")
-    spark.conf.set(FOLDER_SETTING, folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="evenhand-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def _bytes(size: str) -> int:

@@ -54,7 +54,7 @@ def line_key() -> Column:
         F.col("l_partkey").cast("string"),
         F.col("l_suppkey").cast("string"),
         F.col("l_quantity").cast("int").cast("string"),
-        F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.col("l_shipdate").cast("date").cast("string"),
     )
 
 

@@ -102,9 +102,8 @@ def first_source(spark: SparkSession, sources: Sequence[tuple[str, object]]):
 
 
 def run_results(spark: SparkSession, glob: str, prefix: str = "draft_results_") -> DataFrame:
-    """Nested run results, one JSON document per file; files that cannot be read are left out.
-
-    ``label`` is the file name without its prefix and extension.
+    """Nested run results, one JSON document per file; files that cannot be read, and empty documents,
+    are left out. ``label`` is the file name without its prefix and extension.
     """
     raw = (
         spark.read.schema(schemas.RUN + ", _corrupt_record STRING")
@@ -113,4 +112,6 @@ def run_results(spark: SparkSession, glob: str, prefix: str = "draft_results_")
         .json(glob)
     )
     name = F.regexp_extract(F.col("_metadata.file_name"), rf"^(?:{prefix})?(.*?)(?:\.json)?$", 1)
-    return raw.withColumn("label", name).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Spark wants a parsed column beside the corrupt one, even where only rows are counted.
+    filled = F.col("dataset").isNotNull() | F.col("pipeline").isNotNull() | F.col("round_logs").isNotNull()
+    return raw.withColumn("label", name).filter(F.col("_corrupt_record").isNull() & filled).drop("_corrupt_record")
