@@ -13,15 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.draws import hash_bucket
-from evenhand.operators.sizes import small_side
+from evenhand.operators.sizes import cut_lineage, small_side
 
-# Buckets per unit of asinh(value): about 0.02 % of a value wide.
-VALUE_RESOLUTION = 4096
+# Buckets per factor e of a value's size: each is about 0.05 % of the value wide.
+VALUE_RESOLUTION = 2048
+# Sizes below its inverse share a few buckets around 0; above its own inverse limit, the last bucket.
+_SMALLEST_UNIT = 1e9
+_LARGEST_VALUE = 1e290
 
 
 def value_bucket(value: Column, resolution: int = VALUE_RESOLUTION) -> Column:
-    """Order-preserving bucket of a double: even steps near 0, logarithmic ones further out."""
-    return F.floor(F.asinh(value) * F.lit(float(resolution))).cast("bigint")
+    """Order-preserving bucket of a double, relative to its size, so that values of any scale spread.
+
+    Only values that differ from each other by less than a bucket all over (a large constant plus a
+    little noise) crowd into few buckets; a higher ``resolution`` parts them.
+    """
+    size = F.log1p(F.least(F.abs(value), F.lit(_LARGEST_VALUE)) * F.lit(_SMALLEST_UNIT))
+    return F.floor(F.signum(value) * size * F.lit(float(resolution))).cast("bigint")
 
 
 def values_at_ranks(
@@ -187,19 +195,27 @@ def part_of(h: Column, cut_hashes: Column) -> Column:
     )[0]
 
 
-def dense_codes(df: DataFrame, column: str, prefix: int = 3) -> DataFrame:
-    """``(column, code)``: 0-based position of each distinct text in sorted order; null has none.
+# monotonically_increasing_id puts the partition above these bits and the place in it below them.
+_PLACE_BITS = 33
+
 
-    Numbered within text prefixes and shifted by the running count of the prefixes before.
+def dense_codes(df: DataFrame, column: str) -> DataFrame:
+    """``(column, code)``: 0-based position of each distinct value in sorted order; null has none.
+
+    The distinct values are range-sorted, which balances partitions whatever the values look like, and
+    written with their place; a value's code is its place plus the sizes of the partitions before.
     """
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    headed = distinct.withColumn("_head", F.substring(column, 1, prefix))
-    counts = headed.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_head").orderBy(column)
-    return (
-        headed.withColumn("_pos", F.row_number().over(within) - 1)
-        .join(starts, "_head")
-        .select(column, (F.col("_start") + F.col("_pos")).cast("bigint").alias("code"))
+    placed = cut_lineage(distinct.sort(column).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.select(
+        column,
+        F.shiftright("_id", _PLACE_BITS).alias("_part"),
+        F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_place"),
+    )
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.join(small_side(starts, partitions), "_part").select(
+        column, (F.col("_start") + F.col("_place")).cast("bigint").alias("code")
     )

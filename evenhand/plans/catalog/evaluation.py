@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import vectors
 from evenhand.operators import metrics as m, training
+from evenhand.operators.sizes import cut_lineage
 from evenhand.operators.splits import split_by_count
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
@@ -112,7 +113,7 @@ def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g11_model_agreement")
 def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline fit against an independent solver, on standardised line items."""
-    rows = training_lines(spark, sf_dir).persist()
+    rows = cut_lineage(training_lines(spark, sf_dir))
     first = training.fit_logistic(rows, WIDTH, 1e-4)
     second = training.fit_shift(rows, WIDTH, 1e-4, [0.0] * (WIDTH + 1))
 

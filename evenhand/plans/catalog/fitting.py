@@ -141,7 +141,7 @@ def _fitted(spark: SparkSession, theta: list[float], rows: DataFrame) -> DataFra
 
 @register("f7_anchored_fit")
 def anchored_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_lines(spark, sf_dir).persist()
+    rows = cut_lineage(training_lines(spark, sf_dir))
     anchor = [0.5, -0.5, 0.2, 0.0, 0.1]
     return _fitted(spark, training.fit_shift(rows, WIDTH, 1e-4, anchor), rows)
 
@@ -168,7 +168,7 @@ def gradient_at_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f8_baseline_fit")
 def baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_lines(spark, sf_dir).persist()
+    rows = cut_lineage(training_lines(spark, sf_dir))
     return _fitted(spark, training.fit_logistic(rows, WIDTH, 1e-4), rows)
 
 

@@ -268,24 +268,28 @@ _HOLED = "CASE WHEN o_orderkey % 7 = 0 THEN '?' WHEN o_orderkey % 11 = 0 THEN NU
 _HOLED_STATUS = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END"
 
 
+# Rows before this day are the training rows of the imputation.
+_TRAIN_UNTIL = "1996-01-01"
+
+
 def _mode(column: str) -> str:
     return (
-        f"(SELECT {column} FROM holed WHERE {column} IS NOT NULL AND {column} <> '?' AND o_orderkey % 4 <> 0 "
+        f"(SELECT {column} FROM holed WHERE {column} IS NOT NULL AND {column} <> '?' AND o_orderdate < TIMESTAMP '{_TRAIN_UNTIL}' "
         f"GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1)"
     )
 
 
 @register(
     "c1_mode_imputation",
-    f"""WITH holed AS (SELECT o_orderkey, {_HOLED} AS priority, {_HOLED_STATUS} AS status FROM orders)
+    f"""WITH holed AS (SELECT o_orderkey, o_orderdate, {_HOLED} AS priority, {_HOLED_STATUS} AS status FROM orders)
  SELECT o_orderkey, coalesce(nullif(priority, '?'), {_mode('priority')}) AS priority, coalesce(status, {_mode('status')}) AS status FROM holed""",
 )
 def mode_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     holed = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.expr(_HOLED).alias("priority"), F.expr(_HOLED_STATUS).alias("status")
+        "o_orderkey", "o_orderdate", F.expr(_HOLED).alias("priority"), F.expr(_HOLED_STATUS).alias("status")
     )
-    train = holed.filter(F.col("o_orderkey") % 4 != 0)
-    return prepare.impute_modes(holed, ["priority", "status"], fit_on=train, missing="?")
+    train = holed.filter(F.col("o_orderdate") < F.lit(_TRAIN_UNTIL).cast("timestamp"))
+    return prepare.impute_modes(holed, ["priority", "status"], fit_on=train, missing="?").drop("o_orderdate")
 
 
 _GAPS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_custkey::DOUBLE END AS customer FROM orders"
@@ -316,11 +320,12 @@ def median_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("segment")
+        "c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("segment")
     )
-    train, test = rows.filter("c_custkey % 4 <> 0"), rows.filter("c_custkey % 4 = 0")
+    train, test = rows.filter("c_acctbal >= 5000"), rows.filter("c_acctbal < 5000")
     known = prepare.categories_of("segment", train, test)
-    return prepare.one_hot(train, "segment", known).unionByName(prepare.one_hot(test, "segment", known))
+    both = prepare.one_hot(train, "segment", known).unionByName(prepare.one_hot(test, "segment", known))
+    return both.drop("c_acctbal")
 
 
 @register(

@@ -99,3 +99,14 @@ def test_starved_clients_are_reported_and_dropped(spark):
     assert {r.client_id for r in splits.with_enough_rows(df, 5, 3).collect()} == {0}
     got = {(r.client_id, r.n) for r in splits.starved_clients(df, 5, 3).collect()}
     assert got == {(1, 2), (2, 0)}
+
+
+def test_buckets_keep_the_order_and_spread_any_scale(spark):
+    rng = random.Random(9)
+    values = [rng.gauss(0, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(500)]
+    values += [0.0, -0.0, 1e308, -1e308, float("inf"), float("-inf"), 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = sorted((r.v, r.b) for r in df.select("v", ranks.value_bucket(F.col("v")).alias("b")).collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    tiny = spark.range(2000).select((F.randn(3) * 1e-6).alias("v"))
+    assert tiny.groupBy(ranks.value_bucket(F.col("v"))).count().agg(F.max("count")).first()[0] < 20
