@@ -136,7 +136,6 @@ def ranking_metrics(
     score: str = "f",
     by: Sequence[str] = (),
     resolution: int = VALUE_RESOLUTION,
-    groups: int | None = None,
 ) -> DataFrame:
     """``(by..., roc_auc, pr_auc)``, exact, ties grouped; 0 where a class is missing.
 

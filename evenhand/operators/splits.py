@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenhand.functions.draws import draw_hash
+from evenhand.functions.draws import draw_hash, hex_word
 from evenhand.operators.ranks import part_of, shuffle_cuts
 from evenhand.operators.sizes import small_side
 
@@ -90,9 +90,16 @@ def even_counts(rows: Column, parts: int, offset: Column | None = None) -> list[
     ]
 
 
-def partition_iid(df: DataFrame, key: str, seed: int, clients: int) -> DataFrame:
-    """Column ``client_id``: shuffled parts whose sizes differ by at most one, larger ones first."""
-    return _cut_globally(df, draw_hash(seed, "iid", key), even_counts(F.col("total"), clients), "client_id")
+def partition_iid(df: DataFrame, key: str, seed: int, clients: int, exact: bool = True) -> DataFrame:
+    """Column ``client_id``: shuffled parts whose sizes differ by at most one, larger ones first.
+
+    ``exact=False`` takes the draw modulo the number of clients instead: sizes are only equal on
+    average, but a row costs the same for any number of clients, and nothing is counted.
+    """
+    h = draw_hash(seed, "iid", key)
+    if not exact:
+        return df.withColumn("client_id", F.pmod(hex_word(h), F.lit(clients)).cast("int"))
+    return _cut_globally(df, h, even_counts(F.col("total"), clients), "client_id")
 
 
 def split_and_partition(df: DataFrame, key: str, seed: int, fraction: float, clients: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import vectors
-from evenhand.operators import metrics, objectives as f, prepare, refine, splits, synthesis, training
+from evenhand.operators import metrics, objectives as f, prepare, refine, splits, training
 from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register

@@ -59,6 +59,12 @@ def test_iid_parts_differ_by_at_most_one(spark, n, clients):
     assert [counts.get(k, 0) for k in range(clients)] == sizes
 
 
+def test_fast_partition_is_roughly_even(spark):
+    got = splits.partition_iid(_ids(spark, 4000), "row_id", 1, 4, exact=False)
+    counts = {r.client_id: r["count"] for r in got.groupBy("client_id").count().collect()}
+    assert set(counts) == {0, 1, 2, 3} and all(900 < n < 1100 for n in counts.values())
+
+
 def test_split_and_partition_in_one_go(spark):
     got = splits.split_and_partition(_ids(spark, 103), "row_id", 1, 0.2, 4)
     counts = {(r.split, r.client_id): r["count"] for r in got.groupBy("split", "client_id").count().collect()}
