@@ -9,7 +9,6 @@ from evenhand.operators import metrics, objectives as f, prepare, refine, splits
 from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
-from evenhand.plans.catalog.sampling import batch_of
 from evenhand.plans.catalog.synthesizing import parts_of, payload_from
 from evenhand.plans.datasets import Prepared
 from evenhand.plans.rounds import RunConfig, judge_weights, model_results, round_points, run_experiment
@@ -31,15 +30,12 @@ def _soft(group: int) -> str:
     return f"coalesce(avg(CASE WHEN y = 1 AND a = {group} THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-10.0::DOUBLE * (f - 0.0::DOUBLE))) END), 0.0::DOUBLE)"
 
 
-def scored_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Payload (with the imbalance of its client) and minibatch, scored; the batch is drawn once."""
     batch, stats, quotas = parts_of(spark, sf_dir)
     imbalance = quotas.select("round", "client_id", "delta_s")
     scored = payload_from(batch, stats, quotas).withColumn("f", vectors.score("x", "a", THETA))
-    return scored.join(imbalance, ["round", "client_id"])
-
-
-def scored_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_of(spark, sf_dir).withColumn("f", vectors.score("x", "a", THETA))
+    return scored.join(imbalance, ["round", "client_id"]), batch.withColumn("f", vectors.score("x", "a", THETA))
 
 
 @register("f1_logistic_loss", o.query(f"SELECT row_id, {o.rnd(_margin_loss('f', 'y'), 9)} AS loss FROM scored", "scored"))
@@ -74,7 +70,8 @@ _UNI_LOSS = (
 )
 def universum_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.col("kind") == "universum"
-    return scored_payload(spark, sf_dir).groupBy("round", "client_id").agg(
+    payload, _ = scored_parts(spark, sf_dir)
+    return payload.groupBy("round", "client_id").agg(
         F.round(f.universum_loss(UNIVERSUM, F.max("delta_s"), chosen), 6).alias("loss")
     )
 
@@ -115,8 +112,9 @@ def smooth_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def all_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["round", "client_id"]
-    inner = f.inner_objective(scored_payload(spark, sf_dir), by, PENALTY, UNIVERSUM)
-    outer = f.fairness_terms(scored_batch(spark, sf_dir), by, OUTER_PENALTY)
+    payload, batch = scored_parts(spark, sf_dir)
+    inner = f.inner_objective(payload, by, PENALTY, UNIVERSUM)
+    outer = f.fairness_terms(batch, by, OUTER_PENALTY)
     augmented = f.augmented_objective(F.col("outer_loss"), F.col("gap"), MULTIPLIER, RHO)
     return inner.join(outer, by).select(
         *by, F.round("inner", 6).alias("inner"), F.round("outer_loss", 6).alias("outer_loss"),
