@@ -24,4 +24,4 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from evenhand.llm import mixing, uniform_topk  # noqa: F401
+    from evenhand.llm import hilbert_ann, mixing, uniform_topk  # noqa: F401

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_ROWS = 4096
@@ -48,7 +49,7 @@ def parts_for(rows: int, size: int) -> int:
 def matrix(column: pa.Array, width: int, dtype: str = "float64") -> np.ndarray:
     """A list column as a matrix; short lists are filled with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if (lengths == width).all():
         return np.ascontiguousarray(flat.reshape(-1, width), dtype)
@@ -68,7 +69,7 @@ def pack(rows: DataFrame, keys: Sequence[str], width: int, blocks: int = 1) -> D
     schema = ", ".join(f"{k} int" for k in keys) + ", slice int, ids binary, vals binary"
 
     def to_block(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table["vec_id"])
+        order = pc.sort_indices(table["vec_id"])
         table = table.take(order)
         values = matrix(table["v"], width)
         ids = table["vec_id"].to_numpy().astype("int64").tobytes()
