@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.llm.catalog import register
 from evenhand.llm.common import read, slices
+from evenhand.llm.rows import replace_columns, schema_with
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_PIECES = 250_000
@@ -149,18 +150,6 @@ def _shipped(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _with(schema, added: str) -> str:
-    """The schema as text, with ``added`` in place of columns of the same names."""
-    names = {part.split()[0] for part in added.split(", ")}
-    own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in names]
-    return ", ".join([*own, added])
-
-
-def _replace(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    own = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in columns}
-    return pa.RecordBatch.from_arrays([*own.values(), *columns.values()], [*own, *columns])
-
-
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """The rows with ``ids``, the token ids of the text."""
     shipped = _shipped(docs.sparkSession, path)
@@ -169,9 +158,9 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
         bpe = _load(shipped.value)
         for batch in slices(batches, text_col):
             ids = [np.array(bpe.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(text_col).to_pylist()]
-            yield _replace(batch, {"ids": _lists(ids)})
+            yield replace_columns(batch, {"ids": _lists(ids)})
 
-    return docs.mapInArrow(run, _with(docs.schema, "ids array<int>"))
+    return docs.mapInArrow(run, schema_with(docs.schema, "ids array<int>"))
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -189,9 +178,9 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [bpe.decode(x.values.to_numpy().tolist()) if x.values is not None else "" for x in batch.column("ids")]
-                yield _replace(batch, {"decoded": pa.array(texts, pa.string())})
+                yield replace_columns(batch, {"decoded": pa.array(texts, pa.string())})
 
-    return rows.mapInArrow(run, _with(rows.schema, "decoded string"))
+    return rows.mapInArrow(run, schema_with(rows.schema, "decoded string"))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -204,9 +193,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
             ids = [bpe.encode(t) if t else [] for t in batch.column(text_col).to_pylist()]
             texts = [bpe.decode(x) for x in ids]
             arrays = _lists([np.array(x, np.int32) for x in ids])
-            yield _replace(batch.drop_columns([text_col]), {"ids": arrays, "decoded": pa.array(texts, pa.string())})
+            yield replace_columns(batch.drop_columns([text_col]), {"ids": arrays, "decoded": pa.array(texts, pa.string())})
 
-    return docs.mapInArrow(run, _with(docs.drop(text_col).schema, "ids array<int>, decoded string"))
+    return docs.mapInArrow(run, schema_with(docs.drop(text_col).schema, "ids array<int>, decoded string"))
 
 
 @register("op7_byte_bpe")
