@@ -52,6 +52,12 @@ def _pairs(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
+def _slack(*values: np.ndarray) -> float:
+    """How far bounds are lowered: 0 while doubles hold all values exactly."""
+    most = max(float(np.abs(v[np.abs(v) < -NONE]).max(initial=0)) for v in values)
+    return 0.0 if most < EXACT else most * 2.0**-48
+
+
 def _local_lists(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +84,7 @@ def _above(nodes: int):
                 cutoff = _cutoffs(get["cutoffs"], query_ids)
                 s = _scores(q, c).astype(np.float64)
                 vec.mask_own(s, query_ids, ids, NONE)
-                i, j = np.nonzero((nodes * s >= cutoff[:, None]) & (s > NONE))
+                i, j = np.nonzero((nodes * s >= cutoff[:, None] - _slack(nodes * s, cutoff)) & (s > NONE))
                 yield _entry(get, (i * len(ids) + j).astype(np.int64).tobytes(), s[i, j].tobytes())
 
     return run
@@ -124,7 +130,7 @@ def _resolve(k: int, nodes: int, listed: bool):
                     i, j = flat // len(ids), flat % len(ids)
                     cutoff = _cutoffs(get["cutoffs"], query_ids)[i]
                     # In multiples of 1 / nodes all bounds are whole numbers.
-                    possible = nodes * total + (nodes - seen) * cutoff >= nodes * cutoff
+                    possible = nodes * total + (nodes - seen) * cutoff >= nodes * cutoff - _slack(nodes * total, nodes * cutoff)
                     i, j = i[possible], j[possible]
                 own = ids[j] == query_ids[i]
                 i, j = i[~own], j[~own]
