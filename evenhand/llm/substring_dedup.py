@@ -133,8 +133,24 @@ def _unpacked(table: pa.Table, kind: int, dtype, columns: int = 1) -> tuple[np.n
 BY_DOC = "doc_id long, pos binary, check binary"
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray, check: np.ndarray) -> pa.Table:
-    """One row for each document."""
+def _to_documents(doc: np.ndarray, pos: np.ndarray, check: np.ndarray, parts: int) -> pa.Table:
+    """Packed rows for parts of documents."""
+    packed = list(_packed(doc % parts, 0, doc, pos, check))
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary()), ("key", pa.binary())])
+    return pa.Table.from_batches(packed, schema)
+
+
+def _by_document(dtype):
+    """What was found for a part of the documents, one row for each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, pos, check = _unpacked(table, 0, dtype)
+        return _rows_by_document(doc, pos, check[:, 0])
+
+    return run
+
+
+def _rows_by_document(doc: np.ndarray, pos: np.ndarray, check: np.ndarray) -> pa.Table:
     order = np.lexsort((pos, doc))
     doc, pos, check = doc[order], pos[order], check[order]
     found, starts = np.unique(doc, return_index=True)
@@ -187,8 +203,19 @@ def _send_grams(width: int, parts: int):
     return run
 
 
-def _repeated_grams(table: pa.Table) -> pa.Table:
-    """Step 1, at the grams: the places of those that occur in two documents, by document."""
+def _repeated_grams(parts: int):
+    """Step 1, at the grams: the places of those that occur in two documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, pos = _in_two_documents(table)
+        sure_doc, sure_pos, _ = _unpacked(table, 1, np.uint8)
+        doc, pos = np.concatenate([doc, sure_doc]), np.concatenate([pos, sure_pos])
+        return _to_documents(doc, pos, np.zeros(len(doc), np.uint8), parts)
+
+    return run
+
+
+def _in_two_documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     doc, pos, key = _unpacked(table, 0, np.uint64)
     key = key[:, 0]
     order = np.argsort(key, kind="stable")
@@ -199,9 +226,7 @@ def _repeated_grams(table: pa.Table) -> pa.Table:
     if len(begin):
         repeated = (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin))[run]
         doc, pos = doc[repeated], pos[repeated]
-    sure_doc, sure_pos, _ = _unpacked(table, 1, np.uint8)
-    doc, pos = np.concatenate([doc, sure_doc]), np.concatenate([pos, sure_pos])
-    return _by_doc(doc, pos, np.zeros(len(doc), np.uint8))
+    return doc, pos
 
 
 def _prefix(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -245,9 +270,9 @@ def _send_suffixes(width: int, parts: int, frequent: list[np.ndarray]):
             _, place = _grams(words, starts, width)
             marked = np.zeros(len(words.hashes) + 1, bool)
             for row, listed in enumerate(batch.column("flags")):
-                low, n = words.first[row], words.first[row + 1] - words.first[row]
-                for places in listed.values if listed.values is not None else ():
-                    at = np.frombuffer(places.as_buffer(), np.int32)
+                if listed.is_valid:
+                    low, n = words.first[row], words.first[row + 1] - words.first[row]
+                    at = np.frombuffer(listed.as_buffer(), np.int32)
                     marked[low + at[at < n]] = True
             starts = starts[marked[place]]
             symbols = _symbols(words, width)[starts]
@@ -256,7 +281,7 @@ def _send_suffixes(width: int, parts: int, frequent: list[np.ndarray]):
             for length, known in enumerate(frequent, 2):
                 longer = np.isin(prefix, known)
                 prefix = np.where(longer, _prefix(symbols, length), prefix)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
             box.add(part=_share(prefix, parts).astype(np.int64), doc=ids[row], pos=(starts - words.first[row]).astype(np.int32), key=symbols)
             if box.count >= FLUSH:
                 yield from flush(box)
@@ -266,15 +291,19 @@ def _send_suffixes(width: int, parts: int, frequent: list[np.ndarray]):
     return run
 
 
-def _removals(table: pa.Table) -> pa.Table:
+def _removals(parts: int):
     """Step 3: the subtrees of one part; every leaf of a deep node but those of its smallest document is a removal."""
-    doc, pos, symbols = _unpacked(table, 0, np.uint32, BLOCKS)
-    order, _, node, least = _deep_nodes(doc, symbols)
-    doc, pos, symbols = doc[order], pos[order], symbols[order]
-    gone = doc > least[node] if len(doc) else np.zeros(0, bool)
-    sure_doc, sure_pos, check = _unpacked(table, 1, np.uint32)
-    check = np.concatenate([symbols[gone, -1], check[:, 0]])
-    return _by_doc(np.concatenate([doc[gone], sure_doc]), np.concatenate([pos[gone], sure_pos]), check)
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, pos, symbols = _unpacked(table, 0, np.uint32, BLOCKS)
+        order, _, node, least = _deep_nodes(doc, symbols)
+        doc, pos, symbols = doc[order], pos[order], symbols[order]
+        gone = doc > least[node] if len(doc) else np.zeros(0, bool)
+        sure_doc, sure_pos, check = _unpacked(table, 1, np.uint32)
+        check = np.concatenate([symbols[gone, -1], check[:, 0]])
+        return _to_documents(np.concatenate([doc[gone], sure_doc]), np.concatenate([pos[gone], sure_pos]), check, parts)
+
+    return run
 
 
 def _cut(width: int):
@@ -287,16 +316,14 @@ def _cut(width: int):
             symbols = None
             covered = np.zeros(len(words.hashes) + width + 1, np.int64)
             for row, (places, checks) in enumerate(zip(batch.column("removed_pos"), batch.column("removed_check"))):
-                if places.values is None:
+                if not places.is_valid:
                     continue
                 symbols = _symbols(words, width) if symbols is None else symbols
                 low, n = words.first[row], words.first[row + 1] - words.first[row]
-                for p, c in zip(places.values, checks.values):
-                    at, check = np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.uint32)
-                    fits = at + width <= n
-                    at, check = at[fits] + low, check[fits]
-                    at = at[symbols[at, -1] == check]
-                    covered[at] = 1
+                at, check = np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(checks.as_buffer(), np.uint32)
+                fits = at + width <= n
+                at, check = at[fits] + low, check[fits]
+                covered[at[symbols[at, -1] == check]] = 1
             # A word goes if one of the width windows up to it is a removal.
             total = np.concatenate([[0], np.cumsum(covered)])
             n_all = len(words.hashes)
@@ -350,16 +377,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, id
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     # Places are only valid in the text that they come from; rows with one id are told apart by the checks.
+    own = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
+    # The same rows meet both joins, so that one shuffle of the texts serves both.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     grams = named.mapInArrow(_send_grams(width, parts), PACKED)
-    flags = grams.groupBy("part").applyInArrow(_repeated_grams, BY_DOC).groupBy("doc_id").agg(F.collect_list("pos").alias("flags"))
+    flags = grams.groupBy("part").applyInArrow(_repeated_grams(parts), PACKED).groupBy("part").applyInArrow(_by_document(np.uint8), BY_DOC)
     frequent = _frequent_prefixes(named, width, sample)
-    suffixes = named.join(flags, "doc_id").mapInArrow(_send_suffixes(width, parts, frequent), PACKED)
-    removals = suffixes.groupBy("part").applyInArrow(_removals, BY_DOC)
-    removals = removals.groupBy("doc_id").agg(F.collect_list("pos").alias("removed_pos"), F.collect_list("check").alias("removed_check"))
-    removals = removals.withColumnRenamed("doc_id", "removed_doc")
-    own = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = packed.join(removals, packed["doc_id"] == removals["removed_doc"], "left").select("own", "text", "removed_pos", "removed_check")
+    flagged = rows.join(flags.select("doc_id", F.col("pos").alias("flags")), "doc_id", "left")
+    suffixes = flagged.mapInArrow(_send_suffixes(width, parts, frequent), PACKED)
+    removals = suffixes.groupBy("part").applyInArrow(_removals(parts), PACKED).groupBy("part").applyInArrow(_by_document(np.uint32), BY_DOC)
+    removals = removals.select("doc_id", F.col("pos").alias("removed_pos"), F.col("check").alias("removed_check"))
+    joined = rows.join(removals, "doc_id", "left").select("own", "text", "removed_pos", "removed_check")
     schema = schema_with(joined.select("own").schema, "text string, n_words long, n_removed long")
     cut = joined.mapInArrow(_cut(width), schema)
     fields = {c: F.col("own")[c].alias(c) for c in own}
