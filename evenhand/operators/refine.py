@@ -44,8 +44,10 @@ class RefineConfig:
     direction: str = "descend"
     # Divide the moving average by 1 - (1 - beta)^t, so that its first values are not near 0.
     corrected_ema: bool = False
+    # The Hessian and the pull on the features take the plain mean loss, as published, or the weighted one.
+    weighted_curvature: bool = False
     # Added to the Hessian's diagonal before the solve.
-    damping: float = 1e-2
+    damping: float = 0.0
 
     def __post_init__(self) -> None:
         if self.stop not in ("eo_gap", "grad_inf"):
@@ -67,6 +69,8 @@ class _Points:
         self.y = rows["y"].to_numpy(dtype=float)
         self.x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), width)
         self.weight = np.full(len(rows), 1.0 / len(rows)) if len(rows) else np.zeros(0)
+        # Weights of the loss whose curvature and mixed derivatives are taken.
+        self.curved = self.weight
 
     def __len__(self) -> int:
         return len(self.y)
@@ -82,14 +86,14 @@ class _Points:
     def curvature(self, theta: np.ndarray) -> np.ndarray:
         z = self.inputs
         p = _sigmoid(z @ theta)
-        return z.T @ (z * (self.weight * p * (1.0 - p))[:, None])
+        return z.T @ (z * (self.curved * p * (1.0 - p))[:, None])
 
     def feature_pull(self, theta: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Derivative of (loss gradient . h) with respect to each row's features."""
         z = self.inputs
         p = _sigmoid(z @ theta)
-        along = self.weight * p * (1.0 - p) * (z @ h)
-        return np.outer(along, theta[:-1]) + np.outer(self.weight * (p - self.y), h[:-1])
+        along = self.curved * p * (1.0 - p) * (z @ h)
+        return np.outer(along, theta[:-1]) + np.outer(self.curved * (p - self.y), h[:-1])
 
 
 def _group_weights(a: np.ndarray, y: np.ndarray, cap: float) -> np.ndarray:
@@ -134,10 +138,18 @@ def _inner_fit(theta, gradient, steps: int, rate: float) -> np.ndarray:
     return theta
 
 
+def _direction(hessian: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The solution of ``hessian @ h = v``; the shortest least-squares one if it is singular."""
+    try:
+        return np.linalg.solve(hessian, v)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(hessian, v, rcond=None)[0]
+
+
 def refine_points(points: pd.DataFrame, anchor: np.ndarray, cfg: RefineConfig, move: bool = True) -> pd.DataFrame:
     """Refine one client's synthetic rows and pseudo-positives against its minibatch.
 
-    Returns them with moved features, and one row of kind ``theta`` with the local weights.
+    ``move=False`` is the plain local fit, whose loss has no weights. Returns them with moved features, and one row of kind ``theta`` with the local weights.
     """
     width = len(anchor) - 1
     points = points.sort_values(["kind", "pt_id"], kind="stable")
@@ -150,9 +162,11 @@ def refine_points(points: pd.DataFrame, anchor: np.ndarray, cfg: RefineConfig, m
         fair = _Points(pd.concat([batch.rows, extra[extra["a"].isin(absent)]]), width)
     else:
         fair = batch
-    if cfg.weighted and len(synthetic):
+    if cfg.weighted and move and len(synthetic):
         w = _group_weights(synthetic.a, synthetic.y, cfg.weight_cap)
         synthetic.weight = w / w.sum()
+        if cfg.weighted_curvature:
+            synthetic.curved = synthetic.weight
     pull_up = cfg.universum_strength if len(universum) and (synthetic.y == 0).sum() > (synthetic.y == 1).sum() else 0.0
     ridge = cfg.strength_inner / len(anchor) ** 2 if move else cfg.strength_inner
 
@@ -174,7 +188,7 @@ def refine_points(points: pd.DataFrame, anchor: np.ndarray, cfg: RefineConfig, m
         hessian = synthetic.curvature(theta) + (ridge + cfg.damping) * np.eye(len(theta))
         if pull_up:
             hessian += pull_up * universum.curvature(theta)
-        h = np.linalg.solve(hessian, v)
+        h = _direction(hessian, v)
         sign = 1.0 if cfg.direction == "descend" else -1.0
         largest = 0.0
         for part, factor in ((synthetic, 1.0), (universum, pull_up)):

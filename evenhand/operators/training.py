@@ -1,77 +1,108 @@
 """Ridge-anchored logistic fits with Spark ML.
 
 The objective is the mean logistic loss plus ``strength / (2 w^2) * |theta - anchor|^2`` with ``w`` the
-number of weights. Fits read rows ``(a, y, x)`` and give weights in the order ``[x..., a]``.
+number of weights, constant inputs included. Fits read rows ``(a, y, x)`` and give weights in the order
+``[x..., a]``.
+
+A row ``(z, y)`` has the same loss as ``(-z, 1 - y)``. Each row goes in as both: no input is constant any
+more (Spark ML would give it no weight), both classes are there whatever the labels are, and the
+optimum stays the same. With the ridge it is finite even for one class.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.vectors import score
 
-# Optimiser steps. On separable rows the optimum is nearly unbounded, so steps are capped.
-MAX_STEPS = 25
-
-
-def _inputs(df: DataFrame, width: int, constant_at: int | None) -> DataFrame:
-    """``(x, a, y, features)``; the constant input, which Spark ML would weigh 0, is not a feature."""
-    kept = [F.col("x")[i] for i in range(width) if i != constant_at]
-    features = array_to_vector(F.array(*kept, F.col("a").cast("double")))
-    return df.select("x", "a", F.col("y").cast("double").alias("y"), features.alias("features"))
-
-
-def _weights(coefficients: Sequence[float], intercept: float, constant_at: int | None) -> list[float]:
-    out = [float(c) for c in coefficients]
-    if constant_at is not None:
-        out.insert(constant_at, float(intercept))
-    return out
-
-
-def fit_logistic(
-    df: DataFrame, width: int, strength: float, constant_at: int | None = None, max_steps: int = MAX_STEPS
-) -> list[float]:
-    """Fit anchored at 0. ``constant_at`` is the position of a constant input: it is fitted as the
-    intercept (which Spark leaves without penalty) and written back in its place."""
-    ready = _inputs(df, width, constant_at)
-    fitted = LogisticRegression(
-        featuresCol="features",
-        labelCol="y",
-        regParam=strength / (width + 1) ** 2,
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=constant_at is not None,
-        maxIter=max_steps,
-        tol=1e-6,
-    ).fit(ready)
-    return _weights(fitted.coefficients, fitted.intercept, constant_at)
-
-
-def fit_shift(
-    df: DataFrame,
-    width: int,
-    strength: float,
-    anchor: Sequence[float],
-    constant_at: int | None = None,
-    max_steps: int = MAX_STEPS,
-) -> list[float]:
-    """Fit anchored at ``anchor``: the score of the anchor is an offset and the shift is penalised."""
-    ready = _inputs(df, width, constant_at).withColumn("offset", score("x", "a", anchor))
-    fitted = GeneralizedLinearRegression(
-        featuresCol="features",
-        labelCol="y",
-        offsetCol="offset",
-        family="binomial",
-        link="logit",
-        regParam=strength / (width + 1) ** 2,
-        fitIntercept=constant_at is not None,
-        maxIter=max_steps,
-        tol=1e-6,
-    ).fit(ready)
-    shift = _weights(fitted.coefficients, fitted.intercept, constant_at)
-    return [z + s for z, s in zip(anchor, shift, strict=True)]
+# Optimiser steps of a run of published length. A fit that needs more says so.
+MAX_STEPS = 500
+# Relative improvement of the objective at which the optimiser comes to rest.
+TOLERANCE = 1e-6
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Weights ``[x..., a]``, the steps taken, and whether the optimiser came to rest before its last one."""
+
+    weights: list[float]
+    steps: int
+    converged: bool
+
+
+def _mirrored(df: DataFrame, width: int, offset: Sequence[float] | None) -> DataFrame:
+    """``(y, features)`` with every row and its mirror image; the anchor's score is the last feature."""
+    inputs = [F.col("x")[i] for i in range(width)] if width <= 64 else None
+    z = F.array(*inputs, F.col("a").cast("double")) if inputs is not None else F.concat("x", F.array(F.col("a").cast("double")))
+    if offset is not None:
+        z = F.concat(z, F.array(_offset(offset)))
+    rows = df.select(z.alias("z"), F.col("y").cast("double").alias("y"))
+    both = F.array(
+        F.struct("z", "y"), F.struct(F.transform("z", lambda v: -v).alias("z"), (F.lit(1.0) - F.col("y")).alias("y"))
+    )
+    return rows.select(F.inline(both)).select("y", array_to_vector("z").alias("features"))
+
+
+def _offset(anchor: Sequence[float]):
+    """The anchor's score; beyond a few inputs as one expression over the array instead of one per input."""
+    if len(anchor) <= 65:
+        return score("x", "a", anchor)
+    weights = F.expr(f"array({', '.join(f'{float(w)!r}D' for w in anchor[:-1])})")
+    products = F.zip_with("x", weights, lambda v, w: v * w)
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.lit(float(anchor[-1])) * F.col("a").cast("double")
+
+
+def fit_anchored(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Fit anchored at ``anchor``: its score is an input whose weight is held at 1, and the shift is penalised.
+
+    No rows give the anchor itself.
+    """
+    anchor = [float(z) for z in anchor]
+    if len(anchor) != width + 1:
+        raise ValueError(f"{len(anchor)} weights for {width} features and the group")
+    shifted = any(z != 0.0 for z in anchor)
+    ready = _mirrored(df, width, anchor if shifted else None).persist()
+    try:
+        if ready.isEmpty():
+            return Fit(anchor, 0, True)
+        model = LogisticRegression(
+            featuresCol="features",
+            labelCol="y",
+            regParam=strength / (width + 1) ** 2,
+            elasticNetParam=0.0,
+            standardization=False,
+            fitIntercept=False,
+            maxIter=max_steps,
+            tol=tolerance,
+        )
+        if shifted:
+            free = width + 1
+            model = model.setLowerBoundsOnCoefficients(DenseMatrix(1, free + 1, [-math.inf] * free + [1.0]))
+            model = model.setUpperBoundsOnCoefficients(DenseMatrix(1, free + 1, [math.inf] * free + [1.0]))
+        fitted = model.fit(ready)
+    finally:
+        ready.unpersist()
+    steps = fitted.summary.totalIterations
+    shift = [float(c) for c in fitted.coefficients][: width + 1]
+    converged = steps < max_steps
+    if not converged:
+        warnings.warn(f"the fit took all of its {max_steps} steps and has not come to rest", stacklevel=2)
+    return Fit([z + s for z, s in zip(anchor, shift)], steps, converged)
+
+
+def fit_shift(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS) -> list[float]:
+    """The weights of :func:`fit_anchored`."""
+    return fit_anchored(df, width, strength, anchor, max_steps).weights
+
+
+def fit_logistic(df: DataFrame, width: int, strength: float, max_steps: int = MAX_STEPS) -> list[float]:
+    """The weights of the fit anchored at 0."""
+    return fit_anchored(df, width, strength, [0.0] * (width + 1), max_steps).weights

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import vectors
-from evenhand.operators import metrics as m, training
-from evenhand.operators.sizes import cut_lineage
+from evenhand.operators import metrics as m
 from evenhand.operators.splits import split_by_count
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
-from evenhand.plans.catalog.fitting import training_lines
-from evenhand.plans.views import CLIENTS, SEED, WIDTH
+from evenhand.plans.catalog.fitting import FIT_ANCHOR, SCALED, exact_fit, newton, scaled_lines
+from evenhand.plans.views import CLIENTS, SEED
 
 
 def _report(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> DataFrame:
@@ -110,15 +109,30 @@ def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("g11_model_agreement")
+def _held_out_share(weights: str) -> str:
+    return f"SELECT avg(CAST(CAST(t0 * x + t1 * a > 0 AS INT) = y AS INT)::DOUBLE) FROM scaled, {weights} WHERE client_id = 0"
+
+
+@register(
+    "g11_model_agreement",
+    o.query(
+        f"SELECT {o.rnd('l')} AS accuracy_left, {o.rnd('r')} AS accuracy_right, {o.rnd('abs(l - r)')} AS gap, abs(l - r) <= 0.02::DOUBLE AS agrees "
+        f"FROM (SELECT ({_held_out_share('first')}) AS l, ({_held_out_share('second')}) AS r)",
+        "lines",
+        scaled=SCALED,
+        seen="SELECT x, a, y FROM scaled WHERE client_id <> 0",
+        **newton("seen", 1e-4, [0.0, 0.0], "first"),
+        **newton("seen", 1e-4, FIT_ANCHOR, "second"),
+    ),
+)
 def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The baseline fit against an independent solver, on standardised line items."""
-    rows = cut_lineage(training_lines(spark, sf_dir))
-    first = training.fit_logistic(rows, WIDTH, 1e-4)
-    second = training.fit_shift(rows, WIDTH, 1e-4, [0.0] * (WIDTH + 1))
+    """The plain fit against the anchored solver, on a client that neither has seen."""
+    rows = scaled_lines(spark, sf_dir)
+    seen, held_out = rows.filter("client_id <> 0"), rows.filter("client_id = 0")
+    first, second = exact_fit(seen, 1e-4, [0.0, 0.0]), exact_fit(seen, 1e-4, FIT_ANCHOR)
 
     def judged(theta: Sequence[float]) -> DataFrame:
-        return rows.select("y", vectors.predict(vectors.score("x", "a", theta)).alias("pred"))
+        return held_out.select("y", vectors.predict(vectors.score("x", "a", theta)).alias("pred"))
 
     return m.agreement(judged(first), judged(second), 0.02).select(
         *[F.round(c, 6).alias(c) for c in ("accuracy_left", "accuracy_right", "gap")], "agrees"

@@ -128,20 +128,63 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("row_id", "client_id", "a", "y", vectors.assemble(views.LINE_FEATURES).alias("x"))
 
 
+FIT_FEATURE = "l_quantity"
+FIT_ANCHOR = [0.5, -0.3]
+NEWTON_STEPS = 8
+
+
+def newton(rows: str, strength: float, anchor: list[float], name: str = "n") -> dict[str, str]:
+    """CTEs of Newton steps on ``rows(x, a, y)``, two weights each; the last one is ``{name}``."""
+    pull = [f"{o.dbl(strength / 4)} * (t{i} - {o.dbl(z)})" for i, z in enumerate(anchor)]
+    ctes = {f"{name}0": f"SELECT {o.dbl(anchor[0])} AS t0, {o.dbl(anchor[1])} AS t1"}
+    for k in range(1, NEWTON_STEPS + 1):
+        p = f"SELECT x, a, y, t0, t1, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(t0 * x + t1 * a))) AS p FROM {rows}, {name}{k - 1}"
+        sums = (
+            f"SELECT t0, t1, avg((p - y) * x) + {pull[0]} AS g0, avg((p - y) * a) + {pull[1]} AS g1, avg(p * (1 - p) * x * x) + {o.dbl(strength / 4)} AS h00, "
+            f"avg(p * (1 - p) * x * a) AS h01, avg(p * (1 - p) * a * a) + {o.dbl(strength / 4)} AS h11 FROM ({p}) GROUP BY t0, t1"
+        )
+        last = name if k == NEWTON_STEPS else f"{name}{k}"
+        ctes[last] = f"SELECT t0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS t0, t1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS t1 FROM ({sums})"
+    return ctes
+
+
+SCALED = f"SELECT client_id, a, y, ({FIT_FEATURE} - avg({FIT_FEATURE}) OVER ()) / stddev_pop({FIT_FEATURE}) OVER () AS x FROM lines"
+
+
+def scaled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One standardised feature of the line items."""
+    scaled = prepare.standardize(views.line_columns(spark, sf_dir), [FIT_FEATURE])
+    return scaled.select("row_id", "client_id", "a", "y", vectors.assemble([FIT_FEATURE]).alias("x"))
+
+
+def exact_fit(rows: DataFrame, strength: float, anchor: list[float]) -> list[float]:
+    """Weights to more digits than a run needs."""
+    return training.fit_anchored(rows, 1, strength, anchor, tolerance=1e-12).weights
+
+
 def _fitted(spark: SparkSession, theta: list[float], rows: DataFrame) -> DataFrame:
-    """Weights, the length of the gradient at them, and how they do per client."""
-    scored = rows.withColumn("f", vectors.score("x", "a", theta))
-    judged = scored.withColumn("pred", vectors.predict(F.col("f")))
+    """Weights, and how they do per client."""
+    judged = rows.withColumn("pred", vectors.predict(vectors.score("x", "a", theta)))
     report = metrics.evaluate(metrics.outcome_counts(judged, ["client_id"]), ["client_id"])
-    weights = [F.lit(round(t, 3)).alias(f"theta{i}") for i, t in enumerate(theta)]
-    return report.select("client_id", F.round("accuracy", 3).alias("accuracy"), F.round("eo_gap", 3).alias("eo_gap"), *weights)
+    weights = [F.lit(round(t, 4)).alias(f"theta{i}") for i, t in enumerate(theta)]
+    return report.select("client_id", F.round("accuracy", 6).alias("accuracy"), F.round("eo_gap", 6).alias("eo_gap"), *weights)
+
+
+def _fit_oracle(strength: float, anchor: list[float]) -> str:
+    return o.query(
+        f"SELECT client_id, {o.rnd(o.METRIC['accuracy'])} AS accuracy, {o.rnd(o.METRIC['eo_gap'])} AS eo_gap, round(t0, 4) AS theta0, round(t1, 4) AS theta1 "
+        f"FROM (SELECT client_id, {o.outcome_cells()} FROM judged GROUP BY client_id), n",
+        "lines",
+        scaled=SCALED,
+        **newton("scaled", strength, anchor),
+        judged="SELECT client_id, a, y, CAST(t0 * x + t1 * a > 0 AS INT) AS pred FROM scaled, n",
+    )
 
 
-@register("f7_anchored_fit")
+@register("f7_anchored_fit", _fit_oracle(0.4, FIT_ANCHOR))
 def anchored_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut_lineage(training_lines(spark, sf_dir))
-    anchor = [0.5, -0.5, 0.2, 0.0, 0.1]
-    return _fitted(spark, training.fit_shift(rows, WIDTH, 1e-4, anchor), rows)
+    rows = scaled_lines(spark, sf_dir)
+    return _fitted(spark, exact_fit(rows, 0.4, FIT_ANCHOR), rows)
 
 
 @register(
@@ -164,10 +207,10 @@ def gradient_at_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gradient.select(*[F.round(c, 4).alias(c) for c in gradient.columns])
 
 
-@register("f8_baseline_fit")
+@register("f8_baseline_fit", _fit_oracle(1e-4, [0.0, 0.0]))
 def baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut_lineage(training_lines(spark, sf_dir))
-    return _fitted(spark, training.fit_logistic(rows, WIDTH, 1e-4), rows)
+    rows = scaled_lines(spark, sf_dir)
+    return _fitted(spark, exact_fit(rows, 1e-4, [0.0, 0.0]), rows)
 
 
 def _client_points(spark: SparkSession, sf_dir: str) -> DataFrame:

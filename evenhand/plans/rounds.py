@@ -237,9 +237,8 @@ def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataF
         client_rows(train, config), config.seed, config.rounds, width, clients, config.universum, config.buffer
     )
     thetas = train_rounds(cut_lineage(drawn, ["round"]), config, width)
-    constant = width - 1 if config.intercept else None
     models = {
-        "baseline": training.fit_logistic(train, width, config.strength, constant_at=constant),
+        "baseline": training.fit_logistic(train, width, config.strength),
         "pipeline": thetas[config.rounds - 1],
     }
     logs = {row["round"]: row for row in judge_weights(val, thetas, width).collect()}

@@ -51,6 +51,14 @@ def test_loss_gradient_and_curvature():
     eps = 1e-6
     change = (part.gradient(theta + eps * h) - part.gradient(theta - eps * h)) / (2 * eps)
     assert part.curvature(theta) @ h == pytest.approx(change, abs=1e-8)
+    # Importance weights leave the curvature alone unless it is asked to take them.
+    plain = part.curvature(theta)
+    part.weight = refine._group_weights(part.a, part.y, 10.0)
+    part.weight = part.weight / part.weight.sum()
+    assert (part.curvature(theta) == plain).all()
+    part.curved = part.weight
+    change = (part.gradient(theta + eps * h) - part.gradient(theta - eps * h)) / (2 * eps)
+    assert part.curvature(theta) @ h == pytest.approx(change, abs=1e-8)
     pull = part.feature_pull(theta, h)
     base = part.x.copy()
     part.x = base.copy()
@@ -104,6 +112,18 @@ def test_no_universum_single_class_and_buffer():
     assert filled.gap.iloc[0] > 0.0
 
 
+def test_singular_curvature_has_a_direction():
+    h = refine._direction(np.diag([2.0, 0.0]), np.array([1.0, 0.0]))
+    assert h == pytest.approx([0.5, 0.0])
+
+
+def test_local_fit_has_no_weights():
+    points, anchor = _points(4), np.zeros(WIDTH + 1)
+    plain = refine.refine_points(points, anchor, refine.RefineConfig(weighted=False), move=False)
+    asked = refine.refine_points(points, anchor, refine.RefineConfig(weighted=True), move=False)
+    assert all(np.array_equal(u, v) for u, v in zip(plain.x, asked.x))
+
+
 def test_grouped_job_is_deterministic_and_keeps_labels(spark):
     both = pd.concat([_points(0), _points(5).assign(client_id=1)])
     rows = [tuple(r) for r in both.assign(x=both.x.map(lambda v: [float(z) for z in v])).itertuples(index=False, name=None)]
@@ -136,13 +156,19 @@ def test_both_fits_find_the_optimum(spark):
     assert max(map(abs, gradient)) < 1e-3
 
 
-def test_constant_input_becomes_the_intercept(spark):
+def _gradient(df, theta, anchor, strength):
+    """Length of the objective's gradient at the weights."""
+    pull = [strength / len(theta) ** 2 * (t - z) for t, z in zip(theta, anchor)]
+    found = f.mean_gradient(df.withColumn("f", training.score("x", "a", theta)), "x", len(theta) - 1, pull).first()
+    return max(map(abs, found))
+
+
+def test_constant_input_is_a_weight_like_others(spark):
     df = _training(spark, constant=True)
-    theta = training.fit_logistic(df, 3, 1e-4, constant_at=2)
-    shifted = training.fit_shift(df, 3, 1e-4, [0.0] * 4, constant_at=2)
-    assert theta[2] != 0 and shifted == pytest.approx(theta, abs=1e-3)
-    gradient = f.mean_gradient(df.withColumn("f", training.score("x", "a", theta)), "x", 3, [0.0] * 4).first()
-    assert max(map(abs, gradient)) < 1e-3
+    for anchor in ([0.0] * 4, [0.2, 0.1, -0.4, 0.3]):
+        fit = training.fit_anchored(df, 3, 0.5, anchor)
+        assert fit.converged and 0 < fit.steps < training.MAX_STEPS
+        assert fit.weights[2] != 0 and _gradient(df, fit.weights, anchor, 0.5) < 1e-4
 
 
 def test_separable_rows_stay_finite(spark):
@@ -152,6 +178,42 @@ def test_separable_rows_stay_finite(spark):
         assert np.isfinite(theta).all() and theta[0] > 0
 
 
+def test_no_rows_give_the_anchor(spark):
+    df = _training(spark).limit(0)
+    assert training.fit_anchored(df, 2, 1e-4, [0.3, 0.2, 0.1]) == training.Fit([0.3, 0.2, 0.1], 0, True)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_gives_finite_weights(spark, label):
+    rows = [([float(i % 5) - 2.0, 1.0], i % 2, label) for i in range(20)]
+    df = spark.createDataFrame(rows, "x array<double>, a int, y int")
+    for anchor in ([0.0] * 3, [0.5, -0.2, 0.1]):
+        fit = training.fit_anchored(df, 2, 0.1, anchor)
+        assert np.isfinite(fit.weights).all() and _gradient(df, fit.weights, anchor, 0.1) < 1e-4
+        assert (fit.weights[1] > anchor[1]) == (label == 1)
+
+
+def test_equal_rows_move_all_weights(spark):
+    df = spark.createDataFrame([([2.0], 1, 1)] * 4, "x array<double>, a int, y int")
+    fit = training.fit_anchored(df, 1, 0.4, [0.1, 0.0])
+    assert _gradient(df, fit.weights, [0.1, 0.0], 0.4) < 1e-4
+
+
+def test_five_thousand_inputs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(rng.normal(size=5000).tolist(), int(i % 2), int(rng.random() < 0.5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "x array<double>, a int, y int")
+    anchor = [0.001] * 5001
+    fit = training.fit_anchored(df, 5000, 10.0, anchor)
+    assert len(fit.weights) == 5001 and np.isfinite(fit.weights).all()
+
+
+def test_steps_that_do_not_suffice_are_reported(spark):
+    with pytest.warns(UserWarning, match="not come to rest"):
+        fit = training.fit_anchored(_training(spark), 2, 1e-4, [0.1, 0.0, 0.0], max_steps=1)
+    assert not fit.converged
+
+
 def test_losses_by_hand(spark):
     df = spark.createDataFrame([(0.0, 1, 1), (100.0, 0, 0), (-100.0, 1, 0)], "f double, y int, a int")
     got = [r[0] for r in df.select(f.logistic_loss(F.col("f"), F.col("y"))).collect()]
