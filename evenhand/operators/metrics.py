@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.values import ratio
-from evenhand.operators.ranks import VALUE_RESOLUTION, exact_quantiles, value_bucket
-from evenhand.operators.sizes import small_side
+from evenhand.operators.ranks import exact_quantiles
+from evenhand.operators.sizes import cut_lineage, small_side
 
 # Number of threshold candidates: the quantiles 1/50, 2/50, ... 49/50 of the score.
 CANDIDATES = 49
@@ -135,21 +135,19 @@ def ranking_metrics(
     df: DataFrame,
     score: str = "f",
     by: Sequence[str] = (),
-    resolution: int = VALUE_RESOLUTION,
 ) -> DataFrame:
     """``(by..., roc_auc, pr_auc)``, exact, ties grouped; 0 where a class is missing.
 
-    Rows are first counted per distinct score. Cumulative counts then run inside buckets of the score,
-    on top of the totals of the buckets before, so neither a hot score nor a hot group meets one task.
+    Rows are first counted per distinct score. The scores are range-partitioned, which takes its borders
+    from the data, and written with their range; cumulative counts then run inside ranges, on top of the
+    totals of the ranges before, so no score, group or crowd of scores meets one task.
     """
     by = list(by)
-    counted = (
-        df.groupBy(*by, value_bucket(F.col(score), resolution).alias("_bucket"), F.col(score).alias("_f"))
-        .agg(
-            F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("_p"),
-            F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("_n"),
-        )
+    counted = df.groupBy(*by, F.col(score).alias("_f")).agg(
+        F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("_p"),
+        F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("_n"),
     )
+    counted = cut_lineage(counted.repartitionByRange(*by, "_f").withColumn("_bucket", F.spark_partition_id()))
     totals = counted.groupBy(*by, "_bucket").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"))
     keys = by if by else [F.lit(0)]
     higher = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)

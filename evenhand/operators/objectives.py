@@ -6,6 +6,7 @@ its anchor are model-sized lists on the driver; their ridge term is a constant o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -84,27 +85,34 @@ def augmented_objective(outer_loss: Column, gap: Column, multiplier: Column | fl
     return outer_loss + m * gap + F.lit(rho / 2.0) * gap * gap
 
 
+# Weights within a block of steps span at most so many powers of ten.
+_BLOCK_DECADES = 100.0
+
+
 def moving_average(steps: DataFrame, run: Sequence[str], step: str, value: str, beta: float = 0.15) -> DataFrame:
     """``(run..., step, value, ema)`` with ``ema = (1 - beta) * previous + beta * value``, from 0.
 
-    A run has as many steps as its solver took, so its sequence fits one row.
+    The average is a weighted running sum. It is taken within blocks of steps, so that weights stay in range,
+    and each block adds what the three before it have left; what is older weighs less than a double can hold.
     """
-    ordered = steps.groupBy(*run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("_steps")
-    )
-    smooth = F.aggregate(
-        "_steps",
-        F.array().cast("array<double>"),
-        lambda done, s: F.array_append(
-            done,
-            F.lit(1.0 - beta) * F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + F.lit(beta) * s["v"],
-        ),
-    )
-    return (
-        ordered.withColumn("_ema", smooth)
-        .select(*run, F.explode(F.arrays_zip("_steps", "_ema")).alias("_z"))
-        .select(*run, F.col("_z._steps.s").alias(step), F.col("_z._steps.v").alias(value), F.col("_z._ema").alias("ema"))
-    )
+    keep = 1.0 - beta
+    if not 0.0 <= keep < 1.0:
+        raise ValueError(f"beta {beta} is not in (0, 1]")
+    length = max(1, int(_BLOCK_DECADES / -math.log10(keep))) if keep else 1
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(step)) - 1
+    placed = steps.select(*run, step, F.col(value).cast("double").alias(value)).withColumn("_place", place)
+    placed = placed.withColumns({"_block": F.floor(F.col("_place") / length), "_in": F.col("_place") % length})
+    if keep == 0.0:
+        return placed.select(*run, step, value, F.col(value).alias("ema"))
+    upto = Window.partitionBy(*run, "_block").orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(F.lit(beta) * F.col(value) * F.pow(F.lit(keep), -F.col("_in"))).over(upto) * F.pow(F.lit(keep), F.col("_in"))
+    placed = placed.withColumn("_own", own)
+    ends = placed.groupBy(*run, "_block").agg(F.max_by("_own", "_in").alias("_end"))
+    back = Window.partitionBy(*run).orderBy("_block")
+    left = sum(F.coalesce(F.lag("_end", n).over(back), F.lit(0.0)) * F.lit(keep ** (length * (n - 1))) for n in (1, 2, 3))
+    carried = placed.join(ends.withColumn("_left", left), [*run, "_block"])
+    ema = F.col("_own") + F.col("_left") * F.pow(F.lit(keep), F.col("_in") + 1)
+    return carried.select(*run, step, value, ema.alias("ema"))
 
 
 def multiplier_path(smoothed: DataFrame, run: Sequence[str], step: str, rho: float) -> DataFrame:

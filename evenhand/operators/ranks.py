@@ -8,7 +8,7 @@ holds most of the rows is spread over its buckets like any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +17,10 @@ from evenhand.operators.sizes import cut_lineage, small_side
 
 # Buckets per factor e of a value's size: each is about 0.05 % of the value wide.
 VALUE_RESOLUTION = 2048
+# Parts that the rows of a bucket are dealt to, by where they lie between its smallest and largest value.
+PARTS = 1024
+# Further hash digits that part the rows of a hash bucket.
+PART_DIGITS = 3
 # Sizes below its inverse share a few buckets around 0; above its own inverse limit, the last bucket.
 _SMALLEST_UNIT = 1e9
 _LARGEST_VALUE = 1e290
@@ -25,13 +29,19 @@ _LARGEST_VALUE = 1e290
 def value_bucket(value: Column, resolution: int = VALUE_RESOLUTION) -> Column:
     """Order-preserving bucket of a double, relative to its size, so that values of any scale spread.
 
-    Only values that differ from each other by less than a bucket all over (a large constant plus a
-    little noise) crowd into few buckets; a higher ``resolution`` parts them.
+    Values that differ from each other by less than a bucket all over (a large constant plus a little
+    noise) crowd into few buckets; ``value_part`` parts them by the data itself.
     """
     size = F.log1p(F.least(F.abs(value), F.lit(_LARGEST_VALUE)) * F.lit(_SMALLEST_UNIT))
     return F.floor(F.signum(value) * size * F.lit(float(resolution))).cast("bigint")
 
 
+def value_part(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving part of a number within its bucket, whose values run from ``low`` to ``high``."""
+    place = (value - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(float(PARTS))
+    return F.when(F.isnan(place) | place.isNull(), F.lit(0)).otherwise(F.floor(F.least(place, F.lit(float(PARTS))))).cast("bigint")
+
+
 def values_at_ranks(
     df: DataFrame,
     value: Column,
@@ -39,18 +49,22 @@ def values_at_ranks(
     ranks: Column | DataFrame,
     by: Sequence[str] = (),
     bound: int | None = None,
+    part: Callable[[Column, Column, Column], Column] = value_part,
 ) -> DataFrame:
     """The values at 0-based ranks per ``by``: ``(by..., total, at MAP<rank, value>)``.
 
     ``ranks`` is an array expression of ``total``, the rows of the stratum (and of ``by``), or a small
     table ``(by..., ranks)``. Ranks beyond the stratum have no entry. ``bound`` bounds the number of
-    strata times ranks.
+    strata times ranks. ``part`` gives the order-preserving part of a value in a bucket with a smallest and
+    a largest one: a bucket that holds most of the rows is dealt out by it.
     """
     keys = list(by) or ["_all"]
     rows = df.select(*by, bucket.alias("_bucket"), value.alias("_value"))
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    histogram = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    histogram = rows.groupBy(*keys, "_bucket").agg(
+        F.count("*").alias("_n"), F.struct(F.min("_value").alias("low"), F.max("_value").alias("high")).alias("_ends")
+    )
     stratum = Window.partitionBy(*keys)
     before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.withColumns(
@@ -63,7 +77,8 @@ def values_at_ranks(
     # The wanted ranks line up with the bucket starts (the first bucket brings them along), and each
     # takes the last bucket that starts at or before it.
     own = F.struct(
-        F.col("_start").alias("pos"), F.lit(0).alias("wanted"), F.col("_bucket").alias("bucket"), F.col("_start").alias("start")
+        F.col("_start").alias("pos"), F.lit(0).alias("wanted"), F.col("_bucket").alias("bucket"),
+        F.col("_start").alias("start"), F.col("_ends").alias("ends"),
     )
     missing = F.lit(None)
     lookups = F.transform(
@@ -73,6 +88,7 @@ def values_at_ranks(
             F.lit(1).alias("wanted"),
             missing.cast(placed.schema["_bucket"].dataType).alias("bucket"),
             missing.cast("bigint").alias("start"),
+            missing.cast(placed.schema["_ends"].dataType).alias("ends"),
         ),
     )
     events = placed.select(
@@ -86,16 +102,19 @@ def values_at_ranks(
             {
                 "_bucket": F.last("bucket", ignorenulls=True).over(so_far),
                 "_start": F.last("start", ignorenulls=True).over(so_far),
+                "_ends": F.last("ends", ignorenulls=True).over(so_far),
             }
         )
         .filter((F.col("wanted") == 1) & (F.col("pos") < F.col("total")))
-        .groupBy(*keys, "_bucket", "_start", "total")
+        .groupBy(*keys, "_bucket", "_start", "_ends", "total")
         .agg(F.collect_list("pos").alias("ranks"))
     )
     # Only rows in the buckets with a wanted rank go on; equal values are counted before the shuffle.
+    cell = [*keys, "_bucket", "_part"]
     counted = (
         rows.join(small_side(hits, bound), [*keys, "_bucket"])
-        .groupBy(*keys, "_bucket", "_value")
+        .withColumn("_part", part(F.col("_value"), F.col("_ends.low"), F.col("_ends.high")))
+        .groupBy(*cell, "_value")
         .agg(
             F.count("*").alias("_n"),
             F.first("_start").alias("_start"),
@@ -103,10 +122,15 @@ def values_at_ranks(
             F.first("ranks").alias("ranks"),
         )
     )
-    upto = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts_before = (
+        Window.partitionBy(*keys, "_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = counted.groupBy(*cell).agg(F.sum("_n").alias("_in_part")).select(
+        *cell, F.coalesce(F.sum("_in_part").over(parts_before), F.lit(0)).alias("_part_start")
     )
-    end = F.col("_start") + F.sum("_n").over(upto)
+    upto = Window.partitionBy(*cell).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_start") + F.col("_part_start") + F.sum("_n").over(upto)
+    counted = counted.join(starts, cell)
     found = (
         counted.withColumn("_end", end)
         .withColumn(
@@ -177,7 +201,8 @@ def shuffle_cuts(
     """
     hashed = df.select(*by, h.alias("_h"))
     ranks = F.array(*counts) if not isinstance(counts, DataFrame) else counts.withColumnRenamed("counts", "ranks")
-    found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound)
+    further = lambda h, low, high: F.substring(h, digits + 1, PART_DIGITS)
+    found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound, further)
     if isinstance(counts, DataFrame):
         found = found.join(counts, list(by))
     else:

@@ -100,17 +100,33 @@ def sensitivity_table(runs: DataFrame) -> DataFrame:
     """Sweep runs by dataset and falling accuracy; final, winner and skewed runs are left out."""
     swept = runs.filter(F.col("rho").isNotNull() & F.col("eps").isNotNull())
     kept = swept.filter(~F.col("label").contains("winner") & ~F.col("label").contains("dirichlet"))
-    return kept.orderBy(F.col("dataset"), F.col("accuracy").desc(), F.col("label")).select(
+    # The order is that of the printed accuracy, ties by name.
+    return kept.orderBy(F.col("dataset"), fixed(F.col("accuracy")).cast("double").desc(), F.col("label")).select(
         "dataset", "variant", "rho", "eps", *[fixed(F.col(c)).alias(c) for c in ("accuracy", "eo_gap", "f1")]
     )
 
 
-def skew_table(expected: DataFrame, runs: DataFrame, keys: Sequence[str] = ("dataset", "partition")) -> DataFrame:
-    """Each expected partition with its result, or FAILED where there is none."""
+# What stands in the gap column where skew left no result. Fixed value.
+STARVED = "ZeroDivisionError/RuntimeError: extreme skew starves a client of data"
+
+
+def skew_table(
+    expected: DataFrame, runs: DataFrame, keys: Sequence[str] = ("dataset", "partition"), even: str = "iid", reason: str = STARVED
+) -> DataFrame:
+    """Per dataset the even partition, if it has a run, then the skewed ones from mild to strong, FAILED with the
+    reason where there is no run.
+
+    The last key is the partition's name; skewed ones are ordered by the number in it, the mildest (largest) first.
+    """
+    *groups, partition = keys
     joined = expected.join(runs, list(keys), "left")
-    return joined.select(
+    is_even, missing = F.col(partition) == even, F.col("accuracy").isNull()
+    size = F.regexp_extract(partition, r"([0-9.]+)", 1).try_cast("double")
+    shown = joined.filter(~(is_even & missing)).orderBy(*groups, ~is_even, size.desc(), partition)
+    return shown.select(
         *keys,
-        *[F.when(F.col(c).isNull(), FAILED).otherwise(fixed(F.col(c))).alias(c) for c in ("accuracy", "eo_gap")],
+        F.when(missing, FAILED).otherwise(fixed(F.col("accuracy"))).alias("accuracy"),
+        F.when(missing, reason).otherwise(fixed(F.col("eo_gap"))).alias("eo_gap"),
     )
 
 
@@ -253,16 +269,15 @@ def convergence(results: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def distinct_baselines(runs: DataFrame) -> DataFrame:
-    """One baseline per dataset and accuracy to four digits, the one of the first label."""
-    key = F.round(F.coalesce("base_acc", F.lit(0.0)), 4).alias("base_acc_key")
-    return (
-        runs.filter(F.col("base_acc").isNotNull())
-        .groupBy("dataset", key)
-        .agg(
-            F.min("label").alias("label"),
-            F.min_by("base_acc", "label").alias("base_acc"),
-            F.min_by("base_eo", "label").alias("base_eo"),
-        )
+    """One baseline per dataset and accuracy to four digits, the one of the first label.
+
+    Runs without a result of the fair model (``pipe_acc``) are skipped before their baseline is looked at.
+    """
+    shown = runs.filter(F.col("pipe_acc").isNotNull() & F.col("base_acc").isNotNull())
+    return shown.groupBy("dataset", F.round("base_acc", 4).alias("base_acc_key")).agg(
+        F.min("label").alias("label"),
+        F.min_by("base_acc", "label").alias("base_acc"),
+        F.min_by("base_eo", "label").alias("base_eo"),
     )
 
 

@@ -346,7 +346,7 @@ def _counted(source: str) -> str:
         + ", ".join(f"{o.rnd(c)} AS {n}" for n, c in _AREAS.items())
         + " FROM tuned t JOIN plain p USING (model) JOIN scores_areas USING (model)",
         "model_rows",
-        scores="SELECT model, a, y, f, pred, CAST(f > CASE model WHEN 'baseline' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS INT) AS cut FROM model_rows",
+        scores="SELECT model, a, y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least(f, 50.0::DOUBLE), -50.0::DOUBLE))) AS f, pred, CAST(model_rows.f > CASE model WHEN 'baseline' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS INT) AS cut FROM model_rows",
         tuned="SELECT model, " + ", ".join(f"{o.rnd(o.METRIC[c])} AS {n}" for n, c in _TUNED.items())
         + f" FROM ({_counted('(SELECT model, a, y, cut AS pred FROM scores)')})",
         plain="SELECT model, " + ", ".join(f"{o.rnd(o.METRIC[c])} AS {n}" for n, c in _EXTENDED.items())

@@ -141,16 +141,16 @@ def positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.query(
         "SELECT l_discount AS decile1b, l_tax AS decile3, "
         + ", ".join(f"0.0::DOUBLE AS {c}" for c in LAW_FEATURES[2:])
-        + ", a::DOUBLE AS race, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS pass_bar FROM ranked "
-        "WHERE rn <= greatest(1, CAST(floor(n * 0.8::DOUBLE) AS BIGINT))",
+        + ", a::DOUBLE AS race, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS pass_bar, "
+        "CASE WHEN rn <= greatest(1, CAST(floor(n * 0.8::DOUBLE) AS BIGINT)) THEN 'train' ELSE 'test' END AS split FROM ranked",
         "lines",
         ranked=f"SELECT *, row_number() OVER (ORDER BY {o.draw('split', 'row_id')}) AS rn, count(*) OVER () AS n FROM lines",
     ),
 )
 def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.split_by_count(views.line_columns(spark, sf_dir), "row_id", SEED, 0.8, ("train", "test"), at_least=1)
-    last = {"race": F.col("a").cast("double"), "pass_bar": values.to_minus_one_one("y").cast("double")}
-    return prepare.widened(rows.filter("split = 'train'"), LAW_FEATURES, [F.col("l_discount"), F.col("l_tax")], last)
+    last = {"race": F.col("a").cast("double"), "pass_bar": values.to_minus_one_one("y").cast("double"), "split": F.col("split")}
+    return prepare.widened(rows, LAW_FEATURES, [F.col("l_discount"), F.col("l_tax")], last)
 
 
 _BROKEN = """CASE o_orderkey % 9 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE)

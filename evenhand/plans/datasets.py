@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evenhand.functions import values
 from evenhand.operators import prepare, splits
@@ -25,8 +25,16 @@ class Prepared:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Give file rows an id, and keep the numbered table so that every later scan sees the same ids."""
-    return cut_lineage(df.withColumn("row_id", F.monotonically_increasing_id().cast("string")))
+    """Give file rows an id that depends on their content alone, and keep the numbered table.
+
+    Equal rows are told apart by a number; they can stand for each other, so it does not matter which gets which.
+    Ids, and with them splits and samples, are the same however the files are cut, ordered or scanned.
+    """
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    again = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    keyed = df.withColumn("_content", content)
+    keyed = keyed.withColumn("row_id", F.concat_ws(":", "_content", again.cast("string"))).drop("_content")
+    return cut_lineage(keyed)
 
 
 def _parted(df: DataFrame, features: list[str], seed: int, test_share: float) -> Prepared:

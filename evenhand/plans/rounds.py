@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evenhand.functions.vectors import assemble, predict, score
+from evenhand.functions.vectors import assemble, predict, score, sigmoid
 from evenhand.operators import metrics, noise, prepare, refine, sampling, splits, synthesis, training
 from evenhand.operators.sizes import cut_lineage
 from evenhand.plans.datasets import Prepared
@@ -195,7 +195,10 @@ def thresholds(rows: DataFrame, models: Mapping[str, Sequence[float]], width: in
 def model_results(
     test: DataFrame, models: Mapping[str, Sequence[float]], cuts: Mapping[str, float], width: int
 ) -> DataFrame:
-    """``(model, result)``: metrics at the tuned threshold, and ``extended_metrics`` at threshold 0."""
+    """``(model, result)``: metrics at the tuned threshold, and ``extended_metrics`` at threshold 0.
+
+    The areas rank probabilities of clipped scores, so saturated scores tie.
+    """
     scored = scored_by_model(test, models, width)
     cut = F.element_at(F.create_map(*[F.lit(v) for m, t in cuts.items() for v in (m, float(t))]), F.col("model"))
     judged = scored.withColumns({"tuned": predict(F.col("f"), cut), "plain": predict(F.col("f"))})
@@ -211,7 +214,7 @@ def model_results(
     )
     plain = (
         report.filter("which = 'plain'")
-        .join(metrics.ranking_metrics(scored, "f", ["model"]), "model")
+        .join(metrics.ranking_metrics(scored.withColumn("f", sigmoid(F.col("f"))), "f", ["model"]), "model")
         .select("model", extended.alias("extended_metrics"))
     )
     tuned = report.filter("which = 'tuned'").select(
