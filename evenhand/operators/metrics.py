@@ -266,6 +266,12 @@ def within_tolerance(observed: DataFrame, expected: DataFrame, keys: Sequence[st
     )
 
 
+def raises_gap(full: DataFrame, ablated: DataFrame, keys: Sequence[str], gap: str = "eo_gap") -> DataFrame:
+    """Whether leaving a part out widens the gap: ``(keys..., full_gap, ablated_gap, ok)``, runs that both have."""
+    pairs = full.select(*keys, F.col(gap).alias("full_gap")).join(ablated.select(*keys, F.col(gap).alias("ablated_gap")), list(keys))
+    return pairs.withColumn("ok", F.col("ablated_gap") > F.col("full_gap"))
+
+
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(only_left, only_right)``: rows that the other side lacks, with multiplicity."""
     tagged = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))

@@ -187,20 +187,20 @@ def median(df: DataFrame, value: str, by: Sequence[str] = (), groups: int | None
 def shuffle_cuts(
     df: DataFrame,
     h: Column,
-    counts: Sequence[Column] | DataFrame,
+    counts: Column | DataFrame,
     by: Sequence[str] = (),
     bound: int | None = None,
     digits: int = 4,
 ) -> DataFrame:
     """Hashes that cut a table, taken in hash order, after given numbers of rows.
 
-    ``counts`` are expressions of ``total`` (the rows of the stratum) or a table ``(by..., counts)``; rows
+    ``counts`` is an ascending array expression of ``total`` (the rows of the stratum) or a table ``(by..., counts)``; rows
     from the hash of row ``count`` on are behind the cut. Returns ``(by..., cut_hashes ARRAY<STRING>)``,
     where a count that reaches the size of its stratum, with no row behind it, is null.
     ``digits`` sets the histogram: about 16**-digits of the rows are sorted per cut.
     """
     hashed = df.select(*by, h.alias("_h"))
-    ranks = F.array(*counts) if not isinstance(counts, DataFrame) else counts.withColumnRenamed("counts", "ranks")
+    ranks = counts.withColumnRenamed("counts", "ranks") if isinstance(counts, DataFrame) else counts
     further = lambda h, low, high: F.substring(h, digits + 1, PART_DIGITS)
     found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound, further)
     if isinstance(counts, DataFrame):
@@ -210,13 +210,19 @@ def shuffle_cuts(
     return found.select(*by, F.transform("counts", lambda c: F.try_element_at("at", c)).alias("cut_hashes"))
 
 
-def part_of(h: Column, cut_hashes: Column) -> Column:
-    """Number of cuts at or below the hash: the 0-based part of a row. A null cut is never reached.
+def part_of(h: Column, cut_hashes: Column, cuts: int) -> Column:
+    """Number of cuts at or below the hash: the 0-based part of a row. A null cut (at the end) is never reached.
 
-    The outer transform makes the hash a variable, so that it is computed once and not once per cut.
+    The cuts ascend, so halving steps find it: the expression and the work grow with the logarithm of ``cuts``.
+    The outer transform makes the hash a variable, so that it is computed once and not once per step.
     """
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, cuts.bit_length()) - 1, -1, -1)])
+
+    def reached(v: Column, n: Column) -> Column:
+        return F.coalesce(v >= F.get(cut_hashes, n - 1), F.lit(False))
+
     return F.transform(
-        F.array(h), lambda v: F.size(F.filter(cut_hashes, lambda c: F.coalesce(v >= c, F.lit(False))))
+        F.array(h), lambda v: F.aggregate(steps, F.lit(0), lambda n, step: F.when(reached(v, n + step), n + step).otherwise(n))
     )[0]
 
 

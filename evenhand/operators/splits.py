@@ -16,22 +16,20 @@ from evenhand.operators.ranks import part_of, shuffle_cuts
 from evenhand.operators.sizes import small_side
 
 
-def _cut_globally(df: DataFrame, h: Column, counts: Sequence[Column], output: str) -> DataFrame:
-    """Number the parts of the whole table; ``counts`` are expressions of its row count ``total``."""
-    cut_hashes = shuffle_cuts(df, h, counts, bound=len(counts)).select("cut_hashes").scalar()
+def _cut_globally(df: DataFrame, h: Column, counts: Column, cuts: int, output: str) -> DataFrame:
+    """Number the parts of the whole table; ``counts`` is an array of so many ``cuts``, of its row count ``total``."""
+    cut_hashes = shuffle_cuts(df, h, counts, bound=cuts).select("cut_hashes").scalar()
     # A table whose cuts all lie at its end has no cut row at all.
-    cuts = F.coalesce(cut_hashes, F.array().cast("array<string>"))
-    return df.withColumn("_cuts", cuts).withColumn(output, part_of(h, F.col("_cuts"))).drop("_cuts")
+    found = F.coalesce(cut_hashes, F.array().cast("array<string>"))
+    return df.withColumn("_cuts", found).withColumn(output, part_of(h, F.col("_cuts"), cuts)).drop("_cuts")
 
 
-def _cut_by_stratum(
-    df: DataFrame, h: Column, counts: Sequence[Column] | DataFrame, stratum: str, strata: int, parts: int, output: str
-) -> DataFrame:
-    bound = strata * parts
+def _cut_by_stratum(df: DataFrame, h: Column, counts: DataFrame, stratum: str, strata: int, cuts: int, output: str) -> DataFrame:
+    bound = strata * cuts
     hashes = shuffle_cuts(df, h, counts, [stratum], bound=bound)
     joined = df.join(small_side(hashes, bound), stratum, "left")
-    cuts = F.coalesce("cut_hashes", F.array().cast("array<string>"))
-    return joined.withColumn(output, part_of(h, cuts)).drop("cut_hashes")
+    found = F.coalesce("cut_hashes", F.array().cast("array<string>"))
+    return joined.withColumn(output, part_of(h, found, cuts)).drop("cut_hashes")
 
 
 def split_by_count(
@@ -45,7 +43,7 @@ def split_by_count(
 ) -> DataFrame:
     """Column ``split``: the first ``int(n * fraction)`` rows, and the rest."""
     first = F.greatest(F.lit(at_least), F.floor(F.col("total") * F.lit(float(fraction)))).cast("bigint")
-    parts = _cut_globally(df, draw_hash(seed, salt, key), [first], "_part")
+    parts = _cut_globally(df, draw_hash(seed, salt, key), F.array(first), 1, "_part")
     return parts.withColumn("split", F.when(F.col("_part") == 0, names[0]).otherwise(names[1])).drop("_part")
 
 
@@ -81,13 +79,15 @@ def given_split(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-def even_counts(rows: Column, parts: int, offset: Column | None = None) -> list[Column]:
-    """Where to cut ``rows`` rows into parts that differ by at most one row, larger ones first."""
+def even_counts(rows: Column, parts: int, offset: Column | None = None) -> Column:
+    """Where to cut ``rows`` rows into parts that differ by at most one row, larger ones first: an array."""
     start = F.lit(0).cast("bigint") if offset is None else offset
-    return [
-        (start + F.lit(k) * F.floor(rows / parts) + F.least(F.lit(k).cast("bigint"), rows % parts)).cast("bigint")
-        for k in range(1, parts)
-    ]
+    if parts < 2:
+        return F.array().cast("array<bigint>")
+    return F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.lit(parts - 1).cast("bigint")),
+        lambda k: (start + k * F.floor(rows / parts) + F.least(k, rows % parts)).cast("bigint"),
+    )
 
 
 def partition_iid(df: DataFrame, key: str, seed: int, clients: int, exact: bool = True) -> DataFrame:
@@ -99,21 +99,31 @@ def partition_iid(df: DataFrame, key: str, seed: int, clients: int, exact: bool
     h = draw_hash(seed, "iid", key)
     if not exact:
         return df.withColumn("client_id", F.pmod(hex_word(h), F.lit(clients)).cast("int"))
-    return _cut_globally(df, h, even_counts(F.col("total"), clients), "client_id")
+    return _cut_globally(df, h, even_counts(F.col("total"), clients), clients - 1, "client_id")
 
 
 def split_and_partition(df: DataFrame, key: str, seed: int, fraction: float, clients: int) -> DataFrame:
     """Columns ``split`` (val, train) and ``client_id`` in one go: the first ``int(n * fraction)`` rows in
     hash order are for validation (no client), the others are cut evenly."""
     held_out = F.floor(F.col("total") * F.lit(float(fraction))).cast("bigint")
-    counts = [held_out, *even_counts(F.col("total") - held_out, clients, held_out)]
-    parts = _cut_globally(df, draw_hash(seed, "split", key), counts, "_part")
+    counts = F.concat(F.array(held_out), even_counts(F.col("total") - held_out, clients, held_out))
+    parts = _cut_globally(df, draw_hash(seed, "split", key), counts, clients, "_part")
     held = F.col("_part") == 0
     return parts.withColumns(
         {"split": F.when(held, "val").otherwise("train"), "client_id": F.when(~held, F.col("_part") - 1)}
     ).drop("_part")
 
 
+def client_shares(df: DataFrame, key: str, seed: int, clients: int = 5) -> DataFrame:
+    """Column ``client_id`` for rows with ``split``: equal shares of the training rows and of the test rows.
+
+    Both splits are cut by the same clients, so each client has its own training and test set.
+    """
+    counts = df.groupBy("split").agg(F.count("*").alias("total"))
+    counts = counts.select("split", even_counts(F.col("total"), clients).alias("counts"))
+    return _cut_by_stratum(df, draw_hash(seed, "share", key), counts, "split", 2, max(1, clients - 1), "client_id")
+
+
 def dirichlet_shares(classes: Sequence[int], clients: int, alpha: float, seed: int) -> dict[int, list[float]]:
     """Client shares per class, one symmetric Dirichlet draw each (a table of clients x classes)."""
     rng = np.random.default_rng(seed)
@@ -125,17 +135,13 @@ def partition_by_shares(
 ) -> DataFrame:
     """Column ``client_id``: each class is cut at ``int(cumulative share * class size)``."""
     clients = len(next(iter(shares.values())))
-    uptos = {value: np.cumsum(class_shares)[:-1] for value, class_shares in shares.items()}
-
-    def upto(k: int) -> Column:
-        cases = [(F.col(label) == value, F.lit(float(u[k]))) for value, u in uptos.items()]
-        share = F.when(*cases[0])
-        for case in cases[1:]:
-            share = share.when(*case)
-        return F.floor(share * F.col("total")).cast("bigint")
-
-    counts = [upto(k) for k in range(clients - 1)]
-    return _cut_by_stratum(df, draw_hash(seed, "skew", key), counts, label, len(shares), clients, "client_id")
+    # Shares are a small table and reach the plan as data, however many clients there are.
+    uptos = [(value, [float(u) for u in np.cumsum(own)[:-1]]) for value, own in shares.items()]
+    table = df.sparkSession.createDataFrame(uptos, f"{label} {df.schema[label].dataType.simpleString()}, uptos array<double>")
+    sizes = df.groupBy(label).agg(F.count("*").alias("total"))
+    upto = F.transform("uptos", lambda u: F.floor(u * F.col("total")).cast("bigint"))
+    counts = sizes.join(table, label).select(label, upto.alias("counts"))
+    return _cut_by_stratum(df, draw_hash(seed, "skew", key), counts, label, len(shares), max(1, clients - 1), "client_id")
 
 
 def natural_partition(df: DataFrame, column: str) -> DataFrame:

@@ -91,14 +91,15 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "a10_promoted_runs",
     o.query(
-        f"SELECT p.dataset, p.universum_off, p.rho, p.seed, {o.rnd('test_acc')} AS test_acc, {o.rnd('test_eo')} AS test_eo FROM points p SEMI JOIN chosen c USING (dataset, universum_off, rho)",
+        f"SELECT p.dataset, p.universum_off, p.rho, p.seed, p.dataset || '_final_seed' || p.seed AS label, {o.rnd('test_acc')} AS test_acc, {o.rnd('test_eo')} AS test_eo FROM points p SEMI JOIN chosen c USING (dataset, universum_off, rho)",
         "grid",
         chosen=_SELECTED,
     ),
 )
 def promoted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = r.promoted(sweep_points(spark, sf_dir), _chosen(spark, sf_dir), KEYS)
-    return kept.select(*RUN, *[F.round(c, 6).alias(c) for c in ("test_acc", "test_eo")])
+    label = F.concat(F.col("dataset"), F.lit("_final_seed"), F.col("seed").cast("string")).alias("label")
+    return kept.select(*RUN, label, *[F.round(c, 6).alias(c) for c in ("test_acc", "test_eo")])
 
 
 @register(
@@ -379,3 +380,18 @@ def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = metrics.evaluate(metrics.outcome_counts(views.model_scores(spark, sf_dir), by), by)
     change = r.relative_change(report, ["dataset"], ["dp_gap", "eo_gap", "eod_gap"])
     return change.select("dataset", *[F.round(c, 4).alias(c) for c in change.columns if c != "dataset"])
+
+
+@register(
+    "g12_ablation_check",
+    o.query(
+        f"SELECT f.dataset, f.rho, f.seed, {o.rnd('f.test_eo')} AS full_gap, {o.rnd('n.test_eo')} AS ablated_gap, n.test_eo > f.test_eo AS ok "
+        "FROM points f JOIN points n USING (dataset, rho, seed) WHERE NOT f.universum_off AND n.universum_off",
+        "points",
+    ),
+)
+def ablation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether runs without pseudo-positives have the wider gap."""
+    points = sweep_points(spark, sf_dir)
+    checked = metrics.raises_gap(points.filter("NOT universum_off"), points.filter("universum_off"), ["dataset", "rho", "seed"], "test_eo")
+    return checked.withColumns({c: F.round(c, 6) for c in ("full_gap", "ablated_gap")})

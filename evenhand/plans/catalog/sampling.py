@@ -56,6 +56,23 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_split(rows, "row_id", SEED)
 
 
+@register(
+    "a8_client_layout",
+    o.query(
+        "SELECT CASE WHEN t.in_test THEN 'test' ELSE 'train' END AS split, client_id, count(*) AS n FROM (SELECT *, l_linenumber = 1 AS in_test, "
+        f"row_number() OVER (PARTITION BY l_linenumber = 1 ORDER BY {o.draw('share', 'row_id')}) - 1 AS rk, count(*) OVER (PARTITION BY l_linenumber = 1) AS n FROM "
+        "lines) t, "
+        f"LATERAL (SELECT CAST(CASE WHEN rk < (n % {CLIENTS}) * (n // {CLIENTS} + 1) THEN rk // (n // {CLIENTS} + 1) ELSE (rk - n % {CLIENTS}) // (n // {CLIENTS}) END AS INT) AS client_id) "
+        "GROUP BY ALL",
+        "lines",
+    ),
+)
+def client_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per client and split of five equal shares."""
+    rows = views.line_columns(spark, sf_dir, "l_linenumber").select("row_id", F.when(F.col("l_linenumber") == 1, "test").otherwise("train").alias("split"))
+    return splits.client_shares(rows, "row_id", SEED, CLIENTS).groupBy("split", "client_id").agg(F.count("*").alias("n"))
+
+
 @register(
     "d3_given_split",
     "SELECT o_orderkey, o_totalprice, 'train' AS split FROM orders WHERE o_orderstatus = 'F' "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenhand.functions import values
 from evenhand.operators import prepare, splits
@@ -38,18 +38,82 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _parted(df: DataFrame, features: list[str], seed: int, test_share: float) -> Prepared:
-    split = cut_lineage(splits.stratified_split(df, "row_id", seed, test_share=test_share), ["split"])
+    split = splits.stratified_split(df, "row_id", seed, test_share=test_share)
     return Prepared(split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split"), features)
 
 
+CENSUS_GROUPS = {"sex": "male", "race": "white"}
+
+
+def census(spark: SparkSession, folder: str, sensitive: str = "sex", seed: int = 42) -> Prepared:
+    """Census income from what the folder has: the two headerless files, else a headered train and test file,
+    else one headered file that is split."""
+    return readers.first_source(
+        spark,
+        [
+            ((f"{folder}/adult.data", f"{folder}/adult.test"), lambda s, train, test: adult(s, folder, sensitive)),
+            ((f"{folder}/adult_train.csv", f"{folder}/adult_test.csv"), lambda s, train, test: adult_csv(s, train, test, sensitive)),
+            ((f"{folder}/adult*.csv",), lambda s, path: adult_frame(s, path, sensitive, seed)),
+        ],
+    )
+
+
+def _census_rows(both: DataFrame, sensitive: str) -> DataFrame:
+    """Headered census text with ``split``: label, group, numbers as such, '?' and blanks as null."""
+    if sensitive not in CENSUS_GROUPS:
+        raise ValueError("sensitive is sex or race")
+    both = with_row_id(both)
+    names = prepare.feature_columns(both, "income", "target", "sex", "race", "row_id", "split")
+
+    def cell(c: str) -> Column:
+        text = F.trim(F.col(f"`{c}`"))
+        known = F.when((text != "?") & (text != ""), text)
+        return (known if c.replace("_", "-") in ADULT_CATEGORIES else values.numeric(known)).alias(c.replace("-", "_"))
+
+    return both.select(
+        "row_id",
+        "split",
+        values.text_label("income", ">50K").alias("y"),
+        values.matches(sensitive, CENSUS_GROUPS[sensitive]).alias("a"),
+        *[cell(c) for c in names],
+    )
+
+
+def _census_features(labelled: DataFrame, fit: dict[str, DataFrame]) -> Prepared:
+    """Fill the modes of ``fit[split]`` into each split, encode over the categories of both, make numbers finite."""
+    text = [c.replace("-", "_") for c in ADULT_CATEGORIES if c.replace("-", "_") in labelled.columns]
+    filled = [prepare.impute_modes(labelled.filter(F.col("split") == name), text, fit_on=rows) for name, rows in fit.items()]
+    both = filled[0].unionByName(filled[1])
+    for c in text:
+        both = prepare.one_hot(both, c, prepare.categories_of(c, labelled))
+    return _finite(both)
+
+
+def adult_csv(spark: SparkSession, train_path: str, test_path: str, sensitive: str = "sex") -> Prepared:
+    """Census income from two headered files; each is filled with the modes of its own rows.
+
+    Dummies cover the categories of both files, so that both have the same columns.
+    """
+    both = splits.given_split(readers.text_columns(spark, train_path), readers.text_columns(spark, test_path))
+    labelled = _census_rows(both, sensitive)
+    return _census_features(labelled, {name: labelled.filter(F.col("split") == name) for name in ("train", "test")})
+
+
+def adult_frame(spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 42, test_share: float = 0.2) -> Prepared:
+    """Census income from one headered file: a random split, modes of the training rows for both."""
+    rows = _census_rows(readers.text_columns(spark, path).withColumn("split", F.lit("all")), sensitive).drop("split")
+    labelled = splits.split_by_count(rows, "row_id", seed, 1 - test_share, ("train", "test"))
+    train = labelled.filter("split = 'train'")
+    return _census_features(labelled, {"train": train, "test": train})
+
+
 def adult(spark: SparkSession, folder: str, sensitive: str = "sex", as_published: bool = False) -> Prepared:
     """Census income from its two files, which keep their own split.
 
     ``as_published`` leaves nulls unfilled, as they are in effect when '?' was already read as null:
     they get no dummy. Otherwise they take the mode of the training rows.
     """
-    groups = {"sex": "male", "race": "white"}
-    if sensitive not in groups:
+    if sensitive not in CENSUS_GROUPS:
         raise ValueError("sensitive is sex or race")
     train, test = readers.adult_files(spark, folder)
     both = with_row_id(splits.given_split(train, test))
@@ -57,7 +121,7 @@ def adult(spark: SparkSession, folder: str, sensitive: str = "sex", as_published
         "row_id",
         "split",
         values.text_label("income", ">50K").alias("y"),
-        values.matches(sensitive, groups[sensitive]).alias("a"),
+        values.matches(sensitive, CENSUS_GROUPS[sensitive]).alias("a"),
         *[F.col(f"`{c}`") for c in prepare.feature_columns(both, "income", "target", "sex", "race", "row_id", "split")],
     )
     labelled = labelled.withColumnsRenamed({c: c.replace("-", "_") for c in labelled.columns})
@@ -80,6 +144,11 @@ def _finite(labelled: DataFrame) -> Prepared:
     return Prepared(named.filter("split = 'train'").drop("split"), named.filter("split = 'test'").drop("split"), plain)
 
 
+def credit_folder(spark: SparkSession, folder: str, sensitive: str = "sex", seed: int = 42) -> Prepared:
+    """Card defaults from the first CSV file of a folder."""
+    return readers.first_source(spark, [((f"{folder}/*.csv",), lambda s, path: credit(s, path, sensitive, seed))])
+
+
 def credit(spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 42, test_share: float = 0.2) -> Prepared:
     """Card defaults; the group is male, or an age at or above the median."""
     raw = with_row_id(readers.described_csv(spark, path))

@@ -11,17 +11,21 @@ import dataclasses
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenhand.functions.vectors import assemble, predict, score, sigmoid
 from evenhand.operators import metrics, noise, prepare, refine, sampling, splits, synthesis, training
-from evenhand.operators.sizes import cut_lineage
+from evenhand.operators.sizes import cut_lineage, written_tables
 from evenhand.plans.datasets import Prepared
 from evenhand.sources import schemas
 
 
-# Clients that one task refines in a round; a client takes some 50 ms.
-CLIENTS_PER_TASK = 16
+# Clients whose points one task of a round's fit holds.
+CLIENTS_PER_FIT_TASK = 16
+
+
+# Threshold and sharpness of the smooth gap where none are chosen.
+PLAIN_TAU, PLAIN_SHARPNESS = 0.0, 10.0
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,8 @@ class RunConfig:
     intercept: bool = False
     tune_threshold: bool = False
     universum: bool = True
+    # Take the solver's threshold and sharpness for the smooth gap, else the plain ones.
+    use_tpr_gap: bool = True
     # Let positives of earlier rounds stand in for a group that has none in a batch.
     buffer: bool = False
     fairness: bool = True
@@ -57,14 +63,17 @@ class RunConfig:
 def buffered_positives(batch: DataFrame, rounds: int, size: int = 50) -> DataFrame:
     """For every round the last positives of the rounds before, for the (client, group) pairs whose
     own batch of that round has none."""
-    positives = sampling.positive_slice(batch)
-    earlier = positives.filter(F.col("round") < rounds - 1).select(
-        F.explode(F.sequence(F.col("round") + 1, F.lit(rounds - 1))).alias("round"),
-        F.col("round").alias("seen"), "client_id", "a", "y", "pos", "row_id", "x",
-    )
-    group = ["round", "client_id", "a"]
-    lacking = earlier.join(positives.select(*group).distinct(), group, "left_anti")
-    return sampling.last_positives(lacking, ["seen", "pos", "row_id"], size, group)
+    who = ["client_id", "a"]
+    order = Window.partitionBy(*who).orderBy("round", "pos", "row_id")
+    numbered = sampling.positive_slice(batch).withColumn("_n", F.row_number().over(order))
+    # What each pair has seen before a round; a round without positives of its own is one that lacks them.
+    counts = numbered.groupBy(*who, "round").agg(F.count("*").alias("_own"))
+    every = counts.select(*who).distinct().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    before = Window.partitionBy(*who).orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    seen = every.join(counts, [*who, "round"], "left").withColumn("_seen", F.coalesce(F.sum("_own").over(before), F.lit(0)))
+    lacking = seen.filter(F.col("_own").isNull() & (F.col("_seen") > 0))
+    wanted = lacking.select(*who, "round", F.explode(F.sequence(F.greatest(F.col("_seen") - (size - 1), F.lit(1)), F.col("_seen"))).alias("_n"))
+    return numbered.drop("round").join(wanted, [*who, "_n"]).drop("_n")
 
 
 def round_points(
@@ -158,6 +167,8 @@ def client_rows(train: DataFrame, config: RunConfig) -> DataFrame:
 def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int, list[float]]:
     """Weights after every round. Only the weights, a model-sized list, come to the driver."""
     settings = config.solver if config.fairness else dataclasses.replace(config.solver, rho=0.0)
+    if not config.use_tpr_gap:
+        settings = dataclasses.replace(settings, tau=PLAIN_TAU, sharpness=PLAIN_SHARPNESS)
     release = noise.noise_config(config.noise_enabled, config.noise_sigma, config.noise_variant)
     theta = [0.0] * (width + 1)
     found: dict[int, list[float]] = {}
@@ -169,13 +180,10 @@ def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int,
             sent = own.filter("kind IN ('synthetic', 'universum')")
         payload = noise.release(sent.select("round", "client_id", "pt_id", "a", "y", "x"), release, config.seed)
         if config.partition != "natural":
-            # The fit runs a job per step over at most 128 points per client: fewer tasks, less overhead.
-            payload = payload.coalesce(-(-config.clients // CLIENTS_PER_TASK))
-        payload = payload.persist()
-        try:
-            theta = training.fit_shift(payload, width, config.strength, theta)
-        finally:
-            payload.unpersist()
+            # The fit runs a job per step over a few hundred points per client: fewer tasks, less overhead.
+            # A shuffle, so that the clients above it are still refined side by side.
+            payload = payload.repartition(-(-config.clients // CLIENTS_PER_FIT_TASK))
+        theta = training.fit_shift(payload, width, config.strength, theta)
         found[t] = theta
     return found
 
@@ -230,7 +238,15 @@ def model_results(
 
 
 def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
-    """A whole run; returns its result as one nested row (see ``schemas.RUN``)."""
+    """A whole run; returns its result as one nested row (see ``schemas.RUN``).
+
+    The tables that it writes on the way are deleted when it ends.
+    """
+    with written_tables(prepared.train.sparkSession):
+        return _run(prepared, config, dataset)
+
+
+def _run(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
     spark: SparkSession = prepared.train.sparkSession
     labelled = with_inputs(keyed_rows(prepared, config), prepared.features, config)
     train, val, test = (labelled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
@@ -252,7 +268,7 @@ def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataF
     settings = {
         "num_clients": config.clients,
         "rounds": config.rounds,
-        "use_tpr_gap": True,
+        "use_tpr_gap": config.use_tpr_gap,
         "tpr_alpha": config.solver.sharpness,
         "tpr_tau": config.solver.tau,
         "ema_beta": config.solver.ema_beta,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenhand.operators import runs
 from evenhand.plans.datasets import Prepared
 from evenhand.plans.rounds import RunConfig, run_experiment
-from evenhand.sources import readers, schemas
+from evenhand.sources import readers, schemas, writers
 
 KEYS = ("dataset", "universum_off", "rho", "seed")
 RESULT = f"{schemas.RUN}, universum_off BOOLEAN, rho DOUBLE, seed INT"
@@ -49,3 +49,10 @@ def run_sweep(
         kept = result.withColumns({k: F.lit(point[k]) for k in KEYS if k != "dataset"})
         kept.write.mode("append").partitionBy("dataset").json(folder)
     return sweep_results(spark, folder)
+
+
+def promote(spark: SparkSession, folder: str, selected: DataFrame, final_folder: str) -> DataFrame:
+    """Republish the runs of the selected configurations under their final names; returns them as published."""
+    chosen = runs.promoted(sweep_results(spark, folder), selected, KEYS[:-1])
+    writers.write_final_runs(chosen, final_folder)
+    return spark.read.schema(f"{RESULT}, label STRING").json(final_folder)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -84,21 +85,16 @@ def matching_files(spark: SparkSession, glob: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
-def first_match(spark: SparkSession, folder: str, patterns: Sequence[str]) -> str | None:
-    """The first file, in sorted order, of the first pattern that has one."""
-    for pattern in patterns:
-        files = matching_files(spark, f"{folder}/{pattern}")
-        if files:
-            return files[0]
-    return None
+def first_source(spark: SparkSession, sources: Sequence[tuple[Sequence[str], Callable[..., Any]]]) -> Any:
+    """Read the first source whose paths all exist: ``[((glob, ...), reader)]`` in order of priority.
 
-
-def first_source(spark: SparkSession, sources: Sequence[tuple[str, object]]):
-    """Read the first source whose path exists: ``[(path, reader)]`` in order of priority."""
-    for path, reader in sources:
-        if path_exists(spark, path):
-            return reader(spark, path)
-    raise FileNotFoundError("none of " + ", ".join(path for path, _ in sources))
+    A reader takes the session and, for each glob, the first file in sorted order that it names.
+    """
+    for globs, reader in sources:
+        found = [matching_files(spark, glob) for glob in globs]
+        if all(found):
+            return reader(spark, *[files[0] for files in found])
+    raise FileNotFoundError("none of " + ", ".join(glob for globs, _ in sources for glob in globs))
 
 
 def run_results(spark: SparkSession, glob: str, prefix: str = "draft_results_") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand.operators import prepare, refine
+from evenhand.operators import prepare, refine, splits
 from evenhand.plans import datasets, sweeps
 from evenhand.plans.rounds import RunConfig, buffered_positives, run_experiment
 from evenhand.sources import readers, schemas, writers
@@ -26,8 +26,8 @@ def test_modes_ties_and_one_hot(spark):
     assert [tuple(x) for x in filled.collect()] == [("b", "x"), ("a", "x"), ("a", "x"), ("b", "x"), ("a", "x")]
     nothing = prepare.impute_modes(df.filter("c IS NULL").select("c"), ["c"])
     assert nothing.first().c == ""
-    with pytest.raises(ValueError):
-        prepare.categories_of("c", df, limit=1)
+    sparse = prepare.one_hot_vector(df.select("c"), "c", "v").orderBy("c").collect()
+    assert [(x.c, x.v.toArray().tolist()) for x in sparse] == [(None, [0.0]), ("a", [0.0]), ("a", [0.0]), ("b", [1.0]), ("b", [1.0])]
     wide = prepare.one_hot(df.select("c"), "c", prepare.categories_of("c", df))
     assert wide.columns == ["c_b"] and [x.c_b for x in wide.collect()] == [1.0, 0.0, 0.0, 1.0, 0.0]
 
@@ -81,9 +81,9 @@ def test_credit_file(spark, tmp_path, described):
     rows = [f"{i},{rng.randint(1, 99)}000,{rng.randint(1, 2)},{20 + i},{rng.choice(['-500', 'bad', '700'])},{i},{i % 2}" for i in range(50)]
     top = ["X1,X2,X3,X4,X5,X6,Y"] if described else []
     (tmp_path / "credit.csv").write_text("\n".join(top + [header] + rows) + "\n")
-    path = readers.first_match(spark, str(tmp_path), ["*.xls", "*.xlsx", "*.csv"])
-    assert path.endswith("credit.csv")
-    data = datasets.credit(spark, path)
+    path = str(tmp_path / "credit.csv")
+    (tmp_path / "later.csv").write_text("not read")
+    data = datasets.credit_folder(spark, str(tmp_path))
     assert data.features == ["LIMIT_BAL", "AGE", "BILL_AMT1", "PAY_AMT1"]
     assert data.train.count() == 40 and data.test.count() == 10
     assert data.train.filter("BILL_AMT1 IS NULL").isEmpty()
@@ -127,7 +127,7 @@ def test_law_and_two_d(spark, tmp_path):
     wide = datasets.two_d_as_law(readers.header_csv(spark, str(tmp_path / "2d.csv"), schemas.TWO_D))
     assert wide.columns == [*schemas.LAW_FEATURES, "race", "pass_bar"]
     assert wide.agg(F.sum("lsat"), F.max("pass_bar"), F.min("pass_bar")).first() == (0.0, 1.0, -1.0)
-    sources = [("/nowhere/x.csv", None), (str(tmp_path / "2d.csv"), lambda s, p: readers.header_csv(s, p, schemas.TWO_D))]
+    sources = [(("/nowhere/x.csv",), None), ((str(tmp_path / "2d.csv"),), lambda s, p: readers.header_csv(s, p, schemas.TWO_D))]
     assert readers.first_source(spark, sources).count() == 30
     with pytest.raises(FileNotFoundError):
         readers.first_source(spark, sources[:1])
@@ -211,5 +211,62 @@ def test_sweep_resumes(spark, tmp_path):
 
 def test_client_files(spark, tmp_path):
     df = spark.createDataFrame([(i, "train" if i % 4 else "test", i % 5) for i in range(40)], "v int, split string, client_id int")
-    writers.write_client_files(df, str(tmp_path / "clients"))
-    assert spark.read.parquet(str(tmp_path / "clients")).filter("split = 'train' AND client_id = 2").count() == 6
+    writers.write_client_files(df.repartition(16), str(tmp_path), "toy", file_rows=4)
+    assert spark.read.parquet(str(tmp_path / "toy")).filter("split = 'train' AND client_id = 2").count() == 6
+    # 30 training rows of 5 clients, 6 each: two files at most; 10 test rows, 2 each: one file.
+    files = list((tmp_path / "toy").glob("split=*/client_id=*/*.parquet"))
+    assert len(files) <= 15 and len(list((tmp_path / "toy" / "split=test").glob("client_id=*/*.parquet"))) == 5
+
+
+def test_census_sources_by_priority(spark, tmp_path):
+    def rows(n, seed, end=""):
+        rng = random.Random(seed)
+        return [
+            f"{rng.randint(20, 60)},{rng.choice(['Private', '?', 'State-gov'])},{rng.choice(['HS', 'BA', ''])},{rng.choice(['White', 'Black'])},{rng.choice(['Male', 'Female'])},{rng.choice(['>50K', '<=50K'])}{end}"
+            for _ in range(n)
+        ]
+
+    header = "age,workclass,education,race,sex,income"
+    (tmp_path / "adult_all.csv").write_text("\n".join([header, *rows(50, 1)]) + "\n")
+    one = datasets.census(spark, str(tmp_path))
+    assert (one.train.count(), one.test.count()) == (40, 10)
+    (tmp_path / "adult_train.csv").write_text("\n".join([header, *rows(30, 2)]) + "\n")
+    (tmp_path / "adult_test.csv").write_text("\n".join([header, *rows(12, 3, "."), "33,Never,BA,White,Male,>50K"]) + "\n")
+    two = datasets.census(spark, str(tmp_path), "race")
+    assert (two.train.count(), two.test.count()) == (30, 13)
+    # age, two of three or more work classes, one of two educations; the test-only class is a column of both.
+    assert two.train.columns == two.test.columns and len(two.features) == 4
+    with pytest.raises(FileNotFoundError):
+        datasets.census(spark, str(tmp_path / "none"))
+
+
+def test_row_ids_do_not_depend_on_the_files(spark, tmp_path):
+    lines = [f"{i % 37},{i % 5}" for i in range(400)]
+    for name, parts in (("a", 1), ("b", 4)):
+        (tmp_path / name).mkdir()
+        order = lines if parts == 1 else lines[::-1]
+        for k in range(parts):
+            (tmp_path / name / f"{k}.csv").write_text("\n".join(["u,v", *order[k::parts]]) + "\n")
+    found = []
+    for name, size in (("a", "128m"), ("a", "256"), ("b", "512")):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = datasets.with_row_id(readers.header_csv(spark, str(tmp_path / name), "u INT, v INT"))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        found.append(sorted(tuple(r) for r in splits.split_by_count(rows, "row_id", 3, 0.25).collect()))
+    assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) == 400
+
+
+def test_published_winner(spark, tmp_path):
+    one = {"accuracy": 0.5, "EO_gap": 0.1}
+    document = {"baseline": one, "pipeline": one, "dataset": "toy", "round_logs": []}
+    rows = spark.createDataFrame([document], schemas.RUN)
+    for rho in (0.1, 0.5):
+        for seed in (1, 2):
+            made = rows.withColumns({"universum_off": F.lit(False), "rho": F.lit(rho), "seed": F.lit(seed)})
+            made.write.mode("append").partitionBy("dataset").json(str(tmp_path / "sweep"))
+    chosen = spark.createDataFrame([("toy", False, 0.5)], "dataset string, universum_off boolean, rho double")
+    final = sweeps.promote(spark, str(tmp_path / "sweep"), chosen, str(tmp_path / "final"))
+    assert sorted((r.label, r.rho) for r in final.collect()) == [("toy_final_seed1", 0.5), ("toy_final_seed2", 0.5)]

@@ -116,3 +116,47 @@ def test_buckets_keep_the_order_and_spread_any_scale(spark):
     assert [b for _, b in rows] == sorted(b for _, b in rows)
     tiny = spark.range(2000).select((F.randn(3) * 1e-6).alias("v"))
     assert tiny.groupBy(ranks.value_bucket(F.col("v"))).count().agg(F.max("count")).first()[0] < 20
+
+
+CROWDED = {
+    "seconds": lambda i: 1.7e9 + i,
+    "one value": lambda i: 5.0,
+    "mostly zero": lambda i: 0.0 if i % 10 else i / 7.0,
+    "constant plus noise": lambda i: 1e6 + ((i * 7919) % 20011) * 1e-7,
+    "one far value": lambda i: 1e300 if i == 0 else 1.7e9 + i,
+}
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_crowded_values(spark, name):
+    values = [CROWDED[name](i) for i in range(4000)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
+    got = ranks.exact_quantiles(df, "v", [1, 2, 3], 4).first().quantiles
+    assert got == pytest.approx([float(np.quantile(values, q)) for q in (0.25, 0.5, 0.75)], rel=1e-15)
+    # Rows of the fullest bucket spread over its parts, but for equal values.
+    bucket = ranks.value_bucket(F.col("v")).alias("b")
+    ends = df.groupBy(bucket).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_distinct("v").alias("d"))
+    full = ends.orderBy(F.desc("d")).first()
+    inside = df.where(ranks.value_bucket(F.col("v")) == full.b)
+    parts = inside.select(ranks.value_part(F.col("v"), F.lit(full.lo), F.lit(full.hi)).alias("p"), "v").distinct().groupBy("p").count()
+    assert full.d == 1 or parts.count() >= min(100, full.d)
+
+
+def test_many_parts_keep_the_plan_small(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).cast("int").alias("y"))
+    sizes = {}
+    for clients in (5, 5000):
+        even = splits.partition_iid(df, "k", 1, clients)
+        skewed = splits.partition_by_shares(df, "k", 1, {0: [1 / clients] * clients, 1: [1 / clients] * clients})
+        sizes[clients] = [len(d._jdf.queryExecution().analyzed().toString()) for d in (even, skewed)]
+        counts = even.groupBy("client_id").count()
+        assert counts.count() == clients and counts.agg(F.max("count") - F.min("count")).first()[0] <= 1
+    assert all(b < 1.5 * a for a, b in zip(sizes[5], sizes[5000]))
+
+
+def test_equal_shares_of_both_splits(spark):
+    df = spark.range(103).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    got = splits.client_shares(df, "k", 9).groupBy("split", "client_id").count().collect()
+    assert sorted((r.split, r.client_id, r["count"]) for r in got) == (
+        [("test", i, 6 if i == 0 else 5) for i in range(5)] + [("train", i, 16 if i < 2 else 15) for i in range(5)]
+    )

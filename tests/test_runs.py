@@ -136,14 +136,23 @@ def test_report_tables(spark, tmp_path):
         [("a", "iid", 0.71051, 0.082, "a_none_rho0.1_eps0.1", "none", 0.1, 0.1, 0.44), ("b", "iid", 0.5, 0.1, "b_winner_rho0.1_eps0.1", "none", 0.1, 0.1, 0.4)],
         "dataset string, partition string, accuracy double, eo_gap double, label string, variant string, rho double, eps double, f1 double",
     )
-    expected = spark.createDataFrame([("a", "iid"), ("a", "alpha=0.1")], "dataset string, partition string")
-    got = {x.partition: (x.accuracy, x.eo_gap) for x in r.skew_table(expected, runs).collect()}
-    assert got == {"iid": ("0.7105", "0.0820"), "alpha=0.1": ("FAILED", "FAILED")}
+    expected = spark.createDataFrame([("c", "iid"), ("a", "alpha=0.1"), ("a", "alpha=0.5"), ("a", "iid"), ("c", "alpha=0.5")], "dataset string, partition string")
+    got = [(x.dataset, x.partition, x.accuracy, x.eo_gap) for x in r.skew_table(expected, runs).collect()]
+    assert got == [
+        ("a", "iid", "0.7105", "0.0820"), ("a", "alpha=0.5", "FAILED", r.STARVED), ("a", "alpha=0.1", "FAILED", r.STARVED),
+        ("c", "alpha=0.5", "FAILED", r.STARVED),
+    ]
     kept = r.sensitivity_table(runs)
     assert [x.dataset for x in kept.collect()] == ["a"]
     writers.write_table(kept, str(tmp_path / "table"))
     assert spark.read.option("header", True).csv(str(tmp_path / "table")).first().accuracy == "0.7105"
-    base = spark.createDataFrame([("d", "x", 0.70001, 0.1), ("d", "w", 0.70004, 0.2), ("d", "z", None, 0.3)], "dataset string, label string, base_acc double, base_eo double")
+    # The order is that of the printed accuracy: 0.71051 and 0.71049 are 0.7105 both, so the name decides.
+    close = runs.limit(1).union(runs.limit(1).withColumns({"label": F.lit("Z_rho0.1_eps0.1"), "accuracy": F.lit(0.71052)}))
+    assert [x.rho for x in r.sensitivity_table(close.withColumn("rho", F.when(F.col("label") < "a", 1.0).otherwise(2.0))).collect()] == [1.0, 2.0]
+    base = spark.createDataFrame(
+        [("d", "x", 0.70001, 0.1, 0.5), ("d", "w", 0.70004, 0.2, 0.5), ("d", "a", 0.70004, 0.9, None), ("d", "z", None, 0.3, 0.5)],
+        "dataset string, label string, base_acc double, base_eo double, pipe_acc double",
+    )
     only = r.distinct_baselines(base).collect()
     assert [(x.label, x.base_eo) for x in only] == [("w", 0.2)]
 

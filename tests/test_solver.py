@@ -236,3 +236,24 @@ def test_average_multiplier_and_stops(spark):
     assert stops == {0: (None, 3), 1: (1, 1)}
     by_gradient = f.gradient_stopping_step(steps, ["run"], "step", "grad", 0.2)
     assert {r.run: r.stop_step for r in by_gradient.collect()} == {0: 2, 1: None}
+
+
+def test_long_average(spark):
+    rng = np.random.default_rng(6)
+    values = rng.random(3000)
+    steps = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)], "run int, step int, g double")
+    for beta in (0.001, 0.15, 0.9, 1.0):
+        expected, last = [], 0.0
+        for v in values:
+            last = (1 - beta) * last + beta * v
+            expected.append(last)
+        got = [r.ema for r in f.moving_average(steps, ["run"], "step", "g", beta).orderBy("step").collect()]
+        assert got == pytest.approx(expected, rel=1e-12)
+
+
+def test_saturated_scores_tie(spark):
+    from evenhand.plans.rounds import model_results
+
+    df = spark.createDataFrame([([60.0], 0, 1), ([80.0], 0, 0), ([70.0], 1, 1), ([-60.0], 1, 0)], "x array<double>, a int, y int")
+    found = model_results(df, {"m": [1.0, 0.0]}, {"m": 0.0}, 1).first().result.extended_metrics
+    assert (found.ROC_AUC, found.PR_AUC) == (pytest.approx(0.75), pytest.approx(2 / 3))
