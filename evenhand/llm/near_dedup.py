@@ -38,7 +38,7 @@ BANDS = 36
 ROWS = 6
 CELL = 1024
 RINGS = 10
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _FRACTION = 48
 
 
@@ -89,7 +89,8 @@ def super_minhash(hashes: np.ndarray, first: np.ndarray, places: int) -> np.ndar
         # A document whose places are all below the next step's offers is done.
         live = (out.max(axis=1) >= np.uint64(step + 1) << np.uint64(_FRACTION))[owner]
         if drawn is None:
-            drawn = np.broadcast_to(np.arange(places, dtype=np.uint16), (int(live.sum()), places)).copy()
+            kind = np.uint8 if places <= 256 else np.uint16
+            drawn = np.broadcast_to(np.arange(places, dtype=kind), (int(live.sum()), places)).copy()
         else:
             drawn = drawn[live]
         hashes, owner, pick, place = hashes[live], owner[live], pick[live], place[live]
@@ -271,7 +272,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
     members = clusters.join(sizes, "cluster")
 
-    sets = named.join(members, named["doc_id"] == members["node"]).select("cluster", "n_cluster", "node", "text")
+    # The same plan at every size: clusters grow with the table, so they are never broadcast.
+    sets = named.join(members.hint("merge"), named["doc_id"] == members["node"]).select("cluster", "n_cluster", "node", "text")
     sets = written(sets.mapInArrow(_sets(width), "cluster long, n_cluster long, node long, shingles binary").where(F.length("shingles") > 0))
     small = sets.where(F.col("n_cluster") <= cell)
     bins = max(1, -(-small.count() // cell))
