@@ -59,12 +59,10 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "a8_client_layout",
     o.query(
-        "SELECT CASE WHEN t.in_test THEN 'test' ELSE 'train' END AS split, client_id, count(*) AS n FROM (SELECT *, l_linenumber = 1 AS in_test, "
-        f"row_number() OVER (PARTITION BY l_linenumber = 1 ORDER BY {o.draw('share', 'row_id')}) - 1 AS rk, count(*) OVER (PARTITION BY l_linenumber = 1) AS n FROM "
-        "lines) t, "
-        f"LATERAL (SELECT CAST(CASE WHEN rk < (n % {CLIENTS}) * (n // {CLIENTS} + 1) THEN rk // (n // {CLIENTS} + 1) ELSE (rk - n % {CLIENTS}) // (n // {CLIENTS}) END AS INT) AS client_id) "
-        "GROUP BY ALL",
+        "SELECT split, CAST(CASE WHEN rk < (n % c) * (n // c + 1) THEN rk // (n // c + 1) ELSE (rk - n % c) // (n // c) END AS INT) AS client_id, count(*) AS n FROM ranked GROUP BY ALL",
         "lines",
+        ranked=f"SELECT split, {CLIENTS} AS c, row_number() OVER (PARTITION BY split ORDER BY {o.draw('share', 'row_id')}) - 1 AS rk, count(*) OVER (PARTITION BY split) AS n "
+        "FROM (SELECT row_id, CASE WHEN l_linenumber = 1 THEN 'test' ELSE 'train' END AS split FROM lines)",
     ),
 )
 def client_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
