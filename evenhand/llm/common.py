@@ -67,9 +67,18 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_NOT_ALPHANUMERIC = np.ones(256, bool)
+_NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
+
+def alphanumeric_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``word_spans`` for runs of ASCII letters and digits."""
+    return word_spans(data, offsets, _NOT_ALPHANUMERIC)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each row the number of words before it (one more than rows)."""
-    inner = ~_SPACE[data]
+    inner = ~between[data]
     first = np.empty(len(data) + 1, bool)  # a word or a gap begins here, or a row
     first[0] = True
     np.not_equal(inner[1:], inner[:-1], out=first[1:-1])
