@@ -235,6 +235,51 @@ def client_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solver_report(refine.refine_clients(_client_points(spark, sf_dir), [0.0] * (WIDTH + 1), config))
 
 
+STEP = refine.RefineConfig(
+    inner_steps=0, outer_steps=1, weighted=False, rho=0.5, strength_inner=0.4, strength_outer=0.1, universum_strength=0.5, step_x=0.2, feature_limit=100.0
+)
+_T0, _T1 = 0.05, -0.4
+_U = o.dbl(STEP.universum_strength)
+
+
+def _curvature(side: str) -> str:
+    return f"CASE WHEN u.n > 0 AND delta_s > 0 THEN s.{side} + {_U} * u.{side} ELSE s.{side} END"
+
+
+@register(
+    "f9_refinement_step",
+    o.query(
+        f"SELECT round, client_id, kind, pt_id, a, y, {o.rnd('g', 5)} AS gap, {o.rnd(f'greatest(-100.0::DOUBLE, least(100.0::DOUBLE, v + {o.dbl(STEP.step_x)} * factor / n * (p * (1 - p) * (v * h0 + a * h1) * {o.dbl(_T0)} + (p - y) * h0)))', 5)} AS v "
+        f"FROM (SELECT *, CASE WHEN kind = 'synthetic' THEN 1.0::DOUBLE WHEN delta_s > 0 THEN {_U} ELSE 0.0::DOUBLE END AS factor FROM pts JOIN (SELECT round, client_id, kind, n FROM curved) USING (round, client_id, kind) JOIN direction USING (round, client_id))",
+        "payload",
+        "batch",
+        pts=f"SELECT round, client_id, kind, pt_id, a, y, v, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({o.dbl(_T0)} * v + {o.dbl(_T1)} * a))) AS p FROM payload WHERE j = 0",
+        curved="SELECT round, client_id, kind, count(*) AS n, avg(p * (1 - p) * v * v) AS c00, avg(p * (1 - p) * v * a) AS c01, avg(p * (1 - p) * a * a) AS c11 FROM pts GROUP BY round, client_id, kind",
+        real=f"SELECT round, client_id, a, y, x[1] AS v, {o.dbl(_T0)} * x[1] + {o.dbl(_T1)} * a AS f FROM batch",
+        soft="SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-10.0::DOUBLE * f)) AS s, 1.0::DOUBLE / (1.0::DOUBLE + exp(-f)) AS p FROM real",
+        rates="SELECT round, client_id, sum(y) AS positives, "
+        + ", ".join(
+            f"coalesce(avg(CASE WHEN y = 1 AND a = {g} THEN s END), 0) AS r{g}, coalesce(avg(CASE WHEN y = 1 AND a = {g} THEN 10 * s * (1 - s) * v END), 0) AS d{g}0, "
+            f"coalesce(avg(CASE WHEN y = 1 AND a = {g} THEN 10 * s * (1 - s) * a END), 0) AS d{g}1"
+            for g in (0, 1)
+        )
+        + f", avg((p - y) * v) + {o.dbl(STEP.strength_outer * _T0)} AS o0, avg((p - y) * a) + {o.dbl(STEP.strength_outer * _T1)} AS o1 FROM soft GROUP BY round, client_id",
+        gaps="SELECT *, CASE WHEN positives > 0 THEN sqrt((r1 - r0) * (r1 - r0) + 1e-12::DOUBLE) ELSE 0.0::DOUBLE END AS g FROM rates",
+        slopes="SELECT *, " + ", ".join(f"o{i} + CASE WHEN g > 0 THEN {o.dbl(STEP.rho)} * (r1 - r0) * (d1{i} - d0{i}) ELSE 0.0::DOUBLE END AS v{i}" for i in (0, 1)) + " FROM gaps",
+        hessian=f"SELECT s.round, s.client_id, q.delta_s, {_curvature('c00')} + {o.dbl(STEP.strength_inner / 4)} AS h00, {_curvature('c01')} AS h01, {_curvature('c11')} + {o.dbl(STEP.strength_inner / 4)} AS h11 "
+        "FROM (SELECT * FROM curved WHERE kind = 'synthetic') s LEFT JOIN (SELECT * FROM curved WHERE kind = 'universum') u USING (round, client_id) JOIN (SELECT round, client_id, delta_s FROM syn_quotas) q USING (round, client_id)",
+        direction="SELECT round, client_id, delta_s, g, (h11 * v0 - h01 * v1) / (h00 * h11 - h01 * h01) AS h0, (h00 * v1 - h01 * v0) / (h00 * h11 - h01 * h01) AS h1 FROM hessian JOIN slopes USING (round, client_id)",
+    ),
+)
+def refinement_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outer step from fixed weights on one feature: gap, direction and moved points."""
+    batch, stats, quotas = parts_of(spark, sf_dir)
+    real = batch.select("round", "client_id", F.lit("batch").alias("kind"), F.col("row_id").alias("pt_id"), "a", "y", "x")
+    points = real.unionByName(payload_from(batch, stats, quotas).select(*real.columns)).withColumn("x", F.slice("x", 1, 1))
+    moved = refine.refine_clients(points, [_T0, _T1], STEP).filter("kind <> 'theta'")
+    return moved.select("round", "client_id", "kind", "pt_id", "a", "y", F.round("gap", 5).alias("gap"), F.round(F.col("x")[0], 5).alias("v"))
+
+
 @register("f10_local_fit")
 def local_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = refine.RefineConfig(inner_steps=100, weighted=False)
