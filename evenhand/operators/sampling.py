@@ -103,14 +103,11 @@ def draw_minibatch(
     is needed to fill the quota are dropped where they are read. A stratum of any size therefore
     sends at most some sixteen quotas' worth of rows to its task.
     """
-    digests = round_digests(seed, "batch", rounds, key)
-    drawn = (
-        df.withColumns(digests)
-        .select(*df.columns, F.posexplode(round_draws(rounds)).alias("round", "_h"))
-        .withColumn("_level", draw_level(F.col("_h")))
-    )
+    drawn = df.withColumns(round_digests(seed, "batch", rounds, key)).select(*df.columns, round_draws(rounds).alias("_draws"))
+    # The first pass only carries the stratum of a row and its levels.
+    counted = drawn.select("client_id", "a", "y", F.posexplode(F.transform("_draws", draw_level)).alias("round", "_level"))
     group = ["round", "client_id", "a", "y"]
-    levels = drawn.groupBy(*group, "_level").agg(F.count("*").alias("_n"))
+    levels = counted.groupBy(*group, "_level").agg(F.count("*").alias("_n"))
     profile = _with_rates(
         levels.groupBy("round", "client_id").agg(F.sum("_n").alias("n"), *_counts(F.col("_n"), "n"))
     )
@@ -128,13 +125,24 @@ def draw_minibatch(
             F.coalesce(F.max(F.when(F.col("_upto") >= F.col("_quota"), F.col("_level"))), F.lit(0)).alias("_cut"),
         )
     )
-    bound = None if clients is None else clients * rounds * len(STRATA)
-    candidates = drawn.join(small_side(needed, bound), group).filter(F.col("_level") >= F.col("_cut"))
+    # One row per stratum with its cuts by round: a row of the table meets them once, and only the rounds that it
+    # survives become rows.
+    stratum = ["client_id", "a", "y"]
+    entry = F.struct("round", F.struct("_cut", "_quota").alias("_limits"))
+    cuts = needed.groupBy(*stratum).agg(F.map_from_entries(F.collect_list(entry)).alias("_cuts"))
+    bound = None if clients is None else clients * len(STRATA)
+    met = drawn.join(small_side(cuts, bound), stratum)
+
+    def draw(h: Column, i: Column) -> Column:
+        return F.struct(i.alias("round"), h.alias("_h"), F.try_element_at("_cuts", i).alias("_limits"))
+
+    survived = F.filter(F.transform("_draws", draw), lambda d: draw_level(d["_h"]) >= d["_limits"]["_cut"])
+    candidates = met.select(*df.columns, F.inline(survived)).select(*df.columns, "round", "_h", F.col("_limits._quota").alias("_quota"))
     order = Window.partitionBy(*group).orderBy("_h", key)
     return (
         candidates.withColumn("pos", F.row_number().over(order).cast("bigint"))
         .filter(F.col("pos") <= F.col("_quota"))
-        .drop("_h", "_level", "_cut", "_quota")
+        .drop("_h", "_quota")
     )
 
 

@@ -56,8 +56,8 @@ def test_selection_and_frontier_have_no_pair_join(spark):
 
 
 def test_unknown_sizes_are_counted_before_a_broadcast(spark):
-    small = sizes.small_side(spark.range(10), limit=20)
-    large = sizes.small_side(spark.range(100), limit=20)
+    small = sizes.small_side(spark.range(10), limit=20 * 24)
+    large = sizes.small_side(spark.range(100), limit=20 * 24)
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in sizes.small_side(spark.range(5), bound=10**9)._jdf.queryExecution().logical().toString().lower()
