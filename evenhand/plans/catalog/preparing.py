@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import values, vectors
 from evenhand.operators import metrics, prepare, ranks, runs, splits
-from evenhand.operators.sizes import cut_lineage
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.experiments import nested_results
@@ -351,8 +350,8 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.line_columns(spark, sf_dir).withColumn("flat", F.lit(3.0))
-    # Written once: the fit and the transform both read it, and neither repeats the split.
-    parts = cut_lineage(splits.split_by_count(rows, "row_id", SEED, 0.2), ["split"])
+    # A split is a projection over a few cuts, so the fit and the transform can both read the table itself.
+    parts = splits.split_by_count(rows, "row_id", SEED, 0.2)
     columns = [*views.LINE_FEATURES, "flat"]
     scaled = prepare.standardize(parts, columns, fit_on=parts.filter("split = 'train'"))
     return scaled.select("row_id", "split", *[F.round(c, 6).alias(c) for c in columns])
