@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.llm import bpe, language_id, mixing, near_dedup, substring_dedup
 from evenhand.llm.catalog import register
-from evenhand.llm.common import read, written
+from evenhand.llm.common import read, small_batches, written
 
 # Shorter repeats are common phrases; passages of more words than this are copied text.
 PASSAGE_WORDS = 50
@@ -18,6 +18,7 @@ PASSAGE_WORDS = 50
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with that language; texts without letters or unlike all languages go."""
+    small_batches(spark)
     sample = language_id.training_sample(docs, F.lit(True), language_id.TRAIN_DOCS, language_id.LANGUAGES, "doc_id", "text", "lang")
     found = language_id.identify(docs, language_id.fit(sample))
     return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -25,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; documents without an id stay, of equal rows with one id one stays."""
+    small_batches(spark)
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id", "text_hash").distinct()
     rows = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti")
     rows = rows.withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
@@ -33,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id has."""
+    small_batches(spark)
     left = substring_dedup.remove_repeats(docs, width=PASSAGE_WORDS)
     changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
     return left.withColumn("n_chars", changed).select(*docs.columns)
@@ -45,6 +48,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
+    small_batches(spark)
     text_of = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = bpe.encode_decode(docs.select("doc_id", "lang", "source", text_of.alias("text_hash"), "text"))
     same = F.xxhash64("decoded") == F.col("text_hash")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table, for a query; its rows will travel in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -31,8 +34,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+# Rows of an Arrow batch between Spark and its Python workers. Spark's default of 10,000 holds some 35 MB of documents, on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For queries and pipelines: pass documents to Python workers in batches of a few megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut where ``column`` holds about ``limit`` bytes; a single row may be longer."""
+    """The batches again, cut where ``column`` holds about ``limit`` bytes; a single row may be longer.
+
+    Memory that Arrow keeps for later goes back at the end: a worker that waits for its next task shares its executor with others.
+    """
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
@@ -42,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

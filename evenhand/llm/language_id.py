@@ -7,7 +7,7 @@ model gives each character (and the end mark) its probability after up to ``ORDE
 
 with occurrences for n at the highest order, at lower ones the number of different characters before hc (occurrences where the start mark leaves
 none), D from the numbers of n-grams seen once and twice, and a uniform distribution below. A text's language is the one with the least cross-entropy
-per character. Runs of letters repeat, so their scores are kept by a worker, up to a bound.
+per character. Words repeat, so their scores are kept for a task, up to a bound.
 
 n-grams and contexts are looked up by hash in sorted arrays, with a column for each language. They are fitted on a bounded
 sample of labelled documents: about ``TRAIN_DOCS`` of each of the ``LANGUAGES`` most frequent languages, those with the least hash of
@@ -28,7 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -52,7 +52,7 @@ SHARPNESS = 10.0
 UNKNOWN = "und"
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_NUMBERS = 2_000_000
+CACHED_NUMBERS = 1_000_000
 STEP = 1 << 20
 
 _FACTORS = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -76,7 +76,7 @@ class Model:
 
     languages: list[str]
     uniform: float = 1.0
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, discounted share
+    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, interpolated probability
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, weight of the shorter history
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
@@ -105,15 +105,17 @@ class Model:
             key, one = np.unique(np.column_stack([lang[longer].astype(np.uint64), suffix[size][longer]]), axis=0, return_index=True) if size < ORDER else (None, np.zeros(0, np.int64))
             rows = np.concatenate([exact, longer[one]])
             value = np.concatenate([n[exact], np.ones(len(one))])
-            model._add(size, lang[rows], suffix[size - 1][rows], history[size - 2][rows] if size > 1 else np.zeros(len(rows), np.uint64), value)
+            none = np.zeros(len(rows), np.uint64)
+            model._add(lang[rows], suffix[size - 1][rows], *((history[size - 2][rows], suffix[size - 2][rows]) if size > 1 else (none, none)), value)
         return model
 
-    def _add(self, size: int, lang: np.ndarray, gram: np.ndarray, history: np.ndarray, value: np.ndarray) -> None:
+    def _add(self, lang: np.ndarray, gram: np.ndarray, history: np.ndarray, shorter: np.ndarray, value: np.ndarray) -> None:
+        """The next length: rows of n-grams with their history, the n-gram without its first character, and their number."""
         n_langs = len(self.languages)
         grams, at = np.unique(gram, return_inverse=True)
         contexts, of_row = np.unique(history, return_inverse=True)
-        of_gram = np.zeros(len(grams), np.int64)
-        of_gram[at] = of_row
+        of_gram, without_first = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.uint64)
+        of_gram[at], without_first[at] = of_row, shorter
         count = np.bincount(at * n_langs + lang, value, len(grams) * n_langs).reshape(-1, n_langs)
         total, types = np.zeros((len(contexts), n_langs)), np.zeros((len(contexts), n_langs))
         np.add.at(total, of_gram, count)
@@ -123,8 +125,10 @@ class Model:
         seen = np.maximum(total, 1)
         share = np.maximum(count - discount, 0) / seen[of_gram]
         weight = np.where(total > 0, discount * types / seen, 1.0)
-        self.grams.append((grams, np.vstack([share, np.zeros(n_langs)]).astype(np.float32)))
-        self.contexts.append((contexts, np.vstack([weight, np.ones(n_langs)]).astype(np.float32)))
+        # The end of every n-gram that was seen was seen itself, so its probability is in the table before.
+        lower = self.grams[-1][1][np.searchsorted(self.grams[-1][0], without_first)] if self.grams else self.uniform
+        self.grams.append((grams, share + weight[of_gram] * lower))
+        self.contexts.append((contexts, weight))
 
     def surprise(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each run of letters the negative log-probability in every language, and the number of characters predicted."""
@@ -149,19 +153,38 @@ class Model:
             earlier = np.concatenate([[0], codes[near : part.stop - 1]]).astype(np.uint32) if near == 0 else codes[near - 1 : part.stop - 1]
             histories = [h[low - near :] for h in _hashes(earlier)]
             at = np.flatnonzero(depth[part] > 0)
-            p = np.full((len(at), len(self.languages)), self.uniform)
-            for size in range(1, ORDER + 1):
-                deep = np.flatnonzero(depth[part][at] >= size - 1) if size > 1 else np.arange(len(at))
-                context = histories[size - 2][at[deep]] if size > 1 else np.zeros(len(deep), np.uint64)
-                p[deep] = _found(self.grams[size - 1], hashes[size - 1][at[deep]]) + _found(self.contexts[size - 1], context) * p[deep]
+            deep = depth[part][at]
+            p = np.empty((len(at), len(self.languages)))
+            # Most n-grams of full length are known; for the others the weight of the shorter history comes in, and so on.
+            open_rows, weight = np.arange(len(at)), np.ones((len(at), len(self.languages)))
+            for size in range(ORDER, 0, -1):
+                fits = deep[open_rows] >= size - 1
+                rows, place = _known(self.grams[size - 1][0], hashes[size - 1][at[open_rows]], fits)
+                p[open_rows[rows]] = weight[open_rows[rows]] * self.grams[size - 1][1][place]
+                rest = np.ones(len(open_rows), bool)
+                rest[rows] = False
+                open_rows, fits = open_rows[rest], fits[rest]
+                context = histories[size - 2][at[open_rows]] if size > 1 else np.zeros(len(open_rows), np.uint64)
+                rows, place = _known(self.contexts[size - 1][0], context, fits)
+                weight[open_rows[rows]] *= self.contexts[size - 1][1][place]
+            p[open_rows] = weight[open_rows] * self.uniform
             np.add.at(out, run[part][at], -np.log(p))
 
 
-def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The rows of the keys; the last row for keys that are not in the table."""
-    known, values = table
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return values[np.where(known[at] == keys, at, len(known))]
+def _known(table: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted keys are in the table, and where."""
+    rows = np.flatnonzero(wanted)
+    at = np.minimum(np.searchsorted(table, keys[rows]), len(table) - 1)
+    found = table[at] == keys[rows]
+    return rows[found], at[found]
+
+
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Scorer:
@@ -170,32 +193,29 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.bound = max(1000, CACHED_NUMBERS // (len(model.languages) + 1))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+    def forget(self) -> None:
+        """Drop what is remembered of words; done at the end of a task, since a waiting worker should hold little."""
+        self.place = _Places()
         self.table = np.zeros((0, len(self.model.languages) + 1))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its cross-entropy in every language, and the number of characters that it was taken over."""
-        listed = [(t or "").lower().split() for t in texts]
         if len(self.place) > self.bound:
-            self._forget()
-        place = self.place
-        new = list(dict.fromkeys(w for w in chain.from_iterable(listed) if w not in place))
-        if new:
-            runs = [LETTERS.findall(w) for w in new]
+            self.forget()
+        place, known = self.place, len(self.place)
+        found = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in ((t or "").lower().split() for t in texts)]
+        if len(place) > known:
+            runs = [LETTERS.findall(w) for w in islice(place, known, None)]
             surprise, sizes = self.model.surprise(list(chain.from_iterable(runs)))
-            of_word = np.repeat(np.arange(len(new)), [len(r) for r in runs])
-            added = np.zeros((len(new), self.table.shape[1]))
-            np.add.at(added, of_word, np.column_stack([surprise, sizes]))
-            place.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            added = np.zeros((len(runs), self.table.shape[1]))
+            np.add.at(added, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.column_stack([surprise, sizes]))
             self.table = np.vstack([self.table, added])
         totals = np.zeros((len(texts), self.table.shape[1]))
-        for i, words in enumerate(listed):
-            for a in range(0, len(words), STEP):
-                found = words[a : a + STEP]
-                totals[i] += self.table[np.fromiter(map(place.__getitem__, found), np.int64, len(found))].sum(axis=0)
+        for i, at in enumerate(found):
+            for low in range(0, len(at), STEP):
+                totals[i] += self.table[at[low : low + STEP]].sum(axis=0)
         n = totals[:, -1]
         return totals[:, :-1] / np.maximum(n, 1)[:, None], n
 
@@ -280,6 +300,7 @@ def fit(sample: DataFrame) -> Model | None:
             rows = np.flatnonzero((n > 0) & (lang >= 0))
             columns = [pa.array(lang[rows], pa.int32()), pa.array(entropy[rows, lang[rows]]), pa.array(n[rows])]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "entropy", "n"])
+        scorer.forget()
 
     scored = sample.mapInArrow(own, "lang int, entropy double, n double").groupBy("lang")
     stats = scored.agg(F.avg("entropy").alias("mean"), F.stddev("entropy").alias("sd")).toPandas().set_index("lang")
@@ -314,6 +335,7 @@ def identify(docs: DataFrame, model: Model | None, sigmas: float = SIGMAS, text_
             best = np.where(n > 0, best, len(names) - 1)
             columns = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.where(n > 0, share, 0.0)), "rejected": pa.array(rejected)}
             yield replace_columns(batch, columns)
+        scorer.forget()
 
     return docs.mapInArrow(run, schema_with(docs.schema, added))
 

@@ -39,8 +39,8 @@ SAMPLE = 2048
 FREQUENT = 64
 # Text that one group of suffixes comes from, and entries that a task gathers before it sends them.
 PART_BYTES = 24 << 20
-FLUSH = 1_000_000
-STEP_BYTES = 4 << 20
+FLUSH = 400_000
+STEP_BYTES = 1 << 20
 
 
 class Words:
