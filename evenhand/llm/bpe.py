@@ -5,7 +5,7 @@ doubly linked list; a priority queue holds the merge rank of every adjacent pair
 left; an entry whose symbols have changed since it was queued is stale and skipped. Decoding joins the vocabulary
 strings of the ids, turns their characters back into bytes, and replaces what is not UTF-8.
 
-Pieces repeat, so a task keeps the ids of short ones, up to a bound. The vocabulary file (a few megabytes) is read by
+Pieces repeat, so a worker keeps the ids of short ones, up to a bound. The vocabulary file (a few megabytes) is read by
 the driver and broadcast; its path is a parameter.
 
 Defined cases: a null text is an empty one: no ids, decoded to an empty text. A text of any length is worked on as a whole,
@@ -30,7 +30,7 @@ from evenhand.llm.common import read, slices
 from evenhand.llm.rows import replace_columns, schema_with
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 150_000
+CACHED_PIECES = 250_000
 CACHED_LENGTH = 48
 # Pieces whose ids are looked up in one go.
 STEP = 1 << 16
@@ -72,7 +72,7 @@ class ByteBpe(dict):
             self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
 
     def forget(self) -> None:
-        """Drop what is remembered of pieces; done at the end of a task, since a waiting worker should hold little."""
+        """Drop what is remembered of pieces."""
         self.clear()
         self.older = {}
 
@@ -161,10 +161,9 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(shipped.value)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, keeper=bpe):
             ids = [np.array(bpe.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(text_col).to_pylist()]
             yield replace_columns(batch, {"ids": _lists(ids)})
-        bpe.forget()
 
     return docs.mapInArrow(run, schema_with(docs.schema, "ids array<int>"))
 
@@ -195,12 +194,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(shipped.value)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, keeper=bpe):
             ids = [bpe.encode(t) if t else [] for t in batch.column(text_col).to_pylist()]
             texts = [bpe.decode(x) for x in ids]
             arrays = _lists([np.array(x, np.int32) for x in ids])
             yield replace_columns(batch.drop_columns([text_col]), {"ids": arrays, "decoded": pa.array(texts, pa.string())})
-        bpe.forget()
 
     return docs.mapInArrow(run, schema_with(docs.drop(text_col).schema, "ids array<int>, decoded string"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,23 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+_HELD: list[Any] = []
+
+
+def hold(keeper: Any = None) -> None:
+    """Let ``keeper`` remember things from task to task in this worker; what another operator remembered goes (``forget()``)."""
+    for other in _HELD:
+        if other is not keeper:
+            other.forget()
+    _HELD[:] = [] if keeper is None else [keeper]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keeper: Any = None) -> Iterator[pa.RecordBatch]:
     """The batches again, cut where ``column`` holds about ``limit`` bytes; a single row may be longer.
 
     Memory that Arrow keeps for later goes back at the end: a worker that waits for its next task shares its executor with others.
     """
+    hold(keeper)
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
