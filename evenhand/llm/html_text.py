@@ -11,7 +11,8 @@ that reach it hold content, each from its node with the largest sum on. If the c
 article, that element's whole text is taken instead, so that short paragraphs stay.
 
 Parts that are no article by their markup (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers, hidden parts) leave the tree before anything is counted.
+comments of readers, hidden parts) count nothing. They end where other elements do: at their end tag, at that of an element around
+them, or where HTML lets the end tag be left out (head, p, li, dt, dd, option, cells, rows).
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed and stray tags are mended as browsers do for
 paragraphs, items and cells; an unclosed script takes the rest of the page; input columns are kept.
@@ -45,15 +46,28 @@ DROPPED_WORDS = frozenset(
     "footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended "
     "recommendations comment comments reply replies respond disqus discussion widget toolbar pagination pager search skip hidden".split()
 )
+FOREIGN = frozenset(("svg", "math"))
 KEPT = frozenset("html body main".split())
 ARTICLE = frozenset("article main".split())
-# An open element that a new one closes, and where the search for it ends.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 # Elements whose start closes an open paragraph.
 CLOSING_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # In the list of texts: a block begins or ends.
 BREAK = (-1, "")
-SCOPE = frozenset("html body table td th button object caption".split())
+SCOPE = frozenset("html body table td th button object caption template".split())
+# What a new item does not close beyond.
+ITEM_FENCE = (CLOSING_P - {"address", "div", "p"}) | SCOPE | {"select", "datalist", "noscript", "dialog"}
+CELLS = frozenset(("td", "th"))
+ROWS = frozenset("tr td th caption colgroup".split())
+TABLE = frozenset(("table", "template"))
+# The open elements that a new one closes, and where the search for them ends.
+CLOSES = {
+    "li": ({"li"}, ITEM_FENCE), "dt": ({"dt", "dd"}, ITEM_FENCE), "dd": ({"dt", "dd"}, ITEM_FENCE),
+    "tr": (ROWS, TABLE), "td": (CELLS, TABLE | {"tr"}), "th": (CELLS, TABLE | {"tr"}), **{x: (ROWS | {"thead", "tbody", "tfoot"}, TABLE) for x in ("thead", "tbody", "tfoot")},
+    "option": ({"option"}, SCOPE | {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, SCOPE | {"select"}),
+    "a": ({"a"}, SCOPE), "button": ({"button"}, SCOPE - {"button"}), "rt": ({"rt", "rp"}, SCOPE | {"ruby"}), "rp": ({"rt", "rp"}, SCOPE | {"ruby"}),
+}
+# Elements that may stand in a head; any other, or text, ends one that is left open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
 def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
@@ -110,6 +124,8 @@ class Page:
                 self._close(name)
 
     def _text(self, text: str) -> None:
+        if self._skip and self.name[self._stack[-1]] == "head" and text.strip():
+            self._pop(len(self._stack) - 1)
         if self._skip:
             return
         node = self._stack[-1]
@@ -122,19 +138,20 @@ class Page:
 
     def _open(self, name: str, attributes: str, closed: bool) -> None:
         if self._skip:
-            # Inside a dropped element only its own nesting matters.
-            if name not in VOID:
-                self._dropped.append(name)
-                self._skip += 1
-            return
-        if _is_dropped(name, attributes, self._in_article > 0):
-            if name in CLOSING_P:
-                self._close_p()
-            if name not in INLINE:
+            self._leave_head(name)
+            if self._skip and name in KEPT and name != "main":
+                return
+        if name in CLOSING_P:
+            self._close_p()
+        if name in CLOSES:
+            self._close_before(*CLOSES[name])
+        if self._skip or _is_dropped(name, attributes, self._in_article > 0):
+            # Dropped elements are open elements like others, so that the same tags end them, but they count nothing.
+            if not self._skip and name not in INLINE:
                 self.pieces.append(BREAK)
-            if name not in VOID:
-                self._dropped = [name]
-                self._skip = 1
+            if name not in VOID and not (name in FOREIGN and attributes.endswith("/")):
+                self._push(name, 0)
+                self._skip += 1
             return
         node = self._stack[-1]
         if name in INLINE or name in VOID:
@@ -147,45 +164,63 @@ class Page:
             elif name in ("br", "img"):
                 self.pieces.append((node, " "))
             return
-        if name in CLOSING_P:
-            self._close_p()
-        if name in CLOSES:
-            ends, fence = CLOSES[name]
-            for depth in range(len(self._stack) - 1, 0, -1):
-                above = self.name[self._stack[depth]]
-                if above in fence:
-                    break
-                if above in ends:
-                    self._pop(depth)
-                    break
         self.pieces.append(BREAK)
+        self._push(name, 1)
+        if closed:
+            self._stack.pop()
+        else:
+            self._in_article += name in ARTICLE
+
+    def _push(self, name: str, tags: int) -> None:
         self.parent.append(self._stack[-1])
         self.name.append(name)
         for counts in (self.link_tags, self.chars, self.link_chars):
             counts.append(0)
-        self.tags.append(1)
-        if not closed:
-            self._stack.append(len(self.name) - 1)
-            self._in_article += name in ARTICLE
+        self.tags.append(tags)
+        self._stack.append(len(self.name) - 1)
 
     def _close(self, name: str) -> None:
-        if self._skip:
-            if name in self._dropped:
-                while self._dropped.pop() != name:
-                    pass
-                self._skip = len(self._dropped)
-            return
+        first = len(self._stack) - self._skip
+        for depth in range(len(self._stack) - 1, first - 1, -1):
+            above = self.name[self._stack[depth]]
+            if above == name:
+                self._pop(depth)
+                return
+            if above == "template":
+                return
         if name in INLINE or name in VOID:
             if name == "a":
                 self._link = 0
-            elif name == "br":
+            elif name == "br" and not self._skip:
                 self.pieces.append((self._stack[-1], " "))
             return
-        for depth in range(len(self._stack) - 1, 0, -1):
+        for depth in range(first - 1, 0, -1):
             if self.name[self._stack[depth]] == name:
                 self._pop(depth)
                 return
 
+    def _leave_head(self, name: str) -> None:
+        """End a head that is left open where the body begins, with its tag or with something that no head has."""
+        for depth in range(len(self._stack) - 1, len(self._stack) - 1 - self._skip, -1):
+            if self.name[self._stack[depth]] == "head":
+                if name == "body" or (depth == len(self._stack) - 1 and name not in IN_HEAD):
+                    self._pop(depth)
+                return
+            if name != "body":
+                return
+
+    def _close_before(self, ends: frozenset[str], fence: frozenset[str]) -> None:
+        """Close the outermost of these elements on this side of the fence."""
+        found = 0
+        for depth in range(len(self._stack) - 1, 0, -1):
+            above = self.name[self._stack[depth]]
+            if above in ends:
+                found = depth
+            elif above in fence:
+                break
+        if found:
+            self._pop(found)
+
     def _close_p(self) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
             above = self.name[self._stack[depth]]
@@ -196,10 +231,14 @@ class Page:
                 return
 
     def _pop(self, depth: int) -> None:
-        for node in self._stack[depth:]:
+        counted = len(self._stack) - self._skip
+        for node in self._stack[depth:counted]:
             self._in_article -= self.name[node] in ARTICLE
+        inline = self.name[self._stack[depth]] in INLINE
+        self._skip = max(0, min(self._skip, depth - counted))
         del self._stack[depth:]
-        self.pieces.append(BREAK)
+        if not self._skip and not inline:
+            self.pieces.append(BREAK)
         if self._link > depth:
             self._link = 0
 

@@ -221,6 +221,31 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><meta charset=x><body><p>a</p></body>", "a"),
+        ("<html><head><title>t</title><p>a</p>", "a"),
+        ("<head><link rel=x>a", "a"),
+        ("<head><noscript><img></noscript><style>x</style></head><body>a", "a"),
+        (page('<article><p class="ad">buy<p>a</article>'), "a"),
+        (page('<article><p class="ad"><span>buy<div>a</div></article>'), "a"),
+        (page('<article><ul><li>w<li class="ad">x<li>y</ul><p>a</article>'), "w\ny\na"),
+        (page('<article><ul><li class="ad">x</ul><p>a</article>'), "a"),
+        (page('<article><dl><dt class="ad">x<dd>y</dl><p>a</article>'), "y\na"),
+        (page('<article><div><p class="ad">buy</div><p>a</article>'), "a"),
+        (page('<article><datalist><option>A<option>B</datalist><p>a</article>'), "a"),
+        (page("<article><select><optgroup><option>A<optgroup><option>B</select><p>a</article>"), "a"),
+        (page('<article><table><thead class="ad"><tr><th>x<tbody><tr class="ad"><td>y<tr><td>z<td class="ad">w</table><p>a</article>'), "z\na"),
+        (page('<article>a <span class="ad">b <span>c</span><i>d</i></span>e<svg/>f</article>'), "a e\nf"),
+        (page('<article><nav><ul><li>x<li>y</nav><p>a</article>'), "a"),
+        (page("<article><ul><li>x<nav><li>y</nav>z</ul></article>"), "x\nz"),
+    ],
+)
+def test_dropped_parts_end_without_their_end_tag(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_deep_pages_do_not_overflow():
     assert html_text.main_text("<div>" * 20000 + "deep") == "deep"
 
