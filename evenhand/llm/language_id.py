@@ -13,9 +13,10 @@ n-grams and contexts are looked up by hash in sorted arrays, with a column for e
 sample of labelled documents: about ``TRAIN_DOCS`` of each of the ``LANGUAGES`` most frequent languages, those with the least hash of
 their id. Counts are taken by Spark; the model (a few megabytes) is broadcast.
 
-Rejection is calibrated on a part of the sample that is not learned from: a text is rejected if it has no letter, or if its cross-entropy
-is above its language's mean both by ``SIGMAS`` standard deviations (of documents, and of characters over the text's length) and by
-the share ``MARGIN`` of what separates the mean from characters drawn evenly.
+A text is rejected if it has no letter or is unlike all languages. For that each run of letters counts by the language that it surprises
+least, so that a text with parts in several known languages stays. The limit of this cross-entropy per character is calibrated on a part of
+the sample that is not learned from: ``SIGMAS`` standard deviations (of documents, and of characters over the text's length) above the mean
+of the text's language. It does not depend on how many characters the sample has.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without labelled documents all are
 ``und``; ties go to the language that is first in code point order; input columns are kept, added ones replace those of
@@ -43,8 +44,6 @@ ORDER = 5
 TRAIN_DOCS = 2000
 LANGUAGES = 1000
 SIGMAS = 6.0
-# ... and this share of the way from there to even chances for all characters.
-MARGIN = 0.8
 # One in so many documents of the sample calibrates and is not learned from.
 CALIBRATES = 5
 # Characters that the score's softmax takes a text to have, whatever its length.
@@ -80,7 +79,6 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, weight of the shorter history
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
-    highest: float = 0.0  # cross-entropy of characters drawn evenly
 
     @staticmethod
     def fit(counts: pd.DataFrame) -> Model:
@@ -192,16 +190,16 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.bound = max(1000, CACHED_NUMBERS // (len(model.languages) + 1))
+        self.bound = max(1000, CACHED_NUMBERS // (len(model.languages) + 2))
         self.forget()
 
     def forget(self) -> None:
         """Drop what is remembered of words; done at the end of a task, since a waiting worker should hold little."""
         self.place = _Places()
-        self.table = np.zeros((0, len(self.model.languages) + 1))
+        self.table = np.zeros((0, len(self.model.languages) + 2))
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its cross-entropy in every language, and the number of characters that it was taken over."""
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its cross-entropy in every language, that of its runs in the language nearest to each, and the number of characters."""
         if len(self.place) > self.bound:
             self.forget()
         place, known = self.place, len(self.place)
@@ -210,14 +208,15 @@ class Scorer:
             runs = [LETTERS.findall(w) for w in islice(place, known, None)]
             surprise, sizes = self.model.surprise(list(chain.from_iterable(runs)))
             added = np.zeros((len(runs), self.table.shape[1]))
-            np.add.at(added, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.column_stack([surprise, sizes]))
+            np.add.at(added, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.column_stack([surprise, surprise.min(axis=1), sizes]))
             self.table = np.vstack([self.table, added])
         totals = np.zeros((len(texts), self.table.shape[1]))
         for i, at in enumerate(found):
             for low in range(0, len(at), STEP):
                 totals[i] += self.table[at[low : low + STEP]].sum(axis=0)
         n = totals[:, -1]
-        return totals[:, :-1] / np.maximum(n, 1)[:, None], n
+        mean = totals[:, :-1] / np.maximum(n, 1)[:, None]
+        return mean[:, :-1], mean[:, -1], n
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -295,10 +294,10 @@ def fit(sample: DataFrame) -> Model | None:
         scorer = _scorer(shipped)
         index = {x: i for i, x in enumerate(scorer.model.languages)}
         for batch in slices(batches, "text"):
-            entropy, n = scorer.score(batch.column("text").to_pylist())
+            _, nearest, n = scorer.score(batch.column("text").to_pylist())
             lang = np.array([index.get(x, -1) for x in batch.column("lang").to_pylist()])
             rows = np.flatnonzero((n > 0) & (lang >= 0))
-            columns = [pa.array(lang[rows], pa.int32()), pa.array(entropy[rows, lang[rows]]), pa.array(n[rows])]
+            columns = [pa.array(lang[rows], pa.int32()), pa.array(nearest[rows]), pa.array(n[rows])]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "entropy", "n"])
         scorer.forget()
 
@@ -309,7 +308,6 @@ def fit(sample: DataFrame) -> Model | None:
     # A language without enough rows set apart is judged as mildly as the hardest one.
     model.mean = np.array([mean.get(i, mean.max() if len(mean) else highest) for i in range(len(model.languages))])
     model.deviation = np.array([sd.get(i, sd.max() if len(sd) else highest) for i in range(len(model.languages))])
-    model.highest = highest
     return model
 
 
@@ -325,13 +323,13 @@ def identify(docs: DataFrame, model: Model | None, sigmas: float = SIGMAS, text_
         scorer = _scorer(shipped)
         names = np.array([*scorer.model.languages, UNKNOWN], object)
         for batch in slices(batches, text_col):
-            entropy, n = scorer.score(batch.column(text_col).to_pylist())
+            entropy, nearest, n = scorer.score(batch.column(text_col).to_pylist())
             best = entropy.argmin(axis=1)
             least = entropy[np.arange(len(best)), best]
             share = 1 / np.exp((least[:, None] - entropy) * SHARPNESS).sum(axis=1)
             fitted = scorer.model
             usual = fitted.mean[best] + sigmas * np.sqrt(fitted.deviation[best] ** 2 + fitted.mean[best] ** 2 / np.maximum(n, 1))
-            rejected = (n == 0) | (least > np.maximum(usual, fitted.mean[best] + MARGIN * (fitted.highest - fitted.mean[best])))
+            rejected = (n == 0) | (nearest > usual)
             best = np.where(n > 0, best, len(names) - 1)
             columns = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.where(n > 0, share, 0.0)), "rejected": pa.array(rejected)}
             yield replace_columns(batch, columns)

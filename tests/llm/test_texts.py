@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evenhand.llm import bpe, html_text, language_id, licenses, token_counts
@@ -188,6 +189,28 @@ def test_languages_of_odd_texts(spark):
     assert language_id.identify(odd_table(spark).limit(0), model).count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected_with_a_large_alphabet(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    signs = [("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)),) for _ in range(60)]
+    more = spark.createDataFrame(signs, "text string").selectExpr("-1 - monotonically_increasing_id() as doc_id", "'zh' as lang", "text")
+    model = language_id.fit(language_id.training_sample(docs.unionByName(more), F.lit(True), 2000, 10, "doc_id", "text", "lang"))
+    assert 1 / model.uniform > 2500
+    kept = language_id.identify(docs, model).where("not rejected")
+    assert kept.count() >= 0.995 * docs.count()
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (3, 10, 100)]
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    ]
+    parts = {r.lang: r.text for r in docs.where("length(text) > 2000 and lang in ('en', 'fr')").collect()}
+    mixed = parts["en"][:1000] + " " + parts["fr"][:1000]
+    got = language_id.identify(spark.createDataFrame([(t,) for t in [*letters, *foreign, mixed]], "text string"), model).collect()
+    assert {r.text: r.rejected for r in got} == {**dict.fromkeys([*letters, *foreign], True), mixed: False}
+
+
 # Pages
 
 
