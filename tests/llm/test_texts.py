@@ -321,6 +321,34 @@ def test_own_licenses_against_plain_cosines(spark, documents):
         assert r.own_license == naive_license(documents[r.doc_id], licenses.TEMPLATES, frequencies, n, licenses.THRESHOLD)
 
 
+def test_standard_headers_and_texts(spark, documents):
+    import textwrap
+
+    longer = licenses.standard_texts()
+    prose = [t for t in documents.values() if t and len(t) > 500][:20]
+
+    def header(text, mark="# "):
+        return "import os\n\n" + textwrap.indent(textwrap.fill(text, 76), mark, lambda _: True) + "\n\n" + prose[0]
+
+    expected = {header(text): name for name, texts in longer.items() for text in texts if len(text) < 2500}
+    expected |= {"Copyright (c) 2020 Some One\n\n" + text: name for name, texts in longer.items() for text in texts if len(text) >= 900}
+    gpl = longer["GPL-3.0"][0].split(". This")
+    expected["/*\n * frob.c - frobs\n *\n * " + ".\n *\n * This".join(gpl) + "\n */\nint main() { return 0; }"] = "GPL-3.0"
+    expected["This file is released under the MIT license; see the LICENSE file"] = "MIT"
+    rows = [*expected, *prose]
+    got = licenses.own_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")).collect()
+    wrong = {rows[r.i][:60]: (r.own_license, r.cosine) for r in got if r.i < len(expected) and r.own_license != expected[rows[r.i]]}
+    assert not wrong
+
+
+def test_frequent_other_words_weigh_less(spark):
+    texts = ["qua released under the wug license qua"] + ["qua"] * 500
+    notices = {"Wug": ("Released under the Wug License.",)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cosines = [r.cosine for r in licenses.own_licenses(df, notices).collect()]
+    assert max(cosines) > 0.98
+
+
 def test_nearest_directory_wins(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
