@@ -7,8 +7,8 @@ tags, and of these LC characters and LT tags in links. Its link-adjusted density
 
 with b the body; a node's density sum is that of its children and of text of its own. The node with the largest sum is the core of
 the article, and the least density on the path from it to the body is the threshold: all subtrees
-that reach it hold content, each from its node with the largest sum on. If the core stands in an element that is marked as the
-article, that element's whole text is taken instead, so that short paragraphs stay.
+that reach it hold content, each from its node with the largest sum on. Where content stands in an element that is marked as an
+article, or as the main part, that element's whole text is taken, so that short paragraphs stay.
 
 Parts that are no article by their markup (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers, hidden parts) count nothing. They end where other elements do: at their end tag, at that of an element around
@@ -285,20 +285,22 @@ class Page:
         while path[-1] != body:
             path.append(self.parent[path[-1]])
         marked = [False] * n
-        holder = next((i for i in reversed(path) if self.name[i] in ARTICLE), None)
-        if holder is not None:
-            marked[holder] = True
-        else:
-            threshold = min(found[i] for i in path)
-            # The node with the largest sum below each node, itself included.
-            best = list(range(n))
-            for i in range(n - 1, 0, -1):
-                up = self.parent[i]
-                if sums[best[i]] > sums[best[up]] or (sums[best[i]] == sums[best[up]] and best[up] != up):
-                    best[up] = best[i]
-            for i in range(n):
-                if inside[i] and found[i] >= threshold and found[i] > 0:
-                    marked[best[i]] = True
+        threshold = min(found[i] for i in path)
+        # The node with the largest sum below each node, itself included.
+        best = list(range(n))
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            if sums[best[i]] > sums[best[up]] or (sums[best[i]] == sums[best[up]] and best[up] != up):
+                best[up] = best[i]
+        for i in range(n):
+            if inside[i] and found[i] >= threshold and found[i] > 0:
+                marked[best[i]] = True
+        # An article that holds something marked is marked.
+        holds = marked[:]
+        for i in range(n - 1, 0, -1):
+            if holds[i]:
+                holds[self.parent[i]] = True
+                marked[i] = marked[i] or self.name[i] in ARTICLE
         for i in range(1, n):
             marked[i] = marked[i] or marked[self.parent[i]]
         return marked

@@ -269,6 +269,14 @@ def test_dropped_parts_end_without_their_end_tag(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_text_beside_the_article_element():
+    long = LONG * 4
+    one, two, lead = ("".join(f"<p>{w} {long}</p>" for w in ws) for ws in (("a", "b", "c"), ("d", "e"), ("f",)))
+    words = lambda *ws: "\n".join(f"{w} {long.strip()}" for w in ws)
+    assert html_text.main_text(page(NAV, f"<article>{one}</article><article><h2>h</h2>{two}</article>", FOOT)) == words("a", "b", "c") + "\nh\n" + words("d", "e")
+    assert html_text.main_text(page(NAV, f"{lead}<article><h2>h</h2>{one}</article>", FOOT)) == words("f") + "\nh\n" + words("a", "b", "c")
+
+
 def test_deep_pages_do_not_overflow():
     assert html_text.main_text("<div>" * 20000 + "deep") == "deep"
 
