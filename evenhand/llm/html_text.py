@@ -10,10 +10,14 @@ the article, and the least density on the path from it to the body is the thresh
 that reach it hold content, each from its node with the largest sum on. Where content stands in an element that is marked as an
 article, or as the main part, that element's whole text is taken, so that short paragraphs stay.
 
-Parts that are no article by their markup (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers, hidden parts) count nothing. They end where other elements do: at their end tag, at that of an element around
+Parts that are no article by their element, role or hiding (menus, page headers, footers, sidebars, forms, scripts, styles) count nothing. They end where other elements do: at their end tag, at that of an element around
 them, or where HTML lets the end tag be left out (head, p, li, dt, dd, option, cells, rows).
 
+Words of a class or an id are evidence only, weighed when the tree is known. Outside the article (an article element, a main element
+without one, else the core of what nobody suspects) an element with such a word counts nothing, unless it holds most of the articles, or without articles of the page's text.
+Inside, headings stay and sections go only if links make up half of them; other elements go if links do, if the word is one of adverts and
+the like and the text is short, or if they hold readers' comments that are the smaller part.
+
 Defined cases: null, empty or text-free html gives an empty text; unclosed and stray tags are mended as browsers do for
 paragraphs, items and cells; an unclosed script takes the rest of the page; input columns are kept.
 """
@@ -47,6 +51,14 @@ DROPPED_WORDS = frozenset(
     "recommendations comment comments reply replies respond disqus discussion widget toolbar pagination pager search skip hidden".split()
 )
 FOREIGN = frozenset(("svg", "math"))
+# Of these, the words that a short part of an article is taken at, and those of readers' comments.
+PLAIN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar sidebars menu menus navbar breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter "
+    "subscribe subscription signup signin login disqus pagination pager toolbar".split()
+)
+COMMENT_WORDS = frozenset("comment comments respond replies disqus".split())
+SHORT = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body main".split())
 ARTICLE = frozenset("article main".split())
 # Elements whose start closes an open paragraph.
@@ -83,11 +95,16 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and value in DROPPED_ROLES:
             return True
-        if key in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
     return False
 
 
+def _evidence(name: str, attributes: str) -> frozenset[str]:
+    """The words of class and id that speak against an element."""
+    if not attributes.strip() or name in KEPT or name in VOID:
+        return frozenset()
+    return DROPPED_WORDS.intersection(w for key, value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for w in re.split(r"[^a-z0-9]+", value.lower()))
+
+
 class Page:
     """The block elements of a page in page order, and their text. Lists are indexed by node; children follow their parent."""
 
@@ -95,8 +112,10 @@ class Page:
         self.parent, self.name, self.tags, self.link_tags = [-1], ["#page"], [0], [0]
         self.chars, self.link_chars = [0], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, text) in page order
-        self._stack, self._link, self._skip, self._in_article = [0], 0, 0, 0
+        self.evidence: dict[int, frozenset[str]] = {}
+        self._stack, self._link, self._skip, self._in_article, self._inline = [0], 0, 0, 0, 0
         self._read(source)
+        self.gone = self._settle() if self.evidence else [False] * len(self.name)
 
     def _read(self, source: str) -> None:
         at = 0
@@ -154,6 +173,17 @@ class Page:
                 self._skip += 1
             return
         node = self._stack[-1]
+        evidence = _evidence(name, attributes)
+        if name in INLINE and name not in VOID and (evidence or self._inline):
+            # Such inline elements are nodes, since they may go, and so are those in them, to tell their end tags.
+            self._push(name, 1)
+            self._inline += 1
+            if evidence:
+                self.evidence[self._stack[-1]] = evidence
+            if name == "a":
+                self.link_tags[self._stack[-1]] = 1
+                self._link = len(self._stack)
+            return
         if name in INLINE or name in VOID:
             self.tags[node] += 1
             if name == "a":
@@ -166,6 +196,8 @@ class Page:
             return
         self.pieces.append(BREAK)
         self._push(name, 1)
+        if evidence:
+            self.evidence[self._stack[-1]] = evidence
         if closed:
             self._stack.pop()
         else:
@@ -189,6 +221,10 @@ class Page:
             if above == "template":
                 return
         if name in INLINE or name in VOID:
+            for depth in range(first - 1, 0, -1) if self._inline and name not in VOID else ():
+                if self.name[self._stack[depth]] == name:
+                    self._pop(depth)
+                    return
             if name == "a":
                 self._link = 0
             elif name == "br" and not self._skip:
@@ -234,7 +270,8 @@ class Page:
         counted = len(self._stack) - self._skip
         for node in self._stack[depth:counted]:
             self._in_article -= self.name[node] in ARTICLE
-        inline = self.name[self._stack[depth]] in INLINE
+            self._inline -= self.name[node] in INLINE
+        inline = all(self.name[node] in INLINE for node in self._stack[depth:])
         self._skip = max(0, min(self._skip, depth - counted))
         del self._stack[depth:]
         if not self._skip and not inline:
@@ -242,6 +279,70 @@ class Page:
         if self._link > depth:
             self._link = 0
 
+    def _settle(self) -> list[bool]:
+        """For every node, whether it goes for the words of its class or id, or of one around it; what goes counts nothing."""
+        n = len(self.name)
+        chars, links = self.chars[:], self.link_chars[:]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            links[self.parent[i]] += links[i]
+        # A main element with an article in it is no article itself.
+        has_article = [x == "article" for x in self.name]
+        for i in range(n - 1, 0, -1):
+            has_article[self.parent[i]] = has_article[self.parent[i]] or has_article[i]
+        holder = [-1] * n
+        for i in range(1, n):
+            own = self.name[i] == "article" or (self.name[i] == "main" and not has_article[i])
+            holder[i] = holder[self.parent[i]] if holder[self.parent[i]] >= 0 else i if own else -1
+
+        def goes(i: int, within: int) -> bool:
+            words, name = self.evidence[i], self.name[i]
+            if name in HEADINGS:
+                return False
+            if links[i] * 2 >= chars[i] > 0:
+                return True
+            if name == "section" or name in ARTICLE:
+                return False
+            return (chars[i] < SHORT and not PLAIN_WORDS.isdisjoint(words)) or (chars[i] * 2 < chars[within] and not COMMENT_WORDS.isdisjoint(words))
+
+        def spread(own: set[int]) -> list[bool]:
+            gone = [False] * n
+            for i in range(1, n):
+                gone[i] = gone[self.parent[i]] or i in own
+            return gone
+
+        inside = {i for i in self.evidence if holder[i] >= 0}
+        own = {i for i in inside if goes(i, holder[i])}
+        # Most of the articles' text, or without articles of the page's own text, speaks for an element around it.
+        text = [chars[i] if holder[i] == i else 0 for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+        articles = text[0] > 0
+        if not articles:
+            text = [c - k for c, k in zip(chars, links)]
+        outside = {i for i in self.evidence if i not in inside and text[i] * 3 < text[0] * 2}
+        own |= outside
+        if outside and not articles:
+            kept = self._without(spread(own))
+            _, sums, body = self.densities()
+            core = max(range(body, n), key=lambda i: (sums[i], -i))
+            self.tags, self.link_tags, self.chars, self.link_chars = kept
+            in_core = [False] * n
+            for i in range(core, n):
+                in_core[i] = i == core or in_core[self.parent[i]]
+            # Where the body itself is the core, only its headings and paragraphs are surely text of it.
+            texts = HEADINGS | {"p"}
+            own -= {i for i in outside if in_core[i] and (core != body or self.name[i] in texts) and not goes(i, core)}
+        gone = spread(own)
+        self._without(gone)
+        return gone
+
+    def _without(self, gone: list[bool]) -> tuple[list[int], ...]:
+        """Set the counts of these nodes to 0; those before are returned."""
+        counts = (self.tags, self.link_tags, self.chars, self.link_chars)
+        self.tags, self.link_tags, self.chars, self.link_chars = ([0 if g else x for x, g in zip(c, gone)] for c in counts)
+        return counts
+
     def densities(self) -> tuple[list[float], list[float], int]:
         """Density and density sum of every node, and the body."""
         n = len(self.parent)
@@ -309,17 +410,22 @@ class Page:
         if not any(self.chars):
             return ""
         marked = self.content()
+        # Inline elements continue the line of the block that they stand in.
+        line = list(range(len(self.name)))
+        for i in range(1, len(line)):
+            if self.name[i] in INLINE:
+                line[i] = line[self.parent[i]]
         blocks, last = [], -1
         for node, text in self.pieces:
             if node < 0:
                 last = -1
-            elif not marked[node]:
+            elif not marked[node] or self.gone[node]:
                 continue
-            elif node == last:
+            elif line[node] == last:
                 blocks[-1].append(text)
             else:
                 blocks.append([text])
-                last = node
+                last = line[node]
         lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 

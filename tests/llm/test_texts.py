@@ -269,6 +269,25 @@ def test_dropped_parts_end_without_their_end_tag(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (page(f'<article><div class="article-header"><h1>Head</h1></div><p>{LONG}</p></article>'), f"Head\n{LONG.strip()}"),
+        (page(f'<article><p>{LONG}</p><section id="discussion"><h2>D</h2><p>{LONG}</p></section></article>'), f"{LONG.strip()}\nD\n{LONG.strip()}"),
+        (page(f'<main><p>{LONG}</p><h2 id="related-work">R</h2><p>b</p></main>'), f"{LONG.strip()}\nR\nb"),
+        (page(f'<div id=content><p>{LONG}</p><p class="alert">Do not!</p><p>{LONG}</p></div>', FOOT), f"{LONG.strip()}\nDo not!\n{LONG.strip()}"),
+        (page(f'<div class="post widget"><p>{LONG}</p><p>{LONG}</p></div>', "<p>short</p>"), f"{LONG.strip()}\n{LONG.strip()}"),
+        (page(f'<article><p>{LONG}</p><div class="related"><a href="/">See also</a></div><p>b</p></article>'), f"{LONG.strip()}\nb"),
+        (page(f'<article><p>{LONG}</p><p>{LONG}</p><div class="comments"><p>{LONG}</p></div></article>'), f"{LONG.strip()}\n{LONG.strip()}"),
+        (page(f'<main><article><p>{LONG}</p></article><div id="comments"><p>{LONG}{LONG}</p></div></main>'), LONG.strip()),
+        (page('<article><p>one <span class="search">two <span>three</span></span> four <a class="share" href="/">five</a> six <span class="ad">x</span></p></article>'), "one two three four six"),
+        (page(f'<div class="alert"><p>Out of service</p></div><article><p>{LONG}</p></article>'), LONG.strip()),
+    ],
+)
+def test_words_of_class_and_id_are_evidence(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_text_beside_the_article_element():
     long = LONG * 4
     one, two, lead = ("".join(f"<p>{w} {long}</p>" for w in ws) for ws in (("a", "b", "c"), ("d", "e"), ("f",)))
