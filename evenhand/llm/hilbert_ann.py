@@ -109,7 +109,8 @@ class Index:
 
     def ranges(self, lifted: np.ndarray) -> np.ndarray:
         """The key range of every vector on every curve (curve, vector)."""
-        return np.stack([np.searchsorted(b, k, side="right") for b, k in zip(self.borders, self.keys(lifted))])
+        # A key that many vectors have is several borders; ranges count different ones, so that neighbours differ by 1.
+        return np.stack([np.searchsorted(np.unique(b), k, side="right") for b, k in zip(self.borders, self.keys(lifted))])
 
 
 def _lift(v: np.ndarray, longest: float) -> np.ndarray:

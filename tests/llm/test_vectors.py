@@ -96,6 +96,16 @@ def test_one_common_vector(spark):
         assert all(a[0] < b[0] for a, b in zip(listed, listed[1:]) if a[1] == b[1])
 
 
+def test_ranges_with_common_vectors_are_neighbours():
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=(6, 8))
+    rows = np.concatenate([np.repeat(common, 130, axis=0), rng.normal(size=(220, 8))])
+    longest = float(np.linalg.norm(rows, axis=1).max())
+    index = hilbert_ann.Index.fit(rows, longest, 14, 6, 4, 16, 7)
+    for own in index.ranges(hilbert_ann._lift(rows, longest)):
+        assert sorted(set(own.tolist())) == list(range(own.min(), own.max() + 1))
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_curve_steps_to_neighbouring_cells(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
