@@ -67,10 +67,10 @@ def test_transforms_give_exact_product_sums():
 
 def test_zero_mismatches_are_occurrences():
     rng = np.random.default_rng(2)
-    codes = np.append(rng.integers(0, 2, 400), 2).astype(np.uint64)
-    starts = np.arange(0, 384, 8)
+    codes = np.append(rng.integers(0, 2, 4000), 2).astype(np.uint64)
+    starts = np.arange(0, 3984, 8)
     got = set(zip(*(x.tolist() for x in pr.zero_mismatches(codes, starts, 3, 8))))
-    plain = {(b, d) for b in starts.tolist() for d in range(3, 11) if b + d + 8 <= 400 and (codes[b : b + 8] == codes[b + d : b + d + 8]).all()}
+    plain = {(b, d) for b in starts.tolist() for d in range(3, 11) if b + d + 8 <= 4000 and (codes[b : b + 8] == codes[b + d : b + d + 8]).all()}
     assert got == plain and plain
 
 
