@@ -24,4 +24,4 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from evenhand.llm import bpe, hilbert_ann, html_text, language_id, licenses, mixing, near_dedup, periodic_runs, quality, substring_dedup, token_counts, uniform_topk  # noqa: F401
+    from evenhand.llm import bpe, hard_negatives, hilbert_ann, html_text, language_id, licenses, mixing, near_dedup, periodic_runs, quality, substring_dedup, token_counts, uniform_topk  # noqa: F401
