@@ -206,25 +206,27 @@ def pick_threshold(df: DataFrame, score: str = "f", by: Sequence[str] = (), grou
     candidates below its score, instead of once per candidate.
     """
     by = list(by)
-    candidates = exact_quantiles(df, score, range(1, CANDIDATES + 1), CANDIDATES + 1, by, groups)
+    candidates = cut_lineage(exact_quantiles(df, score, range(1, CANDIDATES + 1), CANDIDATES + 1, by, groups))
     if by:
         met = df.join(small_side(candidates, groups), by)
     else:
         met = df.withColumn("quantiles", candidates.select("quantiles").scalar())
-    # The outer transform binds the score to a variable, which is then compared with each candidate.
-    below = F.transform(F.array(score), lambda v: F.size(F.filter("quantiles", lambda c: v > c)))[0]
-    counted = met.groupBy(*by, below.alias("_k")).agg(
+    # The candidates ascend. Halving steps as projections stay in generated code; a function over the array would be interpreted for every row.
+    met = met.withColumn("_k", F.lit(0))
+    for step in (1 << k for k in reversed(range(CANDIDATES.bit_length()))):
+        met = met.withColumn("_k", F.col("_k") + F.when(F.get("quantiles", F.col("_k") + (step - 1)) < F.col(score), step).otherwise(0))
+    counted = met.groupBy(*by, "_k").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("_n"),
-        F.first("quantiles").alias("quantiles"),
     )
     # A row that is above k candidates is predicted positive by the first k of them.
     cells = counted.groupBy(*by).agg(
         F.sum("_p").alias("_all_p"),
         F.sum("_n").alias("_all_n"),
         F.collect_list(F.struct("_k", "_p", "_n")).alias("_cells"),
-        F.first("quantiles").alias("quantiles"),
     )
+    # The candidates join again, as an array among the sums would have every row sorted.
+    cells = cells.join(small_side(candidates, groups), by) if by else cells.withColumn("quantiles", candidates.select("quantiles").scalar())
 
     def above(i: Column, field: str) -> Column:
         return F.aggregate("_cells", F.lit(0).cast("bigint"), lambda s, c: s + F.when(c["_k"] > i, c[field]).otherwise(0))

@@ -21,6 +21,8 @@ VALUE_RESOLUTION = 2048
 PARTS = 1024
 # Further hash digits that part the rows of a hash bucket.
 PART_DIGITS = 3
+# Cuts that are compared one by one, and found with a coarser histogram.
+FEW_CUTS = 16
 # Sizes below its inverse share a few buckets around 0; above its own inverse limit, the last bucket.
 _SMALLEST_UNIT = 1e9
 _LARGEST_VALUE = 1e290
@@ -50,20 +52,23 @@ def values_at_ranks(
     by: Sequence[str] = (),
     bound: int | None = None,
     part: Callable[[Column, Column, Column], Column] = value_part,
+    ends: bool = True,
 ) -> DataFrame:
     """The values at 0-based ranks per ``by``: ``(by..., total, at MAP<rank, value>)``.
 
     ``ranks`` is an array expression of ``total``, the rows of the stratum (and of ``by``), or a small
     table ``(by..., ranks)``. Ranks beyond the stratum have no entry. ``bound`` bounds the number of
     strata times ranks. ``part`` gives the order-preserving part of a value in a bucket with a smallest and
-    a largest one: a bucket that holds most of the rows is dealt out by it.
+    a largest one: a bucket that holds most of the rows is dealt out by it. Without ``ends`` these two are not
+    looked for, and ``part`` gets nulls.
     """
     keys = list(by) or ["_all"]
     rows = df.select(*by, bucket.alias("_bucket"), value.alias("_value"))
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
+    found = [F.min("_value"), F.max("_value")] if ends else [F.lit(None).cast(rows.schema["_value"].dataType)] * 2
     histogram = rows.groupBy(*keys, "_bucket").agg(
-        F.count("*").alias("_n"), F.struct(F.min("_value").alias("low"), F.max("_value").alias("high")).alias("_ends")
+        F.count("*").alias("_n"), F.struct(found[0].alias("low"), found[1].alias("high")).alias("_ends")
     )
     stratum = Window.partitionBy(*keys)
     before = stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,6 +127,8 @@ def values_at_ranks(
             F.first("ranks").alias("ranks"),
         )
     )
+    # Both the parts' sizes and the values in them are read from it, so the rows are not met twice.
+    counted = cut_lineage(counted)
     parts_before = (
         Window.partitionBy(*keys, "_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -190,19 +197,22 @@ def shuffle_cuts(
     counts: Column | DataFrame,
     by: Sequence[str] = (),
     bound: int | None = None,
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """Hashes that cut a table, taken in hash order, after given numbers of rows.
 
     ``counts`` is an ascending array expression of ``total`` (the rows of the stratum) or a table ``(by..., counts)``; rows
     from the hash of row ``count`` on are behind the cut. Returns ``(by..., cut_hashes ARRAY<STRING>)``,
     where a count that reaches the size of its stratum, with no row behind it, is null.
-    ``digits`` sets the histogram: about 16**-digits of the rows are sorted per cut.
+    ``digits`` sets the histogram: about 16**-digits of the rows are sorted per cut. Few cuts do with one digit less,
+    as the histogram is then the larger part of the work.
     """
+    if digits is None:
+        digits = 3 if bound is not None and bound <= FEW_CUTS else 4
     hashed = df.select(*by, h.alias("_h"))
     ranks = counts.withColumnRenamed("counts", "ranks") if isinstance(counts, DataFrame) else counts
     further = lambda h, low, high: F.substring(h, digits + 1, PART_DIGITS)
-    found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound, further)
+    found = values_at_ranks(hashed, F.col("_h"), hash_bucket(F.col("_h"), digits), ranks, by, bound, further, ends=False)
     if isinstance(counts, DataFrame):
         found = found.join(counts, list(by))
     else:
@@ -213,9 +223,11 @@ def shuffle_cuts(
 def part_of(h: Column, cut_hashes: Column, cuts: int) -> Column:
     """Number of cuts at or below the hash: the 0-based part of a row. A null cut (at the end) is never reached.
 
-    The cuts ascend, so halving steps find it: the expression and the work grow with the logarithm of ``cuts``.
-    The outer transform makes the hash a variable, so that it is computed once and not once per step.
+    A few cuts are compared one by one in generated code. More ascend, so halving steps find the part: the expression and the work grow
+    with the logarithm of ``cuts``. The outer transform makes the hash a variable, so that it is computed once and not once per step.
     """
+    if cuts <= FEW_CUTS:
+        return sum([F.coalesce((h >= F.get(cut_hashes, F.lit(i))).cast("int"), F.lit(0)) for i in range(cuts)], F.lit(0))
     steps = F.array(*[F.lit(1 << k) for k in range(max(1, cuts.bit_length()) - 1, -1, -1)])
 
     def reached(v: Column, n: Column) -> Column:

@@ -1,7 +1,9 @@
 """Exact random splits and client partitions, without shuffling the table.
 
 Each of them cuts the rows, in the order of a keyed hash, after given counts. The cut hashes are
-found by ``ranks.shuffle_cuts``; a row then only compares its own hash with them.
+found by ``ranks.shuffle_cuts``; a row then only compares its own hash with them. They are found when
+the operator is called and written as a small table, so however often a result is read, the ranks
+are selected once and a split is a projection.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.draws import draw_hash, hex_word
 from evenhand.operators.ranks import part_of, shuffle_cuts
-from evenhand.operators.sizes import small_side
+from evenhand.operators.sizes import cut_lineage, small_side
 
 
 def _cut_globally(df: DataFrame, h: Column, counts: Column, cuts: int, output: str) -> DataFrame:
     """Number the parts of the whole table; ``counts`` is an array of so many ``cuts``, of its row count ``total``."""
-    cut_hashes = shuffle_cuts(df, h, counts, bound=cuts).select("cut_hashes").scalar()
+    cut_hashes = cut_lineage(shuffle_cuts(df, h, counts, bound=cuts).select("cut_hashes")).scalar()
     # A table whose cuts all lie at its end has no cut row at all.
     found = F.coalesce(cut_hashes, F.array().cast("array<string>"))
     return df.withColumn("_cuts", found).withColumn(output, part_of(h, F.col("_cuts"), cuts)).drop("_cuts")
@@ -26,7 +28,7 @@ def _cut_globally(df: DataFrame, h: Column, counts: Column, cuts: int, output: s
 
 def _cut_by_stratum(df: DataFrame, h: Column, counts: DataFrame, stratum: str, strata: int, cuts: int, output: str) -> DataFrame:
     bound = strata * cuts
-    hashes = shuffle_cuts(df, h, counts, [stratum], bound=bound)
+    hashes = cut_lineage(shuffle_cuts(df, h, counts, [stratum], bound=bound))
     joined = df.join(small_side(hashes, bound), stratum, "left")
     found = F.coalesce("cut_hashes", F.array().cast("array<string>"))
     return joined.withColumn(output, part_of(h, found, cuts)).drop("cut_hashes")

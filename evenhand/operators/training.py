@@ -1,101 +1,228 @@
-"""Ridge-anchored logistic fits with Spark ML.
+"""Ridge-anchored logistic fits by Newton steps over distributed sums.
 
 The objective is the mean logistic loss plus ``strength / (2 w^2) * |theta - anchor|^2`` with ``w`` the
 number of weights, constant inputs included. Fits read rows ``(a, y, x)`` and give weights in the order
-``[x..., a]``.
+``[x..., a]``. The ridge makes the optimum unique and finite, whatever the labels and inputs are.
 
-A row ``(z, y)`` has the same loss as ``(-z, 1 - y)``. Each row goes in as both: no input is constant any
-more (Spark ML would give it no weight), both classes are there whatever the labels are, and the
-optimum stays the same. With the ridge it is finite even for one class.
+Rows are packed into blocks of numbers once. A Newton step is one pass over them: every task adds up the
+loss, the gradient and the upper half of the Hessian of its rows, at most ``FAN_IN`` of these sums meet in
+one place at a time, in a fixed order, and the driver solves for the step. Beyond ``DENSE`` weights no Hessian is formed:
+the step comes from conjugate gradients, a pass each, which add up the Hessian's product with one vector.
+What moves is as large as the model, never as the data.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import DenseMatrix
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from evenhand.functions.vectors import score
+# Newton steps, shortened ones counted; a fit that needs more says so.
+MAX_STEPS = 100
+# What a further step could lower the objective by, as its quadratic model has it, when a fit comes to rest.
+TOLERANCE = 1e-10
+# Weights up to which the Hessian is formed.
+DENSE = 512
+# Products of a conjugate-gradient solve.
+PRODUCTS = 200
+# Tasks whose sums meet in one.
+FAN_IN = 32
+# Bytes of inputs in a block.
+BLOCK_BYTES = 1 << 20
 
-# Optimiser steps of a run of published length. A fit that needs more says so.
-MAX_STEPS = 500
-# Relative improvement of the objective at which the optimiser comes to rest.
-TOLERANCE = 1e-6
+Block = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Weights ``[x..., a]``, the steps taken, and whether the optimiser came to rest before its last one."""
+    """Weights ``[x..., a]``, the steps taken, and whether the fit came to rest before its last one."""
 
     weights: list[float]
     steps: int
     converged: bool
 
 
-def _mirrored(df: DataFrame, width: int, offset: Sequence[float] | None) -> DataFrame:
-    """``(y, features)`` with every row and its mirror image; the anchor's score is the last feature."""
-    inputs = [F.col("x")[i] for i in range(width)] if width <= 64 else None
-    z = F.array(*inputs, F.col("a").cast("double")) if inputs is not None else F.concat("x", F.array(F.col("a").cast("double")))
-    if offset is not None:
-        z = F.concat(z, F.array(_offset(offset)))
-    rows = df.select(z.alias("z"), F.col("y").cast("double").alias("y"))
-    both = F.array(
-        F.struct("z", "y"), F.struct(F.transform("z", lambda v: -v).alias("z"), (F.lit(1.0) - F.col("y")).alias("y"))
-    )
-    return rows.select(F.inline(both)).select("y", array_to_vector("z").alias("features"))
+def _logistic(f: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-f)) without overflow."""
+    return np.exp(-np.logaddexp(0.0, -f))
 
 
-def _offset(anchor: Sequence[float]):
-    """The anchor's score; beyond a few inputs as one expression over the array instead of one per input."""
-    if len(anchor) <= 65:
-        return score("x", "a", anchor)
-    weights = F.expr(f"array({', '.join(f'{float(w)!r}D' for w in anchor[:-1])})")
-    products = F.zip_with("x", weights, lambda v, w: v * w)
-    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.lit(float(anchor[-1])) * F.col("a").cast("double")
+def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, BLOCK_BYTES // (8 * (width + 1)))
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                lists = part.column("x")
+                if (lists.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+                    raise ValueError(f"x does not hold {width} inputs in every row")
+                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                z = np.column_stack([x, part.column("a").to_numpy(zero_copy_only=False).astype(float)])
+                y = part.column("y").to_numpy(zero_copy_only=False).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["z", "y"])
+
+    return run
+
+
+class Blocks:
+    """The rows of a fit as packed blocks, kept for its passes."""
+
+    def __init__(self, df: DataFrame, width: int):
+        self.width = width + 1
+        self.packed = df.select(F.col("x").cast("array<double>").alias("x"), "a", "y").mapInArrow(_packed(width), "z binary, y binary").persist()
+        self.parts = self.packed.rdd.getNumPartitions()
+
+    def release(self) -> None:
+        self.packed.unpersist()
+
+    def total(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over all rows of what ``of(z, y)`` gives for a block; empty without rows."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for batch in batches:
+                for z, y in zip(*batch.columns):
+                    block = of(np.frombuffer(z.as_buffer()).reshape(-1, width), np.frombuffer(y.as_buffer()))
+                    found = block if found is None else found + block
+            if found is not None:
+                yield _row(TaskContext.get().partitionId(), found)
+
+        sums, parts = self.packed.mapInArrow(run, "part int, sums binary"), self.parts
+        while parts > FAN_IN:
+            parts = math.ceil(parts / FAN_IN)
+            sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("_met")).applyInArrow(_added, "part int, sums binary")
+        return _in_order(sums.toArrow())
+
+
+def _row(part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "sums"])
+
+
+def _in_order(table: pa.Table) -> np.ndarray:
+    """The sum of a column of sums, always in the same order; empty without any."""
+    found = [np.frombuffer(s.as_buffer()) for s in table.sort_by("part")["sums"]]
+    return np.sum(found, axis=0) if found else np.zeros(0)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_row(int(table["part"][0].as_py()) // FAN_IN, _in_order(table))])
+
+
+@dataclass(frozen=True)
+class Point:
+    """The objective at some weights, its gradient, and its Hessian where one is formed."""
+
+    theta: np.ndarray
+    value: float
+    gradient: np.ndarray
+    hessian: np.ndarray | None
+    rows: float
+
+
+class Objective:
+    """The anchored mean loss of the rows, worked out by passes over their blocks."""
+
+    def __init__(self, blocks: Blocks, anchor: np.ndarray, ridge: float):
+        self.blocks, self.anchor, self.ridge = blocks, anchor, ridge
+        self.dense = len(anchor) <= DENSE
+
+    def at(self, theta: np.ndarray) -> Point | None:
+        """None without rows."""
+        w, dense = len(theta), self.dense
+        upper = np.triu_indices(w)
+
+        def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+            f = z @ theta
+            p = _logistic(f)
+            parts = [[len(y), np.logaddexp(0.0, np.where(y > 0, -f, f)).sum()], z.T @ (p - y)]
+            if dense:
+                parts.append((z.T @ (z * (p * (1.0 - p))[:, None]))[upper])
+            return np.concatenate(parts)
+
+        total = self.blocks.total(sums)
+        if not len(total):
+            return None
+        n, away = total[0], theta - self.anchor
+        hessian = None
+        if dense:
+            hessian = np.zeros((w, w))
+            hessian[upper] = total[2 + w :] / n
+            hessian = hessian + np.triu(hessian, 1).T + self.ridge * np.eye(w)
+        return Point(theta, total[1] / n + self.ridge / 2 * away @ away, total[2 : 2 + w] / n + self.ridge * away, hessian, n)
+
+    def product(self, point: Point, v: np.ndarray) -> np.ndarray:
+        """The Hessian at ``point`` times ``v``."""
+        theta = point.theta
+
+        def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+            p = _logistic(z @ theta)
+            return z.T @ (p * (1.0 - p) * (z @ v))
+
+        return self.blocks.total(sums) / point.rows + self.ridge * v
+
+    def step(self, point: Point, first: float) -> np.ndarray:
+        """The Newton step; by conjugate gradients it is the more exact the smaller the gradient is against the ``first`` one."""
+        if point.hessian is not None:
+            return -np.linalg.solve(point.hessian, point.gradient)
+        size = np.linalg.norm(point.gradient)
+        return conjugate_gradients(lambda v: self.product(point, v), -point.gradient, min(0.1, math.sqrt(size / first)) * size, PRODUCTS)
+
+
+def conjugate_gradients(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, tolerance: float, most: int) -> np.ndarray:
+    """The solution of ``H x = b`` for a positive definite ``H`` that is only given by its products, up to a residual of length ``tolerance``."""
+    x = np.zeros_like(b)
+    left = b.copy()
+    along, size = left.copy(), left @ left
+    for _ in range(most):
+        if math.sqrt(size) <= tolerance:
+            break
+        image = product(along)
+        far = size / (along @ image)
+        x, left = x + far * along, left - far * image
+        before, size = size, left @ left
+        along = left + size / before * along
+    return x
 
 
 def fit_anchored(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
-    """Fit anchored at ``anchor``: its score is an input whose weight is held at 1, and the shift is penalised.
-
-    No rows give the anchor itself.
-    """
-    anchor = [float(z) for z in anchor]
-    if len(anchor) != width + 1:
-        raise ValueError(f"{len(anchor)} weights for {width} features and the group")
-    shifted = any(z != 0.0 for z in anchor)
-    ready = _mirrored(df, width, anchor if shifted else None).persist()
+    """Fit anchored at ``anchor``, which is also where it starts. No rows give the anchor itself."""
+    start = np.array([float(z) for z in anchor])
+    if len(start) != width + 1:
+        raise ValueError(f"{len(start)} weights for {width} features and the group")
+    blocks = Blocks(df, width)
     try:
-        if ready.isEmpty():
-            return Fit(anchor, 0, True)
-        model = LogisticRegression(
-            featuresCol="features",
-            labelCol="y",
-            regParam=strength / (width + 1) ** 2,
-            elasticNetParam=0.0,
-            standardization=False,
-            fitIntercept=False,
-            maxIter=max_steps,
-            tol=tolerance,
-        )
-        if shifted:
-            free = width + 1
-            model = model.setLowerBoundsOnCoefficients(DenseMatrix(1, free + 1, [-math.inf] * free + [1.0]))
-            model = model.setUpperBoundsOnCoefficients(DenseMatrix(1, free + 1, [math.inf] * free + [1.0]))
-        fitted = model.fit(ready)
+        return _newton(Objective(blocks, start, strength / (width + 1) ** 2), max_steps, tolerance)
     finally:
-        ready.unpersist()
-    steps = fitted.summary.totalIterations
-    shift = [float(c) for c in fitted.coefficients][: width + 1]
-    converged = steps < max_steps
-    if not converged:
-        warnings.warn(f"the fit took all of its {max_steps} steps and has not come to rest", stacklevel=2)
-    return Fit([z + s for z, s in zip(anchor, shift)], steps, converged)
+        blocks.release()
+
+
+def _newton(objective: Objective, max_steps: int, tolerance: float) -> Fit:
+    point = objective.at(objective.anchor)
+    if point is None:
+        return Fit([float(z) for z in objective.anchor], 0, True)
+    first = np.linalg.norm(point.gradient)
+    share = 1.0
+    step = objective.step(point, first) if first else np.zeros_like(point.theta)
+    for steps in range(1, max_steps + 1):
+        slope = point.gradient @ step
+        # Near the optimum the error of a whole step is about the square of what is left.
+        if -slope / 2 <= tolerance:
+            return Fit([float(t) for t in point.theta + step], steps, True)
+        trial = objective.at(point.theta + share * step)
+        if trial.value <= point.value + 1e-4 * share * slope + 1e-14 * abs(point.value):
+            point, share = trial, 1.0
+            step = objective.step(point, first)
+        else:
+            share /= 2
+    warnings.warn(f"the fit took all of its {max_steps} steps and has not come to rest", stacklevel=3)
+    return Fit([float(t) for t in point.theta], max_steps, False)
 
 
 def fit_shift(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS) -> list[float]:

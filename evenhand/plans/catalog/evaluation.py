@@ -101,10 +101,10 @@ def macro_and_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per client, and over all rows as client -1."""
-    scored = views.scored_lines(spark, sf_dir).select("client_id", "y", "f")
-    clients = m.pick_threshold(scored, "f", ["client_id"], groups=CLIENTS)
-    whole = m.pick_threshold(scored, "f").withColumn("client_id", F.lit(-1))
-    return clients.unionByName(whole).select(
+    scored = views.scored_lines(spark, sf_dir)
+    # The whole table is one more group of the same histogram.
+    grouped = scored.select(F.explode(F.array("client_id", F.lit(-1))).alias("client_id"), "y", "f")
+    return m.pick_threshold(grouped, "f", ["client_id"], groups=CLIENTS + 1).select(
         "client_id", F.round("threshold", 9).alias("threshold"), F.round("balanced", 9).alias("balanced")
     )
 

@@ -123,15 +123,17 @@ def judge_weights(rows: DataFrame, thetas: Mapping[int, Sequence[float]], width:
 def keyed_rows(prepared: Prepared, config: RunConfig) -> DataFrame:
     """``(row_id, client_id, split, a, y, features...)`` with split train, val or test, written once.
 
-    Even partitions are cut together with the validation split; the others are cut afterwards.
+    Even partitions are cut together with the validation split; the others are cut afterwards. The rows to be cut are written
+    first: cutting reads them three times, and what is above them may be anything.
     """
+    features = [F.col(c).cast("double").alias(c) for c in prepared.features]
+    client = [F.col("client")] if config.partition == "natural" else []
+    train = cut_lineage(prepared.train.select("row_id", "a", "y", *client, *features))
     if config.partition == "iid":
-        parts = splits.split_and_partition(prepared.train, "row_id", config.seed, config.val_share, config.clients)
+        parts = splits.split_and_partition(train, "row_id", config.seed, config.val_share, config.clients)
     else:
-        parts = splits.split_by_count(prepared.train, "row_id", config.seed, config.val_share)
-        client = F.col("client") if config.partition == "natural" else F.lit(None).cast("int")
-        parts = parts.withColumn("client_id", client)
-    features = [F.col(c).cast("double").alias(c) for c in prepared.features]
+        parts = splits.split_by_count(train, "row_id", config.seed, config.val_share)
+        parts = parts.withColumn("client_id", client[0] if client else F.lit(None).cast("int"))
     nobody = F.lit(None).cast(parts.schema["client_id"].dataType)
     test = prepared.test.withColumns({"split": F.lit("test"), "client_id": nobody})
     columns = ["row_id", "client_id", "split", "a", "y", *features]

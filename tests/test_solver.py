@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from evenhand.functions.vectors import score
 from evenhand.operators import objectives as f, refine, training
 
 WIDTH = 3
@@ -152,14 +153,14 @@ def test_both_fits_find_the_optimum(spark):
     first = training.fit_logistic(df, 2, 1e-4)
     for anchor in ([0.0, 0.0, 0.0], [0.4, -0.2, 0.3]):
         assert training.fit_shift(df, 2, 1e-4, anchor) == pytest.approx(first, abs=1e-3)
-    gradient = f.mean_gradient(df.withColumn("f", training.score("x", "a", first)), "x", 2, [0.0] * 3).first()
+    gradient = f.mean_gradient(df.withColumn("f", score("x", "a", first)), "x", 2, [0.0] * 3).first()
     assert max(map(abs, gradient)) < 1e-3
 
 
 def _gradient(df, theta, anchor, strength):
     """Length of the objective's gradient at the weights."""
     pull = [strength / len(theta) ** 2 * (t - z) for t, z in zip(theta, anchor)]
-    found = f.mean_gradient(df.withColumn("f", training.score("x", "a", theta)), "x", len(theta) - 1, pull).first()
+    found = f.mean_gradient(df.withColumn("f", score("x", "a", theta)), "x", len(theta) - 1, pull).first()
     return max(map(abs, found))
 
 
