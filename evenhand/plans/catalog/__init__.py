@@ -24,4 +24,4 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from evenhand.plans.catalog import evaluation, experiments, fitting, preparing, sampling, synthesizing  # noqa: F401
+    from evenhand.plans.catalog import evaluation, experiments, fitting, loops, preparing, sampling, synthesizing  # noqa: F401
