@@ -1,7 +1,9 @@
 """Client-side refinement: one grouped-map task per (round, client).
 
 A group holds one minibatch (at most 128 rows), its synthetic rows and its pseudo-positives, so its
-size does not depend on the data. Gradients and the Hessian of the linear model are closed-form.
+size does not depend on the data. Gradients and the Hessian of the linear model are closed-form; beyond
+``DENSE`` weights the Hessian is never formed, only multiplied with vectors, so a group needs memory for its
+points and a few vectors, whatever their width.
 """
 
 from __future__ import annotations
@@ -13,6 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from evenhand.operators.solve import conjugate_gradients
+
+# Weights up to which the Hessian is formed and solved.
+DENSE = 256
+# Products of a matrix-free solve, and the length of its residual against that of the right-hand side.
+PRODUCTS = 500
+RESIDUAL = 1e-9
+
 REFINED_SCHEMA = (
     "round int, client_id int, kind string, pt_id string, a int, y int, x array<double>, "
     "steps int, gap double, ema double, multiplier double"
@@ -138,8 +148,17 @@ def _inner_fit(theta, gradient, steps: int, rate: float) -> np.ndarray:
     return theta
 
 
-def _direction(hessian: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The solution of ``hessian @ h = v``; the shortest least-squares one if it is singular."""
+def _direction(parts: Sequence[tuple[_Points, float]], theta: np.ndarray, ridge: float, v: np.ndarray) -> np.ndarray:
+    """The solution of ``H h = v``, with ``H`` the parts' curvatures, each times its factor, and the ridge.
+
+    The shortest least-squares one if a formed Hessian is singular.
+    """
+    if len(theta) > DENSE:
+        # Products need the inputs and the curvature along each point only once for all vectors.
+        curved = [(p.inputs, factor * p.curved * (s := _sigmoid(p.inputs @ theta)) * (1.0 - s)) for p, factor in parts]
+        product = lambda u: sum((z.T @ (c * (z @ u)) for z, c in curved), ridge * u)
+        return conjugate_gradients(product, v, RESIDUAL * float(np.linalg.norm(v)), PRODUCTS)
+    hessian = sum((factor * p.curvature(theta) for p, factor in parts), ridge * np.eye(len(theta)))
     try:
         return np.linalg.solve(hessian, v)
     except np.linalg.LinAlgError:
@@ -153,12 +172,12 @@ def refine_points(points: pd.DataFrame, anchor: np.ndarray, cfg: RefineConfig, m
     """
     width = len(anchor) - 1
     points = points.sort_values(["kind", "pt_id"], kind="stable")
-    parts = {kind: _Points(points[points["kind"] == kind], width) for kind in ("batch", "synthetic", "universum", "buffer")}
-    batch, synthetic, universum = parts["batch"], parts["synthetic"], parts["universum"]
-    if len(parts["buffer"]):
+    kinds = {kind: _Points(points[points["kind"] == kind], width) for kind in ("batch", "synthetic", "universum", "buffer")}
+    batch, synthetic, universum = kinds["batch"], kinds["synthetic"], kinds["universum"]
+    if len(kinds["buffer"]):
         # Buffered positives stand in for a group that has none in the batch.
         absent = [s for s in (0, 1) if not ((batch.y == 1) & (batch.a == s)).any()]
-        extra = parts["buffer"].rows
+        extra = kinds["buffer"].rows
         fair = _Points(pd.concat([batch.rows, extra[extra["a"].isin(absent)]]), width)
     else:
         fair = batch
@@ -185,10 +204,8 @@ def refine_points(points: pd.DataFrame, anchor: np.ndarray, cfg: RefineConfig, m
             break
         outer_slope = batch.gradient(theta) + cfg.strength_outer * theta
         v = outer_slope + (multiplier + cfg.rho * gap) * gap_slope
-        hessian = synthetic.curvature(theta) + (ridge + cfg.damping) * np.eye(len(theta))
-        if pull_up:
-            hessian += pull_up * universum.curvature(theta)
-        h = _direction(hessian, v)
+        parts = [(synthetic, 1.0), (universum, pull_up)] if pull_up else [(synthetic, 1.0)]
+        h = _direction(parts, theta, ridge + cfg.damping, v)
         sign = 1.0 if cfg.direction == "descend" else -1.0
         largest = 0.0
         for part, factor in ((synthetic, 1.0), (universum, pull_up)):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from evenhand.operators.solve import conjugate_gradients
+
 # Newton steps, shortened ones counted; a fit that needs more says so.
 MAX_STEPS = 100
 # What a further step could lower the objective by, as its quadratic model has it, when a fit comes to rest.
@@ -175,22 +177,6 @@ class Objective:
         return conjugate_gradients(lambda v: self.product(point, v), -point.gradient, min(0.1, math.sqrt(size / first)) * size, PRODUCTS)
 
 
-def conjugate_gradients(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, tolerance: float, most: int) -> np.ndarray:
-    """The solution of ``H x = b`` for a positive definite ``H`` that is only given by its products, up to a residual of length ``tolerance``."""
-    x = np.zeros_like(b)
-    left = b.copy()
-    along, size = left.copy(), left @ left
-    for _ in range(most):
-        if math.sqrt(size) <= tolerance:
-            break
-        image = product(along)
-        far = size / (along @ image)
-        x, left = x + far * along, left - far * image
-        before, size = size, left @ left
-        along = left + size / before * along
-    return x
-
-
 def fit_anchored(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
     """Fit anchored at ``anchor``, which is also where it starts. No rows give the anchor itself."""
     start = np.array([float(z) for z in anchor])

@@ -1,8 +1,11 @@
 import dataclasses
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from evenhand.functions.vectors import score
@@ -113,9 +116,64 @@ def test_no_universum_single_class_and_buffer():
     assert filled.gap.iloc[0] > 0.0
 
 
-def test_singular_curvature_has_a_direction():
-    h = refine._direction(np.diag([2.0, 0.0]), np.array([1.0, 0.0]))
-    assert h == pytest.approx([0.5, 0.0])
+def _kinds(points, width):
+    return {kind: refine._Points(points[points.kind == kind], width) for kind in ("synthetic", "universum")}
+
+
+def _both_ways(monkeypatch, parts, theta, ridge, v):
+    dense = refine._direction(parts, theta, ridge, v)
+    monkeypatch.setattr(refine, "DENSE", 0)
+    return dense, refine._direction(parts, theta, ridge, v)
+
+
+def test_singular_curvature_has_a_direction(monkeypatch):
+    rows = pd.DataFrame({"a": [0, 0], "y": [1, 0], "x": [[2.0], [-2.0]]})
+    part = refine._Points(rows, 1)
+    dense, free = _both_ways(monkeypatch, [(part, 1.0)], np.zeros(2), 0.0, np.array([1.0, 0.0]))
+    assert dense == pytest.approx([1.0, 0.0]) and free == pytest.approx([1.0, 0.0])
+
+
+def test_direction_without_a_matrix(monkeypatch):
+    parts = _kinds(_points(5), WIDTH)
+    theta, v = np.array([0.4, -0.2, 0.1, 0.3]), np.array([1.0, -2.0, 0.5, 0.1])
+    dense, free = _both_ways(monkeypatch, [(parts["synthetic"], 1.0), (parts["universum"], 0.5)], theta, 0.01, v)
+    assert free == pytest.approx(dense, rel=1e-4)
+
+
+def test_refinement_without_a_matrix(monkeypatch):
+    cfg, points, anchor = refine.RefineConfig(strength_inner=0.4, epsilon=0.0, outer_steps=4), _points(6), np.zeros(WIDTH + 1)
+    dense = refine.refine_points(points, anchor, cfg)
+    monkeypatch.setattr(refine, "DENSE", 0)
+    free = refine.refine_points(points, anchor, cfg)
+    assert np.allclose(np.concatenate(dense.x.tolist()), np.concatenate(free.x.tolist()), atol=1e-5)
+
+
+def _wide(width, seed=3, n=60):
+    rng = np.random.default_rng(seed)
+    kinds = ["batch"] * n + ["synthetic"] * 40 + ["universum"] * 10
+    labels = rng.integers(0, 2, len(kinds)) * np.array([k != "universum" for k in kinds]) | np.array([k == "universum" for k in kinds])
+    labels[n : n + 40] = np.arange(40) < 12
+    x = rng.normal(size=(len(kinds), width)) / np.sqrt(width)
+    return pd.DataFrame({"round": 0, "client_id": 0, "kind": kinds, "pt_id": [str(i) for i in range(len(kinds))], "a": rng.integers(0, 2, len(kinds)), "y": labels.astype(int), "x": list(x)})
+
+
+def test_wide_direction_agrees_with_the_dense_solve(monkeypatch):
+    parts = _kinds(_wide(600), 600)
+    theta, v = np.full(601, 0.01), np.random.default_rng(1).normal(size=601)
+    free = refine._direction([(parts["synthetic"], 1.0), (parts["universum"], 0.5)], theta, 1e-3, v)
+    monkeypatch.setattr(refine, "DENSE", 10_000)
+    dense = refine._direction([(parts["synthetic"], 1.0), (parts["universum"], 0.5)], theta, 1e-3, v)
+    assert np.linalg.norm(free - dense) < 1e-4 * np.linalg.norm(dense)
+
+
+def test_five_thousand_features_are_refined_in_little_memory():
+    points, anchor = _wide(5000), np.zeros(5001)
+    tracemalloc.start()
+    moved = refine.refine_points(points, anchor, refine.RefineConfig(inner_steps=5, outer_steps=2, epsilon=0.0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6
+    assert len(moved) == 51 and all(np.isfinite(x).all() for x in moved.x)
 
 
 def test_local_fit_has_no_weights():
@@ -172,6 +230,53 @@ def test_constant_input_is_a_weight_like_others(spark):
         assert fit.weights[2] != 0 and _gradient(df, fit.weights, anchor, 0.5) < 1e-4
 
 
+def _by_library(df, width, strength):
+    """Weights of Spark ML's fit at the same objective, each row with its mirror image."""
+    z = F.concat("x", F.array(F.col("a").cast("double")))
+    rows = df.select(z.alias("z"), F.col("y").cast("double").alias("y"))
+    mirrored = rows.select(F.transform("z", lambda v: -v).alias("z"), (1 - F.col("y")).alias("y"))
+    ready = rows.unionByName(mirrored).select("y", array_to_vector("z").alias("features"))
+    model = LogisticRegression(featuresCol="features", labelCol="y", regParam=strength / (width + 1) ** 2, standardization=False, fitIntercept=False, maxIter=500, tol=1e-14)
+    return [float(c) for c in model.fit(ready).coefficients]
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_newton_steps_agree_with_the_library(spark, constant):
+    df, width = _training(spark, constant), 3 if constant else 2
+    fit = training.fit_anchored(df, width, 0.1, [0.0] * (width + 1))
+    assert fit.weights == pytest.approx(_by_library(df, width, 0.1), abs=1e-6)
+    assert fit.steps < 12
+
+
+def test_steps_by_products_agree_with_solved_ones(spark, monkeypatch):
+    df = _training(spark, constant=True)
+    anchor = [0.2, 0.1, -0.4, 0.3]
+    solved = training.fit_anchored(df, 3, 0.5, anchor).weights
+    monkeypatch.setattr(training, "DENSE", 0)
+    assert training.fit_anchored(df, 3, 0.5, anchor).weights == pytest.approx(solved, abs=1e-5)
+
+
+def test_sums_of_many_tasks_meet_in_few(spark, monkeypatch):
+    df = _training(spark)
+    plain = training.fit_anchored(df.repartition(3), 2, 0.1, [0.0] * 3).weights
+    monkeypatch.setattr(training, "FAN_IN", 2)
+    monkeypatch.setattr(training, "BLOCK_BYTES", 64)
+    assert training.fit_anchored(df.repartition(7), 2, 0.1, [0.0] * 3).weights == pytest.approx(plain, abs=1e-9)
+
+
+def test_far_starts_take_shorter_steps(spark):
+    df = _training(spark)
+    near = training.fit_anchored(df, 2, 1e-4, [0.0] * 3).weights
+    far = training.fit_anchored(df, 2, 1e-4, [60.0, 40.0, -50.0])
+    assert far.converged and _gradient(df, far.weights, [60.0, 40.0, -50.0], 1e-4) < 1e-6
+    assert far.weights == pytest.approx(near, abs=0.1)
+
+
+def test_rows_of_another_width_are_refused(spark):
+    with pytest.raises(Exception, match="does not hold 3 inputs"):
+        training.fit_anchored(_training(spark), 3, 0.1, [0.0] * 4)
+
+
 def test_separable_rows_stay_finite(spark):
     rows = [([float(i - 20), 1.0], i % 2, int(i > 20)) for i in range(41)]
     df = spark.createDataFrame(rows, "x array<double>, a int, y int")
