@@ -8,7 +8,7 @@ points and a few vectors, whatever their width.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,3 +251,17 @@ def refine_clients(points: DataFrame, anchor: Sequence[float], cfg: RefineConfig
         return refine_points(group, start, cfg, move)
 
     return points.groupBy("round", "client_id").applyInPandas(one_client, REFINED_SCHEMA)
+
+
+def refine_settings(points: DataFrame, anchors: Mapping[str, Sequence[float]], configs: Mapping[str, RefineConfig]) -> DataFrame:
+    """``refine_points`` for every (setting, round, client), each setting with its own anchor and configuration.
+
+    Anchors and configurations are as large as so many models, and go to the tasks with the function.
+    """
+    starts = {name: np.asarray(anchor, dtype=float) for name, anchor in anchors.items()}
+
+    def one_client(group: pd.DataFrame) -> pd.DataFrame:
+        name = group["setting"].iloc[0]
+        return refine_points(group, starts[name], configs[name]).assign(setting=name)
+
+    return points.groupBy("setting", "round", "client_id").applyInPandas(one_client, f"{REFINED_SCHEMA}, setting string")

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,8 +39,6 @@ FAN_IN = 32
 # Bytes of inputs in a block.
 BLOCK_BYTES = 1 << 20
 
-Block = tuple[np.ndarray, np.ndarray]
-
 
 @dataclass(frozen=True)
 class Fit:
@@ -56,65 +55,79 @@ def _logistic(f: np.ndarray) -> np.ndarray:
 
 
 def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (grp, x, a, y) to blocks (grp, z, y) of one group each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, BLOCK_BYTES // (8 * (width + 1)))
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
-                lists = part.column("x")
-                if (lists.value_lengths().to_numpy(zero_copy_only=False) != width).any():
-                    raise ValueError(f"x does not hold {width} inputs in every row")
-                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                z = np.column_stack([x, part.column("a").to_numpy(zero_copy_only=False).astype(float)])
-                y = part.column("y").to_numpy(zero_copy_only=False).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["z", "y"])
+            lists = batch.column("x")
+            if (lists.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+                raise ValueError(f"x does not hold {width} inputs in every row")
+            names = batch.column("grp").dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                own = pa.array(np.flatnonzero(codes == k))
+                for first in range(0, len(own), rows):
+                    part = batch.take(own.slice(first, rows))
+                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    z = np.column_stack([x, part.column("a").to_numpy(zero_copy_only=False).astype(float)])
+                    y = part.column("y").to_numpy(zero_copy_only=False).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["grp", "z", "y"])
 
     return run
 
 
+SUMS = "grp string, part int, sums binary"
+
+
 class Blocks:
-    """The rows of a fit as packed blocks, kept for its passes."""
+    """The rows of a fit, or of one fit for each value of ``group``, as packed blocks, kept for its passes."""
 
-    def __init__(self, df: DataFrame, width: int):
+    def __init__(self, df: DataFrame, width: int, group: str | None = None):
         self.width = width + 1
-        self.packed = df.select(F.col("x").cast("array<double>").alias("x"), "a", "y").mapInArrow(_packed(width), "z binary, y binary").persist()
+        named = F.lit("") if group is None else F.col(group).cast("string")
+        rows = df.select(named.alias("grp"), F.col("x").cast("array<double>").alias("x"), "a", "y")
+        self.packed = rows.mapInArrow(_packed(width), "grp string, z binary, y binary").persist()
         self.parts = self.packed.rdd.getNumPartitions()
 
     def release(self) -> None:
         self.packed.unpersist()
 
-    def total(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """The sum over all rows of what ``of(z, y)`` gives for a block; empty without rows."""
+    def totals(self, of: Mapping[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> dict[str, np.ndarray]:
+        """For each group the sum over its rows of what its ``of(z, y)`` gives for a block; none for a group without rows."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = None
+            found: dict[str, np.ndarray] = {}
             for batch in batches:
-                for z, y in zip(*batch.columns):
-                    block = of(np.frombuffer(z.as_buffer()).reshape(-1, width), np.frombuffer(y.as_buffer()))
-                    found = block if found is None else found + block
-            if found is not None:
-                yield _row(TaskContext.get().partitionId(), found)
-
-        sums, parts = self.packed.mapInArrow(run, "part int, sums binary"), self.parts
+                for name, z, y in zip(*batch.columns):
+                    group = name.as_py()
+                    if group in of:
+                        block = of[group](np.frombuffer(z.as_buffer()).reshape(-1, width), np.frombuffer(y.as_buffer()))
+                        found[group] = found[group] + block if group in found else block
+            part = TaskContext.get().partitionId()
+            for group, sums in found.items():
+                yield _row(group, part, sums)
+
+        sums, parts = self.packed.mapInArrow(run, SUMS), self.parts
         while parts > FAN_IN:
             parts = math.ceil(parts / FAN_IN)
-            sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("_met")).applyInArrow(_added, "part int, sums binary")
-        return _in_order(sums.toArrow())
+            sums = sums.groupBy("grp", F.floor(F.col("part") / FAN_IN).alias("_met")).applyInArrow(_added, SUMS)
+        table = sums.toArrow()
+        return {g: _in_order(table.filter(pc.equal(table["grp"], g))) for g in pc.unique(table["grp"]).to_pylist()}
 
 
-def _row(part: int, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "sums"])
+def _row(group: str, part: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group]), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["grp", "part", "sums"])
 
 
 def _in_order(table: pa.Table) -> np.ndarray:
-    """The sum of a column of sums, always in the same order; empty without any."""
-    found = [np.frombuffer(s.as_buffer()) for s in table.sort_by("part")["sums"]]
-    return np.sum(found, axis=0) if found else np.zeros(0)
+    """The sum of a column of sums, always in the same order."""
+    return np.sum([np.frombuffer(s.as_buffer()) for s in table.sort_by("part")["sums"]], axis=0)
 
 
 def _added(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([_row(int(table["part"][0].as_py()) // FAN_IN, _in_order(table))])
+    return pa.Table.from_batches([_row(table["grp"][0].as_py(), int(table["part"][0].as_py()) // FAN_IN, _in_order(table))])
 
 
 @dataclass(frozen=True)
@@ -129,16 +142,14 @@ class Point:
 
 
 class Objective:
-    """The anchored mean loss of the rows, worked out by passes over their blocks."""
+    """The anchored mean loss of a group's rows: what to add up over its blocks, and what the sums mean."""
 
-    def __init__(self, blocks: Blocks, anchor: np.ndarray, ridge: float):
-        self.blocks, self.anchor, self.ridge = blocks, anchor, ridge
+    def __init__(self, anchor: np.ndarray, ridge: float):
+        self.anchor, self.ridge = anchor, ridge
         self.dense = len(anchor) <= DENSE
 
-    def at(self, theta: np.ndarray) -> Point | None:
-        """None without rows."""
-        w, dense = len(theta), self.dense
-        upper = np.triu_indices(w)
+    def sums_at(self, theta: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        upper, dense = np.triu_indices(len(theta)) if self.dense else None, self.dense
 
         def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
             f = z @ theta
@@ -148,69 +159,100 @@ class Objective:
                 parts.append((z.T @ (z * (p * (1.0 - p))[:, None]))[upper])
             return np.concatenate(parts)
 
-        total = self.blocks.total(sums)
-        if not len(total):
-            return None
-        n, away = total[0], theta - self.anchor
-        hessian = None
-        if dense:
+        return sums
+
+    def point(self, theta: np.ndarray, total: np.ndarray) -> Point:
+        w, n, away, hessian = len(theta), total[0], theta - self.anchor, None
+        if self.dense:
             hessian = np.zeros((w, w))
-            hessian[upper] = total[2 + w :] / n
+            hessian[np.triu_indices(w)] = total[2 + w :] / n
             hessian = hessian + np.triu(hessian, 1).T + self.ridge * np.eye(w)
         return Point(theta, total[1] / n + self.ridge / 2 * away @ away, total[2 : 2 + w] / n + self.ridge * away, hessian, n)
 
-    def product(self, point: Point, v: np.ndarray) -> np.ndarray:
-        """The Hessian at ``point`` times ``v``."""
-        theta = point.theta
 
+def _product(blocks: Blocks, group: str, point: Point, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The Hessian's product with a vector: a pass."""
+    theta = point.theta
+
+    def product(v: np.ndarray) -> np.ndarray:
         def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
             p = _logistic(z @ theta)
             return z.T @ (p * (1.0 - p) * (z @ v))
 
-        return self.blocks.total(sums) / point.rows + self.ridge * v
+        return blocks.totals({group: sums})[group] / point.rows + ridge * v
 
-    def step(self, point: Point, first: float) -> np.ndarray:
-        """The Newton step; by conjugate gradients it is the more exact the smaller the gradient is against the ``first`` one."""
-        if point.hessian is not None:
-            return -np.linalg.solve(point.hessian, point.gradient)
-        size = np.linalg.norm(point.gradient)
-        return conjugate_gradients(lambda v: self.product(point, v), -point.gradient, min(0.1, math.sqrt(size / first)) * size, PRODUCTS)
-
-
-def fit_anchored(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
-    """Fit anchored at ``anchor``, which is also where it starts. No rows give the anchor itself."""
-    start = np.array([float(z) for z in anchor])
-    if len(start) != width + 1:
-        raise ValueError(f"{len(start)} weights for {width} features and the group")
-    blocks = Blocks(df, width)
-    try:
-        return _newton(Objective(blocks, start, strength / (width + 1) ** 2), max_steps, tolerance)
-    finally:
-        blocks.release()
+    return product
 
 
-def _newton(objective: Objective, max_steps: int, tolerance: float) -> Fit:
-    point = objective.at(objective.anchor)
+def _search(start: np.ndarray, step_at: Callable[[Point, float], np.ndarray], max_steps: int, tolerance: float) -> Generator[np.ndarray, Point | None, Fit]:
+    """Newton's method as a conversation: yields weights, is sent the point there (None without rows), and returns the fit."""
+    point = yield start
     if point is None:
-        return Fit([float(z) for z in objective.anchor], 0, True)
-    first = np.linalg.norm(point.gradient)
-    share = 1.0
-    step = objective.step(point, first) if first else np.zeros_like(point.theta)
+        return Fit([float(z) for z in start], 0, True)
+    first, share = float(np.linalg.norm(point.gradient)), 1.0
+    step = step_at(point, first) if first else np.zeros_like(start)
     for steps in range(1, max_steps + 1):
         slope = point.gradient @ step
         # Near the optimum the error of a whole step is about the square of what is left.
         if -slope / 2 <= tolerance:
             return Fit([float(t) for t in point.theta + step], steps, True)
-        trial = objective.at(point.theta + share * step)
+        trial = yield point.theta + share * step
         if trial.value <= point.value + 1e-4 * share * slope + 1e-14 * abs(point.value):
             point, share = trial, 1.0
-            step = objective.step(point, first)
+            step = step_at(point, first)
         else:
             share /= 2
-    warnings.warn(f"the fit took all of its {max_steps} steps and has not come to rest", stacklevel=3)
     return Fit([float(t) for t in point.theta], max_steps, False)
 
 
+def fit_groups(
+    df: DataFrame, group: str | None, width: int, strength: Mapping[str, float], anchors: Mapping[str, Sequence[float]], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE
+) -> dict[str, Fit]:
+    """One anchored fit for each key of ``anchors``, to the rows whose ``group`` it is; all of them share their passes over the rows.
+
+    A fit starts at its anchor, and without rows that is its result.
+    """
+    for key, anchor in anchors.items():
+        if len(anchor) != width + 1:
+            raise ValueError(f"{len(anchor)} weights for {width} features and the group")
+    objectives = {k: Objective(np.array([float(z) for z in anchor]), strength[k] / (width + 1) ** 2) for k, anchor in anchors.items()}
+    blocks = Blocks(df, width, group)
+
+    def step_of(key: str) -> Callable[[Point, float], np.ndarray]:
+        def step(point: Point, first: float) -> np.ndarray:
+            if point.hessian is not None:
+                return -np.linalg.solve(point.hessian, point.gradient)
+            # The more exact the smaller the gradient is against the first one.
+            size = float(np.linalg.norm(point.gradient))
+            product = _product(blocks, key, point, objectives[key].ridge)
+            return conjugate_gradients(product, -point.gradient, min(0.1, math.sqrt(size / first)) * size, PRODUCTS)
+
+        return step
+
+    try:
+        searches = {k: _search(o.anchor, step_of(k), max_steps, tolerance) for k, o in objectives.items()}
+        asked = {k: next(search) for k, search in searches.items()}
+        fits: dict[str, Fit] = {}
+        while asked:
+            totals = blocks.totals({k: objectives[k].sums_at(theta) for k, theta in asked.items()})
+            wanted, asked = asked, {}
+            for k, theta in wanted.items():
+                try:
+                    asked[k] = searches[k].send(objectives[k].point(theta, totals[k]) if k in totals else None)
+                except StopIteration as done:
+                    fits[k] = done.value
+        if slow := [k for k, fit in fits.items() if not fit.converged]:
+            warnings.warn(f"{len(slow)} of {len(fits)} fits took all of their {max_steps} steps and have not come to rest", stacklevel=2)
+        return fits
+    finally:
+        blocks.release()
+
+
+def fit_anchored(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Fit anchored at ``anchor``, which is also where it starts. No rows give the anchor itself."""
+    return fit_groups(df, None, width, {"": strength}, {"": anchor}, max_steps, tolerance)[""]
+
+
 def fit_shift(df: DataFrame, width: int, strength: float, anchor: Sequence[float], max_steps: int = MAX_STEPS) -> list[float]:
     """The weights of :func:`fit_anchored`."""
     return fit_anchored(df, width, strength, anchor, max_steps).weights

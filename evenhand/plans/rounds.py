@@ -166,27 +166,46 @@ def client_rows(train: DataFrame, config: RunConfig) -> DataFrame:
     return parted
 
 
+def _solver(config: RunConfig) -> refine.RefineConfig:
+    settings = config.solver if config.fairness else dataclasses.replace(config.solver, rho=0.0)
+    return settings if config.use_tpr_gap else dataclasses.replace(settings, tau=PLAIN_TAU, sharpness=PLAIN_SHARPNESS)
+
+
 def train_rounds(points: DataFrame, config: RunConfig, width: int) -> dict[int, list[float]]:
     """Weights after every round. Only the weights, a model-sized list, come to the driver."""
-    settings = config.solver if config.fairness else dataclasses.replace(config.solver, rho=0.0)
-    if not config.use_tpr_gap:
-        settings = dataclasses.replace(settings, tau=PLAIN_TAU, sharpness=PLAIN_SHARPNESS)
-    release = noise.noise_config(config.noise_enabled, config.noise_sigma, config.noise_variant)
-    theta = [0.0] * (width + 1)
-    found: dict[int, list[float]] = {}
-    for t in range(config.rounds):
-        own = points.filter(F.col("round") == t)
-        if config.refine_features:
-            sent = refine.refine_clients(own, theta, settings).filter("kind <> 'theta'")
-        else:
-            sent = own.filter("kind IN ('synthetic', 'universum')")
-        payload = noise.release(sent.select("round", "client_id", "pt_id", "a", "y", "x"), release, config.seed)
-        if config.partition != "natural":
-            # The fit runs a job per step over a few hundred points per client: fewer tasks, less overhead.
+    return train_points(points, {"": config}, width)[""]
+
+
+def train_points(points: DataFrame, configs: Mapping[str, RunConfig], width: int) -> dict[str, dict[int, list[float]]]:
+    """Weights after every round for several settings over the same ``points``, in one program per round.
+
+    Every setting refines its own copy of the points, keyed by its name, and all fits share their passes. The settings agree in all that
+    makes the points and releases them.
+    """
+    one = next(iter(configs.values()))
+    settings = {name: _solver(config) for name, config in configs.items()}
+    release = noise.noise_config(one.noise_enabled, one.noise_sigma, one.noise_variant)
+    plain = [name for name, config in configs.items() if not config.universum]
+    still = [name for name, config in configs.items() if not config.refine_features]
+    theta = {name: [0.0] * (width + 1) for name in configs}
+    found: dict[str, dict[int, list[float]]] = {name: {} for name in configs}
+    for t in range(one.rounds):
+        own = points.filter(F.col("round") == t).withColumn("setting", F.explode(F.array(*[F.lit(name) for name in configs])))
+        own = own.filter(~(F.col("setting").isin(plain) & (F.col("kind") == "universum"))) if plain else own
+        sent = own.filter("kind IN ('synthetic', 'universum')")
+        if len(still) < len(configs):
+            moving = own.filter(~F.col("setting").isin(still)) if still else own
+            moved = refine.refine_settings(moving, theta, settings).filter("kind <> 'theta'").select(*sent.columns)
+            sent = moved.unionByName(sent.filter(F.col("setting").isin(still))) if still else moved
+        payload = noise.release(sent.select("setting", "round", "client_id", "pt_id", "a", "y", "x"), release, one.seed)
+        if one.partition != "natural":
+            # A fit passes several times over a few hundred points per client: fewer tasks, less overhead.
             # A shuffle, so that the clients above it are still refined side by side.
-            payload = payload.repartition(-(-config.clients // CLIENTS_PER_FIT_TASK))
-        theta = training.fit_shift(payload, width, config.strength, theta)
-        found[t] = theta
+            payload = payload.repartition(-(-one.clients * len(configs) // CLIENTS_PER_FIT_TASK))
+        fits = training.fit_groups(payload, "setting", width, {name: config.strength for name, config in configs.items()}, theta)
+        theta = {name: fits[name].weights for name in configs}
+        for name in configs:
+            found[name][t] = theta[name]
     return found
 
 
@@ -239,35 +258,73 @@ def model_results(
     return joined.select("model", F.struct(*[c for c in joined.columns if c != "model"]).alias("result"))
 
 
+# What settings have to agree in to share their rows, draws and baseline.
+SHARED = (
+    "clients", "partition", "dirichlet_alpha", "rounds", "seed", "val_share", "scale", "intercept", "tune_threshold", "buffer", "strength",
+    "noise_enabled", "noise_sigma", "noise_variant", "min_rows",
+)
+
+
 def run_experiment(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
     """A whole run; returns its result as one nested row (see ``schemas.RUN``).
 
     The tables that it writes on the way are deleted when it ends.
     """
-    with written_tables(prepared.train.sparkSession):
-        return _run(prepared, config, dataset)
+    return run_settings(prepared, {"": config}, dataset).drop("setting")
 
 
-def _run(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
+def run_settings(prepared: Prepared, configs: Mapping[str, RunConfig], dataset: str) -> DataFrame:
+    """A run for each of several settings: rows (setting, result...), results as in ``schemas.RUN``.
+
+    Settings that agree in ``SHARED`` are one program: rows are cut and scaled, minibatches drawn and the baseline fitted once, and every
+    pass over the data judges the models of all of them. Groups of settings that differ there follow each other.
+    """
+    groups: dict[tuple, dict[str, RunConfig]] = {}
+    for name, config in configs.items():
+        groups.setdefault(tuple(getattr(config, field) for field in SHARED), {})[name] = config
     spark: SparkSession = prepared.train.sparkSession
+    documents = []
+    for group in groups.values():
+        with written_tables(spark):
+            documents += _run(prepared, group, dataset)
+    return spark.createDataFrame(documents, f"setting STRING, {schemas.RUN}")
+
+
+def _run(prepared: Prepared, configs: Mapping[str, RunConfig], dataset: str) -> list[dict]:
+    """The results of settings that share their data, as nested records."""
+    config = next(iter(configs.values()))
     labelled = with_inputs(keyed_rows(prepared, config), prepared.features, config)
     train, val, test = (labelled.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
     width = len(prepared.features) + (1 if config.intercept else 0)
     clients = None if config.partition == "natural" else config.clients
-    drawn = round_points(
-        client_rows(train, config), config.seed, config.rounds, width, clients, config.universum, config.buffer
-    )
-    thetas = train_rounds(cut_lineage(drawn, ["round"]), config, width)
-    models = {
-        "baseline": training.fit_logistic(train, width, config.strength),
-        "pipeline": thetas[config.rounds - 1],
-    }
-    logs = {row["round"]: row for row in judge_weights(val, thetas, width).collect()}
+    universum = any(c.universum for c in configs.values())
+    drawn = round_points(client_rows(train, config), config.seed, config.rounds, width, clients, universum, config.buffer)
+    thetas = train_points(cut_lineage(drawn, ["round"]), configs, width)
+    models = {BASELINE: training.fit_logistic(train, width, config.strength)}
+    models |= {name: thetas[name][config.rounds - 1] for name in configs}
+    # Rounds of all settings are judged together, numbered one after the other.
+    numbered = {i * config.rounds + t: thetas[name][t] for i, name in enumerate(configs) for t in range(config.rounds)}
+    logs = {row["round"]: row for row in judge_weights(val, numbered, width).collect()}
     cuts = thresholds(val, models, width) if config.tune_threshold else dict.fromkeys(models, 0.0)
-    results = {
-        row["model"]: row["result"].asDict(recursive=True) for row in model_results(test, models, cuts, width).collect()
-    }
-    settings = {
+    results = {row["model"]: row["result"].asDict(recursive=True) for row in model_results(test, models, cuts, width).collect()}
+    return [
+        {
+            "setting": name,
+            "baseline": results[BASELINE],
+            "pipeline": {**results[name], **_settings(own, cuts[name], cuts[BASELINE])},
+            "dataset": dataset,
+            "round_logs": [_log(t, logs[i * config.rounds + t]) for t in range(config.rounds)],
+        }
+        for i, (name, own) in enumerate(configs.items())
+    ]
+
+
+# The baseline's name among the models; no setting can have it.
+BASELINE = "<baseline>"
+
+
+def _settings(config: RunConfig, cut: float, baseline_cut: float) -> dict:
+    return {
         "num_clients": config.clients,
         "rounds": config.rounds,
         "use_tpr_gap": config.use_tpr_gap,
@@ -285,24 +342,17 @@ def _run(prepared: Prepared, config: RunConfig, dataset: str) -> DataFrame:
         "dirichlet_alpha": config.dirichlet_alpha,
         "add_intercept": config.intercept,
         "tune_threshold": config.tune_threshold,
-        "threshold_pipeline": cuts["pipeline"],
-        "threshold_baseline": cuts["baseline"],
+        "threshold_pipeline": cut,
+        "threshold_baseline": baseline_cut,
     }
-    round_logs = [
-        {
-            "round": t,
-            "val_accuracy": logs[t]["accuracy"],
-            "val_EO_gap": logs[t]["eo_gap"],
-            "val_TPR_group0": logs[t]["tpr0"],
-            "val_TPR_group1": logs[t]["tpr1"],
-            "val_F1": logs[t]["f1"],
-        }
-        for t in sorted(logs)
-    ]
-    document = {
-        "baseline": results["baseline"],
-        "pipeline": {**results["pipeline"], **settings},
-        "dataset": dataset,
-        "round_logs": round_logs,
+
+
+def _log(t: int, judged) -> dict:
+    return {
+        "round": t,
+        "val_accuracy": judged["accuracy"],
+        "val_EO_gap": judged["eo_gap"],
+        "val_TPR_group0": judged["tpr0"],
+        "val_TPR_group1": judged["tpr1"],
+        "val_F1": judged["f1"],
     }
-    return spark.createDataFrame([document], schemas.RUN)

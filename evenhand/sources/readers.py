@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenhand.sources import schemas
+from evenhand.sources import ledger, schemas
 
 
 def header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,3 +111,8 @@ def run_results(spark: SparkSession, glob: str, prefix: str = "draft_results_")
     # Spark wants a parsed column beside the corrupt one, even where only rows are counted.
     filled = F.col("dataset").isNotNull() | F.col("pipeline").isNotNull() | F.col("round_logs").isNotNull()
     return raw.withColumn("label", name).filter(F.col("_corrupt_record").isNull() & filled).drop("_corrupt_record")
+
+
+def written_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs that ``writers.write_runs`` committed: the latest of each dataset and label."""
+    return ledger.latest(spark, folder, f"{schemas.RUN}, label STRING", ("dataset", "label"))

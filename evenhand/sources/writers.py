@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from evenhand.sources import ledger
 
-def write_runs(results: DataFrame, folder: str) -> None:
-    """Append run results as JSON, partitioned by dataset."""
-    results.write.mode("append").partitionBy("dataset").json(folder)
+
+RUN_KEYS = ("dataset", "label")
+
+
+def write_runs(results: DataFrame, folder: str, label: str | Column = "run") -> int:
+    """Commit run results as JSON under their dataset and label; a run that is there already is replaced."""
+    label = F.lit(label) if isinstance(label, str) else label
+    return ledger.commit(results.withColumn("label", label), folder, RUN_KEYS)
 
 
 def write_table(table: DataFrame, folder: str) -> None:

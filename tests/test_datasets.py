@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from evenhand.operators import prepare, refine, splits
 from evenhand.plans import datasets, sweeps
-from evenhand.plans.rounds import RunConfig, buffered_positives, run_experiment
-from evenhand.sources import readers, schemas, writers
+from evenhand.plans.rounds import RunConfig, buffered_positives, run_experiment, run_settings
+from evenhand.sources import ledger, readers, schemas, writers
 
 
 def test_resolving_columns(spark):
@@ -196,17 +196,86 @@ def test_buffer_only_fills_missing_groups_with_earlier_positives(spark):
 def test_sweep_resumes(spark, tmp_path):
     calls = []
 
-    def fake(data, config, name):
-        calls.append((name, config.universum, config.solver.rho, config.seed))
-        one = {"accuracy": 0.5 + config.seed / 10, "EO_gap": config.solver.rho}
+    def fake(data, configs, name):
+        calls.append(sorted((c.universum, c.solver.rho, c.seed) for c in configs.values()))
         log = {"round": 0, "val_accuracy": 0.6, "val_EO_gap": 0.05}
-        return spark.createDataFrame([{"baseline": one, "pipeline": one, "dataset": name, "round_logs": [log]}], schemas.RUN)
+        documents = []
+        for setting, config in configs.items():
+            one = {"accuracy": 0.5 + config.seed / 10, "EO_gap": config.solver.rho}
+            documents.append({"setting": setting, "baseline": one, "pipeline": one, "dataset": name, "round_logs": [log]})
+        return spark.createDataFrame(documents, f"setting STRING, {schemas.RUN}")
 
     folder = str(tmp_path / "sweep")
     first = sweeps.run_sweep(spark, {"toy": None}, folder, [0.1], [1, 2], CONFIG, fake)
-    assert first.count() == 4 and len(calls) == 4
+    assert first.count() == 4 and calls == [[(u, 0.1, seed) for u in (False, True)] for seed in (1, 2)]
     second = sweeps.run_sweep(spark, {"toy": None}, folder, [0.1], [1, 2, 3], CONFIG, fake)
-    assert second.count() == 6 and len(calls) == 6
+    assert second.count() == 6 and len(calls) == 3
+    assert all(r.pipeline.EO_gap == r.rho and r.pipeline.accuracy == 0.5 + r.seed / 10 for r in second.collect())
+
+
+def _runs(spark, *accuracies):
+    """Runs of so many labels."""
+    rows = [({"accuracy": a}, {"accuracy": a}, "toy", [], f"run{i}") for i, a in enumerate(accuracies)]
+    return spark.createDataFrame(rows, f"{schemas.RUN}, label STRING")
+
+
+def test_a_run_written_twice_reads_once(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    assert readers.written_runs(spark, folder).count() == 0
+    for accuracy in (0.5, 0.6, 0.7):
+        writers.write_runs(_runs(spark, accuracy).drop("label"), folder, "seed1")
+    writers.write_runs(_runs(spark, 0.9).drop("label"), folder, "seed2")
+    assert sorted((r.label, r.pipeline.accuracy) for r in readers.written_runs(spark, folder).collect()) == [("seed1", 0.7), ("seed2", 0.9)]
+    assert ledger.commits(spark, folder) == [1, 2, 3, 4]
+
+
+def test_a_killed_write_leaves_the_old_result(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    writers.write_runs(_runs(spark, 0.5, 0.6), folder, F.col("label"))
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ledger, "_renamed", killed)
+        with pytest.raises(KeyboardInterrupt):
+            writers.write_runs(_runs(spark, 0.1, 0.1), folder, F.col("label"))
+    assert sorted(r.pipeline.accuracy for r in readers.written_runs(spark, folder).collect()) == [0.5, 0.6]
+
+
+def test_writers_at_once_take_different_numbers(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    writers.write_runs(_runs(spark, 0.5), folder, F.col("label"))
+    with monkeypatch.context() as patch:
+        patch.setattr(ledger, "commits", lambda *args: [])  # another writer took number 1 meanwhile
+        assert writers.write_runs(_runs(spark, 0.6), folder, F.col("label")) == 2
+    assert [r.pipeline.accuracy for r in readers.written_runs(spark, folder).collect()] == [0.6]
+
+
+def test_compacted_results_stay(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    for accuracy in (0.5, 0.6):
+        writers.write_runs(_runs(spark, accuracy, 0.8), folder, F.col("label"))
+    assert ledger.compact(spark, folder, f"{schemas.RUN}, label STRING", writers.RUN_KEYS) == 3
+    assert ledger.commits(spark, folder) == [3]
+    assert sorted(r.pipeline.accuracy for r in readers.written_runs(spark, folder).collect()) == [0.6, 0.8]
+    with pytest.raises(ValueError, match="several rows"):
+        writers.write_runs(_runs(spark, 0.5, 0.6), folder, "same")
+
+
+def test_settings_in_one_program_give_what_single_runs_give(spark):
+    data = _prepared(spark, 500, 3)
+    configs = {
+        f"{rho}{off}": dataclasses.replace(CONFIG, universum=not off, solver=dataclasses.replace(CONFIG.solver, rho=rho))
+        for rho, off in ((0.05, False), (5.0, True))
+    }
+    configs["still"] = dataclasses.replace(CONFIG, refine_features=False)
+    together = {r.setting: r for r in run_settings(data, configs, "toy").collect()}
+    assert set(together) == set(configs)
+    for name in ("5.0True", "still"):
+        alone = run_experiment(data, configs[name], "toy").first()
+        assert together[name].pipeline == alone.pipeline and together[name].baseline == alone.baseline
+        assert together[name].round_logs == alone.round_logs
 
 
 def test_client_files(spark, tmp_path):
