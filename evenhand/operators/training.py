@@ -36,6 +36,8 @@ DENSE = 512
 PRODUCTS = 200
 # Tasks whose sums meet in one.
 FAN_IN = 32
+# Bytes of sums that meet in one place, where sums are so wide that ``FAN_IN`` of them would be more.
+MET_BYTES = 64 << 20
 # Bytes of inputs in a block.
 BLOCK_BYTES = 1 << 20
 
@@ -80,22 +82,83 @@ def _packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 SUMS = "grp string, part int, sums binary"
 
 
+class Dense:
+    """Inputs of some rows as a matrix."""
+
+    def __init__(self, z: np.ndarray):
+        self.z = z
+
+    @staticmethod
+    def unpacked(data: pa.Buffer, width: int) -> Dense:
+        return Dense(np.frombuffer(data).reshape(-1, width))
+
+    def scores(self, theta: np.ndarray) -> np.ndarray:
+        return self.z @ theta
+
+    def back(self, r: np.ndarray, width: int) -> np.ndarray:
+        """The sum of the rows, each times its ``r``."""
+        return self.z.T @ r
+
+    def squares(self, w: np.ndarray) -> np.ndarray:
+        """The sum of the rows' outer squares, each times its ``w``."""
+        return self.z.T @ (self.z * w[:, None])
+
+
+class Sparse:
+    """Inputs of some rows as places that are not 0, and the group, which is the last place of every row."""
+
+    def __init__(self, row: np.ndarray, idx: np.ndarray, val: np.ndarray, a: np.ndarray):
+        self.row, self.idx, self.val, self.a = row, idx, val, a
+
+    def packed(self) -> bytes:
+        sizes = np.array([len(self.a), len(self.row)], np.int64)
+        return b"".join(x.tobytes() for x in (sizes, self.a.astype(float), self.val.astype(float), self.row.astype(np.int64), self.idx.astype(np.int64)))
+
+    @staticmethod
+    def unpacked(data: pa.Buffer, width: int) -> Sparse:
+        numbers = np.frombuffer(data, np.int64)
+        n, m = numbers[:2]
+        reals = numbers[2 : 2 + n + m].view(float)
+        return Sparse(numbers[2 + n + m : 2 + n + 2 * m], numbers[2 + n + 2 * m :], reals[n:], reals[:n])
+
+    def scores(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * theta[self.idx], len(self.a)) + theta[-1] * self.a
+
+    def back(self, r: np.ndarray, width: int) -> np.ndarray:
+        out = np.bincount(self.idx, self.val * r[self.row], width)
+        out[-1] += self.a @ r
+        return out
+
+    def squares(self, w: np.ndarray) -> np.ndarray:
+        raise NotImplementedError("sparse inputs have no formed Hessian")
+
+
+Inputs = Dense | Sparse
+Adder = Callable[[Inputs, np.ndarray], np.ndarray]
+
+
 class Blocks:
-    """The rows of a fit, or of one fit for each value of ``group``, as packed blocks, kept for its passes."""
+    """Packed blocks (grp, z, y) of a fit's rows, of one group each, kept for its passes."""
+
+    def __init__(self, packed: DataFrame, width: int, unpack: Callable[[pa.Buffer, int], Inputs]):
+        self.width, self.unpack = width, unpack
+        self.packed = packed.persist()
+        self.parts = self.packed.rdd.getNumPartitions()
+        # Fewer sums meet at once the wider they are.
+        self.fan_in = max(2, min(FAN_IN, MET_BYTES // (8 * width)))
 
-    def __init__(self, df: DataFrame, width: int, group: str | None = None):
-        self.width = width + 1
+    @staticmethod
+    def dense(df: DataFrame, width: int, group: str | None = None) -> Blocks:
         named = F.lit("") if group is None else F.col(group).cast("string")
         rows = df.select(named.alias("grp"), F.col("x").cast("array<double>").alias("x"), "a", "y")
-        self.packed = rows.mapInArrow(_packed(width), "grp string, z binary, y binary").persist()
-        self.parts = self.packed.rdd.getNumPartitions()
+        return Blocks(rows.mapInArrow(_packed(width), "grp string, z binary, y binary"), width + 1, Dense.unpacked)
 
     def release(self) -> None:
         self.packed.unpersist()
 
-    def totals(self, of: Mapping[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> dict[str, np.ndarray]:
+    def totals(self, of: Mapping[str, Adder]) -> dict[str, np.ndarray]:
         """For each group the sum over its rows of what its ``of(z, y)`` gives for a block; none for a group without rows."""
-        width = self.width
+        width, unpack, fan_in = self.width, self.unpack, self.fan_in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[str, np.ndarray] = {}
@@ -103,16 +166,16 @@ class Blocks:
                 for name, z, y in zip(*batch.columns):
                     group = name.as_py()
                     if group in of:
-                        block = of[group](np.frombuffer(z.as_buffer()).reshape(-1, width), np.frombuffer(y.as_buffer()))
+                        block = of[group](unpack(z.as_buffer(), width), np.frombuffer(y.as_buffer()))
                         found[group] = found[group] + block if group in found else block
             part = TaskContext.get().partitionId()
             for group, sums in found.items():
                 yield _row(group, part, sums)
 
         sums, parts = self.packed.mapInArrow(run, SUMS), self.parts
-        while parts > FAN_IN:
-            parts = math.ceil(parts / FAN_IN)
-            sums = sums.groupBy("grp", F.floor(F.col("part") / FAN_IN).alias("_met")).applyInArrow(_added, SUMS)
+        while parts > fan_in:
+            parts = math.ceil(parts / fan_in)
+            sums = sums.groupBy("grp", F.floor(F.col("part") / fan_in).alias("_met")).applyInArrow(_added(fan_in), SUMS)
         table = sums.toArrow()
         return {g: _in_order(table.filter(pc.equal(table["grp"], g))) for g in pc.unique(table["grp"]).to_pylist()}
 
@@ -126,8 +189,11 @@ def _in_order(table: pa.Table) -> np.ndarray:
     return np.sum([np.frombuffer(s.as_buffer()) for s in table.sort_by("part")["sums"]], axis=0)
 
 
-def _added(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([_row(table["grp"][0].as_py(), int(table["part"][0].as_py()) // FAN_IN, _in_order(table))])
+def _added(fan_in: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_row(table["grp"][0].as_py(), int(table["part"][0].as_py()) // fan_in, _in_order(table))])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -144,19 +210,18 @@ class Point:
 class Objective:
     """The anchored mean loss of a group's rows: what to add up over its blocks, and what the sums mean."""
 
-    def __init__(self, anchor: np.ndarray, ridge: float):
-        self.anchor, self.ridge = anchor, ridge
-        self.dense = len(anchor) <= DENSE
+    def __init__(self, anchor: np.ndarray, ridge: float, dense: bool):
+        self.anchor, self.ridge, self.dense = anchor, ridge, dense
 
-    def sums_at(self, theta: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def sums_at(self, theta: np.ndarray) -> Adder:
         upper, dense = np.triu_indices(len(theta)) if self.dense else None, self.dense
 
-        def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-            f = z @ theta
+        def sums(z: Inputs, y: np.ndarray) -> np.ndarray:
+            f = z.scores(theta)
             p = _logistic(f)
-            parts = [[len(y), np.logaddexp(0.0, np.where(y > 0, -f, f)).sum()], z.T @ (p - y)]
+            parts = [[len(y), np.logaddexp(0.0, np.where(y > 0, -f, f)).sum()], z.back(p - y, len(theta))]
             if dense:
-                parts.append((z.T @ (z * (p * (1.0 - p))[:, None]))[upper])
+                parts.append(z.squares(p * (1.0 - p))[upper])
             return np.concatenate(parts)
 
         return sums
@@ -175,9 +240,9 @@ def _product(blocks: Blocks, group: str, point: Point, ridge: float) -> Callable
     theta = point.theta
 
     def product(v: np.ndarray) -> np.ndarray:
-        def sums(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-            p = _logistic(z @ theta)
-            return z.T @ (p * (1.0 - p) * (z @ v))
+        def sums(z: Inputs, y: np.ndarray) -> np.ndarray:
+            p = _logistic(z.scores(theta))
+            return z.back(p * (1.0 - p) * z.scores(v), len(v))
 
         return blocks.totals({group: sums})[group] / point.rows + ridge * v
 
@@ -212,11 +277,17 @@ def fit_groups(
 
     A fit starts at its anchor, and without rows that is its result.
     """
-    for key, anchor in anchors.items():
+    for anchor in anchors.values():
         if len(anchor) != width + 1:
             raise ValueError(f"{len(anchor)} weights for {width} features and the group")
-    objectives = {k: Objective(np.array([float(z) for z in anchor]), strength[k] / (width + 1) ** 2) for k, anchor in anchors.items()}
-    blocks = Blocks(df, width, group)
+    starts = {k: np.array([float(z) for z in anchor]) for k, anchor in anchors.items()}
+    return fit_blocks(Blocks.dense(df, width, group), starts, {k: strength[k] / (width + 1) ** 2 for k in anchors}, max_steps, tolerance)
+
+
+def fit_blocks(blocks: Blocks, starts: Mapping[str, np.ndarray], ridges: Mapping[str, float], max_steps: int, tolerance: float) -> dict[str, Fit]:
+    """``fit_groups`` over packed blocks, which are released at the end."""
+    dense = blocks.unpack is Dense.unpacked and blocks.width <= DENSE
+    objectives = {k: Objective(start, ridges[k], dense) for k, start in starts.items()}
 
     def step_of(key: str) -> Callable[[Point, float], np.ndarray]:
         def step(point: Point, first: float) -> np.ndarray:

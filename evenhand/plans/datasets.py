@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenhand.functions import values
-from evenhand.operators import prepare, splits
+from evenhand.operators import prepare, sparse, splits
 from evenhand.operators.ranks import dense_codes
 from evenhand.operators.sizes import cut_lineage, small_side
 from evenhand.sources import readers, schemas
@@ -99,6 +99,33 @@ def adult_csv(spark: SparkSession, train_path: str, test_path: str, sensitive: s
     return _census_features(labelled, {name: labelled.filter(F.col("split") == name) for name in ("train", "test")})
 
 
+@dataclass(frozen=True)
+class SparsePrepared:
+    """Rows ``(row_id, a, y, x)`` with sparse ``x`` of ``width`` places."""
+
+    train: DataFrame
+    test: DataFrame
+    width: int
+
+
+def adult_csv_sparse(spark: SparkSession, train_path: str, test_path: str, sensitive: str = "sex") -> SparsePrepared:
+    """``adult_csv`` for any number of categories: none comes to the driver, and rows hold only what is not 0.
+
+    Both files are scaled by the training file's moments and shares.
+    """
+    both = splits.given_split(readers.text_columns(spark, train_path), readers.text_columns(spark, test_path))
+    labelled = _census_rows(both, sensitive)
+    features = prepare.feature_columns(labelled, "row_id", "split", "a", "y")
+    text = [c for c in features if c.replace("_", "-") in ADULT_CATEGORIES]
+    numbers = [c for c in features if c not in text]
+    parts = [labelled.filter(F.col("split") == name) for name in ("train", "test")]
+    filled = [prepare.impute_modes(part, text, fit_on=part) for part in parts]
+    whole = cut_lineage(filled[0].unionByName(filled[1]).withColumns({c: values.finite_or_zero(F.col(c)) for c in numbers}))
+    coding = sparse.encoding(whole, numbers, text, fit_on=whole.filter("split = 'train'"))
+    rows = sparse.sparse_rows(whole, coding).select("row_id", "split", "a", "y", "x")
+    return SparsePrepared(rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split"), coding.width)
+
+
 def adult_frame(spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 42, test_share: float = 0.2) -> Prepared:
     """Census income from one headered file: a random split, modes of the training rows for both."""
     rows = _census_rows(readers.text_columns(spark, path).withColumn("split", F.lit("all")), sensitive).drop("split")
