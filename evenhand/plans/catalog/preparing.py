@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions import values, vectors
-from evenhand.operators import metrics, prepare, ranks, runs, splits
+from evenhand.operators import metrics, prepare, ranks, runs, sparse, splits
 from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.experiments import nested_results
@@ -327,6 +327,26 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.drop("c_acctbal")
 
 
+def _shares(column: str) -> str:
+    return f"SELECT {column}, count(*)::DOUBLE / (SELECT count(*) FROM part) AS share, row_number() OVER (ORDER BY {column}) - 1 AS code FROM part GROUP BY {column}"
+
+
+@register(
+    "c3_sparse_rows",
+    f"WITH brands AS ({_shares('p_brand')}), names AS ({_shares('p_name')}), cells AS ("
+    "SELECT p_partkey, 0 AS place, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS value FROM part "
+    "UNION ALL SELECT p_partkey, code AS place, 1.0::DOUBLE / sqrt(share * (1 - share)) AS value FROM part JOIN brands USING (p_brand) WHERE code > 0 "
+    "UNION ALL SELECT p_partkey, code + (SELECT count(*) FROM brands) - 1 AS place, 1.0::DOUBLE / sqrt(share * (1 - share)) AS value FROM part JOIN names USING (p_name) WHERE code > 0) "
+    f"SELECT p_partkey, CAST(place AS INT) AS place, {o.rnd('value')} AS value FROM cells WHERE value <> 0",
+)
+def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number and two category columns, one of them with a category for almost every row, as the places that are not 0."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_brand", "p_name")
+    rows = sparse.sparse_rows(part, sparse.encoding(part, ["p_retailprice"], ["p_brand", "p_name"]))
+    cells = rows.select("p_partkey", F.inline(F.arrays_zip("x.idx", "x.val")))
+    return cells.select("p_partkey", F.col("idx").alias("place"), F.round("val", 6).alias("value"))
+
+
 @register(
     "c4_label_codes",
     "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS BIGINT) AS name_code, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS brand_code FROM part",

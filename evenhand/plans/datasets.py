@@ -31,10 +31,17 @@ def with_row_id(df: DataFrame) -> DataFrame:
     Ids, and with them splits and samples, are the same however the files are cut, ordered or scanned.
     """
     content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    again = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
-    keyed = df.withColumn("_content", content)
-    keyed = keyed.withColumn("row_id", F.concat_ws(":", "_content", again.cast("string"))).drop("_content")
-    return cut_lineage(keyed)
+    # Equal rows are numbered where they lie, on top of those in the parts before: a row that fills a third of the table
+    # is numbered in as many tasks as the table has parts.
+    staged = cut_lineage(df.withColumns({"_content": content, "_part": F.spark_partition_id()}))
+    place = ["_content", "_part"]
+    sizes = staged.groupBy(*place).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").drop("_n")
+    numbered = staged.withColumn("_again", F.row_number().over(Window.partitionBy(*place).orderBy("_content")))
+    again = F.col("_again") + F.coalesce("_before", F.lit(0))
+    keyed = numbered.join(offsets, place, "left").withColumn("row_id", F.concat_ws(":", "_content", again.cast("string")))
+    return cut_lineage(keyed.select(*[F.col(f"`{c}`") for c in df.columns], "row_id"))
 
 
 def _parted(df: DataFrame, features: list[str], seed: int, test_share: float) -> Prepared:

@@ -328,6 +328,15 @@ def test_row_ids_do_not_depend_on_the_files(spark, tmp_path):
     assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) == 400
 
 
+def test_common_rows_are_numbered_in_many_tasks(spark):
+    rows = spark.range(0, 3000, 1, 12).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("v"), F.lit("x").alias("w"))
+    keyed = datasets.with_row_id(rows)
+    ids = [r.row_id.split(":") for r in keyed.where("v = 0").collect()]
+    assert len({i for i, _ in ids}) == 1 and sorted(int(n) for _, n in ids) == list(range(1, 1001))
+    assert keyed.columns == ["v", "w", "row_id"] and keyed.select("row_id").distinct().count() == 3000
+    assert set(keyed.where("v <> 0").select(F.split("row_id", ":")[1].alias("n")).distinct().toPandas().n) == {"1"}
+
+
 def test_published_winner(spark, tmp_path):
     one = {"accuracy": 0.5, "EO_gap": 0.1}
     document = {"baseline": one, "pipeline": one, "dataset": "toy", "round_logs": []}
