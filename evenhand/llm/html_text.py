@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +58,10 @@ PLAIN_WORDS = frozenset(
     "subscribe subscription signup signin login disqus pagination pager toolbar".split()
 )
 COMMENT_WORDS = frozenset("comment comments respond replies disqus".split())
+# Of these, the words of whole threads.
+THREAD_WORDS = frozenset("comments respond replies disqus".split())
+# Elements of a form whose own text is running text.
+FORM_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote td div article section main em strong b i a span code pre".split())
 SHORT = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body main".split())
@@ -108,7 +113,10 @@ def _evidence(name: str, attributes: str) -> frozenset[str]:
 class Page:
     """The block elements of a page in page order, and their text. Lists are indexed by node; children follow their parent."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, forms: bool = False):
+        """forms: a form is a block like others, not dropped."""
+        self._forms, self.form_chars = forms, 0
+        self._opened: Counter[str] = Counter()  # open elements by name
         self.parent, self.name, self.tags, self.link_tags = [-1], ["#page"], [0], [0]
         self.chars, self.link_chars = [0], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, text) in page order
@@ -118,9 +126,10 @@ class Page:
         self.gone = self._settle() if self.evidence else [False] * len(self.name)
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, last = 0, source.rfind(">")
         while at < len(source):
-            found = TOKEN.search(source, at)
+            # Without a further end of a tag there is none; looking for it from every start would take the square of what is left.
+            found = TOKEN.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             if found is None:
                 self._text(source[at:])
                 return
@@ -146,6 +155,7 @@ class Page:
         if self._skip and self.name[self._stack[-1]] == "head" and text.strip():
             self._pop(len(self._stack) - 1)
         if self._skip:
+            self._count_in_form(text)
             return
         node = self._stack[-1]
         n = len("".join(text.split()))
@@ -155,6 +165,12 @@ class Page:
                 self.link_chars[node] += n
         self.pieces.append((node, text))
 
+    def _count_in_form(self, text: str) -> None:
+        """Running text of a dropped form: what stands in blocks of it, not in its labels, controls and other dropped parts."""
+        skipped = [self.name[x] for x in self._stack[-self._skip :]] if self._opened["form"] else ["none"]
+        if skipped[0] == "form" and skipped[-1] in FORM_TEXT and not any(x in DROPPED and x != "form" for x in skipped):
+            self.form_chars += len("".join(text.split()))
+
     def _open(self, name: str, attributes: str, closed: bool) -> None:
         if self._skip:
             self._leave_head(name)
@@ -164,7 +180,8 @@ class Page:
             self._close_p()
         if name in CLOSES:
             self._close_before(*CLOSES[name])
-        if self._skip or _is_dropped(name, attributes, self._in_article > 0):
+        plain = self._forms and name == "form"
+        if self._skip or (not plain and _is_dropped(name, attributes, self._in_article > 0)):
             # Dropped elements are open elements like others, so that the same tags end them, but they count nothing.
             if not self._skip and name not in INLINE:
                 self.pieces.append(BREAK)
@@ -199,7 +216,7 @@ class Page:
         if evidence:
             self.evidence[self._stack[-1]] = evidence
         if closed:
-            self._stack.pop()
+            self._opened[self.name[self._stack.pop()]] -= 1
         else:
             self._in_article += name in ARTICLE
 
@@ -210,9 +227,12 @@ class Page:
             counts.append(0)
         self.tags.append(tags)
         self._stack.append(len(self.name) - 1)
+        self._opened[name] += 1
 
     def _close(self, name: str) -> None:
         first = len(self._stack) - self._skip
+        if not self._opened[name] and not (self._skip and self._opened["template"]):
+            first = len(self._stack)  # none is open: nothing to look for
         for depth in range(len(self._stack) - 1, first - 1, -1):
             above = self.name[self._stack[depth]]
             if above == name:
@@ -230,7 +250,7 @@ class Page:
             elif name == "br" and not self._skip:
                 self.pieces.append((self._stack[-1], " "))
             return
-        for depth in range(first - 1, 0, -1):
+        for depth in range(first - 1, 0, -1) if self._opened[name] else ():
             if self.name[self._stack[depth]] == name:
                 self._pop(depth)
                 return
@@ -247,17 +267,21 @@ class Page:
 
     def _close_before(self, ends: frozenset[str], fence: frozenset[str]) -> None:
         """Close the outermost of these elements on this side of the fence."""
-        found = 0
-        for depth in range(len(self._stack) - 1, 0, -1):
+        found, left = 0, sum(self._opened[x] for x in ends)
+        for depth in range(len(self._stack) - 1, 0, -1) if left else ():
             above = self.name[self._stack[depth]]
             if above in ends:
-                found = depth
+                found, left = depth, left - 1
+                if not left:
+                    break
             elif above in fence:
                 break
         if found:
             self._pop(found)
 
     def _close_p(self) -> None:
+        if not self._opened["p"]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             above = self.name[self._stack[depth]]
             if above == "p":
@@ -272,6 +296,7 @@ class Page:
             self._in_article -= self.name[node] in ARTICLE
             self._inline -= self.name[node] in INLINE
         inline = all(self.name[node] in INLINE for node in self._stack[depth:])
+        self._opened.subtract(self.name[node] for node in self._stack[depth:])
         self._skip = max(0, min(self._skip, depth - counted))
         del self._stack[depth:]
         if not self._skip and not inline:
@@ -286,13 +311,17 @@ class Page:
         for i in range(n - 1, 0, -1):
             chars[self.parent[i]] += chars[i]
             links[self.parent[i]] += links[i]
-        # A main element with an article in it is no article itself.
-        has_article = [x == "article" for x in self.name]
+        threads = self._threads()
+        in_thread = [False] * n
+        for i in range(1, n):
+            in_thread[i] = i in threads or in_thread[self.parent[i]]
+        # A main element with an article in it is no article itself, nor is a reader's comment.
+        has_article = [x == "article" and not t for x, t in zip(self.name, in_thread)]
         for i in range(n - 1, 0, -1):
             has_article[self.parent[i]] = has_article[self.parent[i]] or has_article[i]
         holder = [-1] * n
         for i in range(1, n):
-            own = self.name[i] == "article" or (self.name[i] == "main" and not has_article[i])
+            own = (self.name[i] == "article" or (self.name[i] == "main" and not has_article[i])) and not in_thread[i]
             holder[i] = holder[self.parent[i]] if holder[self.parent[i]] >= 0 else i if own else -1
 
         def goes(i: int, within: int) -> bool:
@@ -333,10 +362,24 @@ class Page:
             # Where the body itself is the core, only its headings and paragraphs are surely text of it.
             texts = HEADINGS | {"p"}
             own -= {i for i in outside if in_core[i] and (core != body or self.name[i] in texts) and not goes(i, core)}
-        gone = spread(own)
+        gone = spread(own | threads)
         self._without(gone)
         return gone
 
+    def _threads(self) -> set[int]:
+        """Elements that hold readers' comments, by name and place: after text of the article that they are in, or after some text of the page."""
+        marked = {i for i, words in self.evidence.items() if self.name[i] not in HEADINGS and (not THREAD_WORDS.isdisjoint(words) or (self.name[i] == "article" and "comment" in words))}
+        if not marked:
+            return marked
+        n = len(self.name)
+        around, before = [0] * n, [0] * (n + 1)
+        for i in range(1, n):
+            up = self.parent[i]
+            around[i] = up if self.name[up] in ARTICLE and up not in marked else around[up]
+        for i in range(n):
+            before[i + 1] = before[i] + (0 if i in marked else self.chars[i] - self.link_chars[i])
+        return {i for i in marked if before[i] - before[around[i]] >= (1 if around[i] else SHORT // 2)}
+
     def _without(self, gone: list[bool]) -> tuple[list[int], ...]:
         """Set the counts of these nodes to 0; those before are returned."""
         counts = (self.tags, self.link_tags, self.chars, self.link_chars)
@@ -426,13 +469,19 @@ class Page:
             else:
                 blocks.append([text])
                 last = line[node]
-        lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+        # A reference ends where its text does: what an element parts is none.
+        lines = (" ".join("".join(map(entities.unescape, b)).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 
 
 def main_text(source: str | None) -> str:
-    """The article of one page."""
-    return Page(source).text() if source else ""
+    """The article of one page. A form with more running text than the rest of the page is not left out, as the page stands in it."""
+    if not source:
+        return ""
+    page = Page(source)
+    if page.form_chars > sum(page.chars):
+        page = Page(source, forms=True)
+    return page.text()
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
