@@ -479,7 +479,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    if page.form_chars > sum(page.chars):
+    if page.form_chars > max(SHORT, sum(page.chars)):
         page = Page(source, forms=True)
     return page.text()
 
