@@ -10,8 +10,44 @@ from evenhand.plans import oracle as o, views
 from evenhand.plans.catalog import register
 from evenhand.plans.catalog.experiments import nested_results
 from evenhand.plans.views import SEED, table
+from evenhand.sources import quarantine
 from evenhand.sources.schemas import COMPAS_GROUPS, LAW_FEATURES
 
+# Lines of CSV with a defect here and there: too short, text for numbers, a quoted comma, too long.
+_LINE = "l_orderkey * 8 + l_linenumber"
+_CSV_LINE = f"""CASE WHEN ({_LINE}) % 97 = 0 THEN concat(l_orderkey, ',', l_linenumber)
+ WHEN ({_LINE}) % 89 = 0 THEN concat(l_orderkey, ',x', l_linenumber, ',n/a,', l_returnflag)
+ WHEN ({_LINE}) % 83 = 0 THEN concat(l_orderkey, ',', l_linenumber, ',', l_suppkey, ',"', l_returnflag, ',F"')
+ WHEN ({_LINE}) % 79 = 0 THEN concat(l_orderkey, ',', l_linenumber, ',,', l_returnflag, ',9')
+ ELSE concat(l_orderkey, ',', l_linenumber, ',', l_suppkey, ',', l_returnflag) END"""
+_CSV_SCHEMA = "order_no BIGINT, line_no INT, supplier INT, flag STRING"
+
+
+def _checked_lines(spark: SparkSession, sf_dir: str) -> quarantine.Checked:
+    lines = table(spark, sf_dir, "lineitem").selectExpr("'lineitem' AS file", f"{_LINE} AS record", f"{_CSV_LINE} AS value")
+    return quarantine.checked_lines(lines, _CSV_SCHEMA)
+
+
+@register(
+    "a1_rejected_lines",
+    f"""SELECT 'lineitem' AS file, {_LINE} AS record, CASE WHEN ({_LINE}) % 97 = 0 THEN 'width: 2 of 4'
+ WHEN ({_LINE}) % 89 = 0 THEN 'type: line_no, supplier' ELSE 'width: 5 of 4' END AS reason, {_CSV_LINE} AS content
+ FROM lineitem WHERE ({_LINE}) % 97 = 0 OR ({_LINE}) % 89 = 0 OR (({_LINE}) % 79 = 0 AND ({_LINE}) % 83 <> 0)""",
+)
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_lines(spark, sf_dir).rejected
+
+
+@register(
+    "a1_kept_lines",
+    f"""SELECT CAST(l_orderkey AS BIGINT) AS order_no, CAST(l_linenumber AS INT) AS line_no, CAST(l_suppkey AS INT) AS supplier,
+ CASE WHEN ({_LINE}) % 83 = 0 THEN concat(l_returnflag, ',F') ELSE l_returnflag END AS flag
+ FROM lineitem WHERE ({_LINE}) % 97 <> 0 AND ({_LINE}) % 89 <> 0 AND (({_LINE}) % 79 <> 0 OR ({_LINE}) % 83 = 0)""",
+)
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_lines(spark, sf_dir).rows
+
+
 _RAW_LABEL = """CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_totalprice > 200000 AND o_orderkey % 2 = 0 THEN ' >50K. '
  WHEN o_totalprice > 200000 THEN '> 50K' ELSE ' <=50K.' END"""
 

@@ -10,7 +10,7 @@ from evenhand.functions import values
 from evenhand.operators import prepare, sparse, splits
 from evenhand.operators.ranks import dense_codes
 from evenhand.operators.sizes import cut_lineage, small_side
-from evenhand.sources import readers, schemas
+from evenhand.sources import quarantine, readers, schemas, writers
 
 ADULT_CATEGORIES = (
     "workclass", "education", "marital-status", "occupation", "relationship", "native-country",
@@ -44,6 +44,22 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return cut_lineage(keyed.select(*[F.col(f"`{c}`") for c in df.columns], "row_id"))
 
 
+def _kept(rejects: str, *scans: quarantine.Checked) -> list[DataFrame]:
+    """The rows that fit; the others become the table at ``rejects``."""
+    rejected = scans[0].rejected
+    for scan in scans[1:]:
+        rejected = rejected.unionByName(scan.rejected)
+    writers.write_rejected(rejected, rejects)
+    return [scan.rows for scan in scans]
+
+
+def _scanned(spark: SparkSession, name: str, rejects: str | None, *arguments: str) -> DataFrame:
+    """The rows of the reader ``name``; with ``rejects`` those that do not fit go there instead of turning to null."""
+    if rejects is None:
+        return getattr(readers, name)(spark, *arguments)
+    return _kept(rejects, getattr(quarantine, name)(spark, *arguments))[0]
+
+
 def _parted(df: DataFrame, features: list[str], seed: int, test_share: float) -> Prepared:
     split = splits.stratified_split(df, "row_id", seed, test_share=test_share)
     return Prepared(split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split"), features)
@@ -141,15 +157,15 @@ def adult_frame(spark: SparkSession, path: str, sensitive: str = "sex", seed: in
     return _census_features(labelled, {"train": train, "test": train})
 
 
-def adult(spark: SparkSession, folder: str, sensitive: str = "sex", as_published: bool = False) -> Prepared:
-    """Census income from its two files, which keep their own split.
+def adult(spark: SparkSession, folder: str, sensitive: str = "sex", as_published: bool = False, rejects: str | None = None) -> Prepared:
+    """Census income from its two files, which keep their own split; lines that do not fit go to the table ``rejects``, if one is named.
 
     ``as_published`` leaves nulls unfilled, as they are in effect when '?' was already read as null:
     they get no dummy. Otherwise they take the mode of the training rows.
     """
     if sensitive not in CENSUS_GROUPS:
         raise ValueError("sensitive is sex or race")
-    train, test = readers.adult_files(spark, folder)
+    train, test = readers.adult_files(spark, folder) if rejects is None else _kept(rejects, *quarantine.adult_files(spark, folder))
     both = with_row_id(splits.given_split(train, test))
     labelled = both.select(
         "row_id",
@@ -183,9 +199,11 @@ def credit_folder(spark: SparkSession, folder: str, sensitive: str = "sex", seed
     return readers.first_source(spark, [((f"{folder}/*.csv",), lambda s, path: credit(s, path, sensitive, seed))])
 
 
-def credit(spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 42, test_share: float = 0.2) -> Prepared:
-    """Card defaults; the group is male, or an age at or above the median."""
-    raw = with_row_id(readers.described_csv(spark, path))
+def credit(
+    spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 42, test_share: float = 0.2, rejects: str | None = None
+) -> Prepared:
+    """Card defaults; the group is male, or an age at or above the median. ``rejects`` as in ``adult``."""
+    raw = with_row_id(_scanned(spark, "described_csv", rejects, path))
     target = prepare.resolve_column(
         raw, "default payment next month", "default.payment.next.month", "Y", "default"
     )
@@ -203,9 +221,9 @@ def credit(spark: SparkSession, path: str, sensitive: str = "sex", seed: int = 4
     return _parted(prepare.impute_medians(typed, features), features, seed, test_share)
 
 
-def law(spark: SparkSession, path: str, seed: int = 42, test_share: float = 0.2) -> Prepared:
-    """Bar passage; the group is white."""
-    raw = with_row_id(readers.text_columns(spark, path))
+def law(spark: SparkSession, path: str, seed: int = 42, test_share: float = 0.2, rejects: str | None = None) -> Prepared:
+    """Bar passage; the group is white. ``rejects`` as in ``adult``."""
+    raw = with_row_id(_scanned(spark, "text_columns", rejects, path))
     features = prepare.feature_columns(raw, "race", "pass_bar", "row_id")
     typed = raw.select(
         "row_id",
@@ -233,10 +251,10 @@ def law_sample(spark: SparkSession, train_path: str, test_path: str) -> Prepared
 
 
 def compas(
-    spark: SparkSession, path: str, seed: int = 42, test_share: float = 0.2, as_published: bool = False
+    spark: SparkSession, path: str, seed: int = 42, test_share: float = 0.2, as_published: bool = False, rejects: str | None = None
 ) -> Prepared:
-    """Two-year recidivism after the standard screening; the group is Caucasian."""
-    raw = with_row_id(readers.text_columns(spark, path))
+    """Two-year recidivism after the standard screening; the group is Caucasian. ``rejects`` as in ``adult``."""
+    raw = with_row_id(_scanned(spark, "text_columns", rejects, path))
     kept = prepare.screened(
         raw, "days_b_screening_arrest", "is_recid", "c_charge_degree", "score_text", "race",
         schemas.COMPAS_GROUPS, as_published,
@@ -258,9 +276,9 @@ def compas(
     return _parted(filled, list(plain.values()), seed, test_share)
 
 
-def two_d(spark: SparkSession, path: str, seed: int = 42, train_share: float = 0.8) -> Prepared:
-    """The two-feature example; its own client column is kept as ``client``."""
-    raw = with_row_id(readers.header_csv(spark, path, schemas.TWO_D))
+def two_d(spark: SparkSession, path: str, seed: int = 42, train_share: float = 0.8, rejects: str | None = None) -> Prepared:
+    """The two-feature example; its own client column is kept as ``client``. ``rejects`` as in ``adult``."""
+    raw = with_row_id(_scanned(spark, "header_csv", rejects, path, schemas.TWO_D))
     typed = raw.select("row_id", "client", F.col("s").alias("a"), values.to_zero_one("y").alias("y"), "x1", "x2")
     split = splits.split_by_count(typed, "row_id", seed, train_share, ("train", "test"), at_least=1)
     return Prepared(

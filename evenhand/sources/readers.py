@@ -6,7 +6,7 @@ import csv
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenhand.sources import ledger, schemas
 
@@ -18,8 +18,12 @@ def header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_columns(spark: SparkSession, path: str) -> DataFrame:
     """Headered CSV with the columns its own header names, all as text."""
-    names = _fields(_first_lines(spark, path, 1)[0])
-    return _named_text(spark, path, names, skip=1)
+    return _named_text(spark, path, header_names(spark, path), skip=1)
+
+
+def header_names(spark: SparkSession, path: str) -> list[str]:
+    """The fields of the first line."""
+    return _fields(_first_lines(spark, path, 1)[0])
 
 
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
@@ -48,11 +52,17 @@ def _named_text(spark: SparkSession, path: str, names: Sequence[str], skip: int)
 
 def described_csv(spark: SparkSession, path: str, marker: str = "LIMIT_BAL") -> DataFrame:
     """CSV whose header may stand below one descriptive line: the header is the line with ``marker``."""
+    names, top = described_header(spark, path, marker)
+    return _named_text(spark, path, names, skip=top)
+
+
+def described_header(spark: SparkSession, path: str, marker: str) -> tuple[list[str], int]:
+    """The fields of the header of such a file, and the number of lines down to it."""
     lines = _first_lines(spark, path, 2)
     first = _fields(lines[0])
     if marker in [c.strip() for c in first] or len(first) <= 1:
-        return _named_text(spark, path, first, skip=1)
-    return _named_text(spark, path, _fields(lines[1]), skip=2)
+        return first, 1
+    return _fields(lines[1]), 2
 
 
 def adult_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -107,12 +117,17 @@ def run_results(spark: SparkSession, glob: str, prefix: str = "draft_results_")
         .option("mode", "PERMISSIVE")
         .json(glob)
     )
-    name = F.regexp_extract(F.col("_metadata.file_name"), rf"^(?:{prefix})?(.*?)(?:\.json)?$", 1)
+    name = run_label(F.col("_metadata.file_name"), prefix)
     # Spark wants a parsed column beside the corrupt one, even where only rows are counted.
     filled = F.col("dataset").isNotNull() | F.col("pipeline").isNotNull() | F.col("round_logs").isNotNull()
     return raw.withColumn("label", name).filter(F.col("_corrupt_record").isNull() & filled).drop("_corrupt_record")
 
 
+def run_label(file_name: Column, prefix: str) -> Column:
+    """A file name without the prefix and its extension."""
+    return F.regexp_extract(file_name, rf"^(?:{prefix})?(.*?)(?:\.json)?$", 1)
+
+
 def written_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The runs that ``writers.write_runs`` committed: the latest of each dataset and label."""
     return ledger.latest(spark, folder, f"{schemas.RUN}, label STRING", ("dataset", "label"))

@@ -21,6 +21,11 @@ def write_table(table: DataFrame, folder: str) -> None:
     table.write.mode("overwrite").option("header", True).csv(folder)
 
 
+def write_rejected(rejected: DataFrame, folder: str) -> None:
+    """The records that a scan set aside (``quarantine``), in place of those of the scan before."""
+    rejected.write.mode("overwrite").parquet(folder)
+
+
 # Rows of a client that one file holds.
 FILE_ROWS = 1_000_000
 
