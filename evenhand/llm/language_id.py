@@ -9,18 +9,24 @@ with occurrences for n at the highest order, at lower ones the number of differe
 none), D from the numbers of n-grams seen once and twice, and a uniform distribution below. A text's language is the one with the least cross-entropy
 per character. Words repeat, so their scores are kept for a task, up to a bound.
 
-n-grams and contexts are looked up by hash in sorted arrays, with a column for each language. They are fitted on a bounded
-sample of labelled documents: about ``TRAIN_DOCS`` of each of the ``LANGUAGES`` most frequent languages, those with the least hash of
-their id. Counts are taken by Spark; the model (a few megabytes) is broadcast.
+n-grams and contexts of a language are looked up by hash in its sorted arrays. They are fitted on a bounded sample of labelled documents: about
+``TRAIN_DOCS`` of each language, those with the least hash of id and text, however many languages there are. Spark takes the counts, and fits a
+language in a task of its own from its ``GRAMS`` most frequent n-grams (fewer where ``ALL_GRAMS`` would be passed by all languages together; of equally
+frequent ones those with the least hash). So what the driver collects and broadcasts is bounded: some 700 MB for any number of languages.
 
 A text is rejected if it has no letter or is unlike all languages. For that each run of letters counts by the language that it surprises
 least, so that a text with parts in several known languages stays. The limit of this cross-entropy per character is calibrated on a part of
 the sample that is not learned from: ``SIGMAS`` standard deviations (of documents, and of characters over the text's length) above the mean
-of the text's language. It does not depend on how many characters the sample has.
+of the text's language. It does not depend on how many characters the sample has. A language of fewer than ``FEW`` documents gives none to
+calibration, and the document with the least hash is always learned from, so that no language is lost.
+
+The score is the language's share of a softmax of the cross-entropies. Its sharpness is fitted on the same part of the sample: the least of ``GRID``
+at which the mean share is no less than the (smoothed) share of right answers. It compares known languages; whether a text is in one of them is
+what ``rejected`` says.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; without labelled documents all are
-``und``; ties go to the language that is first in code point order; input columns are kept, added ones replace those of
-their names.
+``und``; ties go to the language that is first in code point order; rows that repeat id and text are sampled once; input columns are kept, added
+ones replace those of their names.
 """
 
 from __future__ import annotations
@@ -28,25 +34,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenhand.llm.catalog import register
-from evenhand.llm.common import mix, read, slices
+from evenhand.llm.common import mix, read, slices, written
 from evenhand.llm.rows import replace_columns, schema_with
+from evenhand.operators.sizes import small_side
 
 ORDER = 5
 TRAIN_DOCS = 2000
-LANGUAGES = 1000
+GRAMS = 200_000
+ALL_GRAMS = 12_000_000
 SIGMAS = 6.0
 # One in so many documents of the sample calibrates and is not learned from.
 CALIBRATES = 5
-# Characters that the score's softmax takes a text to have, whatever its length.
+FEW = 10
+# Characters that the score's softmax takes a text to have, whatever its length: what is tried, and what is taken without calibration.
+GRID = np.geomspace(0.25, 1024.0, 25)
 SHARPNESS = 10.0
 UNKNOWN = "und"
 START, END = "\x02", "\x03"
@@ -69,64 +78,74 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+# For each length the hashes of n-grams, their probabilities, the hashes of contexts, and the weights of their shorter histories.
+Tables = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def tables(texts: list[str], n: np.ndarray, uniform: float) -> Tables:
+    """The model of a language from its n-grams: for each predicted character the run up to it, ORDER characters at most, and how often."""
+    ends = np.cumsum([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    length = np.diff(ends, prepend=0)
+    suffix = [h[ends - 1] for h in _hashes(codes)]  # hash of the last 1, 2, ... characters of each row
+    before = np.zeros(len(codes), np.uint32)
+    before[1:] = codes[:-1]
+    history = [h[ends - 1] for h in _hashes(before)]  # the same one character earlier
+    out: Tables = []
+    lower_grams, lower = np.zeros(0, np.uint64), np.zeros(0)
+    for size in range(1, ORDER + 1):
+        # Rows of this length have their occurrences; what is longer counts once for each character before it.
+        longer, exact = np.flatnonzero(length > size), np.flatnonzero(length == size)
+        one = np.unique(suffix[size][longer], return_index=True)[1] if size < ORDER else np.zeros(0, np.int64)
+        rows = np.concatenate([exact, longer[one]])
+        value = np.concatenate([n[exact].astype(np.float64), np.ones(len(one))])
+        none = np.zeros(len(rows), np.uint64)
+        grams, at = np.unique(suffix[size - 1][rows], return_inverse=True)
+        contexts, of_row = np.unique(history[size - 2][rows] if size > 1 else none, return_inverse=True)
+        of_gram, without_first = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.uint64)
+        of_gram[at], without_first[at] = of_row, suffix[size - 2][rows] if size > 1 else none
+        count = np.bincount(at, value, len(grams))
+        total, types = np.bincount(of_gram, count, len(contexts)), np.bincount(of_gram, minlength=len(contexts))
+        once, twice = int((count == 1).sum()), int((count == 2).sum())
+        discount = once / (once + 2 * twice) if once else 0.5
+        weight = discount * types / np.maximum(total, 1)
+        # The end of every n-gram that was seen was seen itself, so its probability is in the table before.
+        below = lower[np.searchsorted(lower_grams, without_first)] if size > 1 else uniform
+        share = np.maximum(count - discount, 0) / np.maximum(total, 1)[of_gram] + weight[of_gram] * below
+        out.append((grams, share.astype(np.float32), contexts, weight.astype(np.float32)))
+        lower_grams, lower = grams, share
+    return out
+
+
+def _probabilities(fitted: Tables, hashes: list[np.ndarray], histories: list[np.ndarray], deep: np.ndarray, uniform: float) -> np.ndarray:
+    """What a language gives each character, from the hashes of all lengths up to it and up to the one before, and the number of characters before."""
+    p = np.empty(len(deep))
+    # Most n-grams of full length are known; for the others the weight of the shorter history comes in, and so on.
+    left, weight = np.arange(len(deep)), np.ones(len(deep))
+    for size in range(ORDER, 0, -1):
+        grams, shares, contexts, weights = fitted[size - 1]
+        fits = deep[left] >= size - 1
+        rows, place = _known(grams, hashes[size - 1][left], fits)
+        p[left[rows]] = weight[left[rows]] * shares[place]
+        rest = np.ones(len(left), bool)
+        rest[rows] = False
+        left, fits = left[rest], fits[rest]
+        rows, place = _known(contexts, histories[size - 2][left] if size > 1 else np.zeros(len(left), np.uint64), fits)
+        weight[left[rows]] *= weights[place]
+    p[left] = weight[left] * uniform
+    return p
+
+
 @dataclass
 class Model:
-    """Sorted hash arrays of n-grams and contexts for each length, with a column for each language."""
+    """The languages' models, and what calibration found."""
 
     languages: list[str]
-    uniform: float = 1.0
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, interpolated probability
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hash, weight of the shorter history
+    uniform: float
+    fitted: list[Tables]
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
-
-    @staticmethod
-    def fit(counts: pd.DataFrame) -> Model:
-        """From rows (lang, gram, n): for each predicted character the run up to it, ORDER characters at most."""
-        languages = sorted(counts["lang"].unique())
-        model = Model(languages)
-        texts = counts["gram"].tolist()
-        ends = np.cumsum([len(t) for t in texts])
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        length = np.diff(ends, prepend=0)
-        lang = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-        n = counts["n"].to_numpy(np.float64)
-        suffix = [h[ends - 1] for h in _hashes(codes)]  # hash of the last 1, 2, ... characters of each row
-        before = np.zeros(len(codes), np.uint32)
-        before[1:] = codes[:-1]
-        history = [h[ends - 1] for h in _hashes(before)]  # the same one character earlier
-        model.uniform = 1.0 / (len(np.unique(codes)) + 1)
-        for size in range(1, ORDER + 1):
-            # Rows of this length have their occurrences; what is longer counts once for each character before it.
-            longer = np.flatnonzero(length > size)
-            exact = np.flatnonzero(length == size)
-            key, one = np.unique(np.column_stack([lang[longer].astype(np.uint64), suffix[size][longer]]), axis=0, return_index=True) if size < ORDER else (None, np.zeros(0, np.int64))
-            rows = np.concatenate([exact, longer[one]])
-            value = np.concatenate([n[exact], np.ones(len(one))])
-            none = np.zeros(len(rows), np.uint64)
-            model._add(lang[rows], suffix[size - 1][rows], *((history[size - 2][rows], suffix[size - 2][rows]) if size > 1 else (none, none)), value)
-        return model
-
-    def _add(self, lang: np.ndarray, gram: np.ndarray, history: np.ndarray, shorter: np.ndarray, value: np.ndarray) -> None:
-        """The next length: rows of n-grams with their history, the n-gram without its first character, and their number."""
-        n_langs = len(self.languages)
-        grams, at = np.unique(gram, return_inverse=True)
-        contexts, of_row = np.unique(history, return_inverse=True)
-        of_gram, without_first = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.uint64)
-        of_gram[at], without_first[at] = of_row, shorter
-        count = np.bincount(at * n_langs + lang, value, len(grams) * n_langs).reshape(-1, n_langs)
-        total, types = np.zeros((len(contexts), n_langs)), np.zeros((len(contexts), n_langs))
-        np.add.at(total, of_gram, count)
-        np.add.at(types, of_gram, count > 0)
-        once, twice = (count == 1).sum(axis=0), (count == 2).sum(axis=0)
-        discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
-        seen = np.maximum(total, 1)
-        share = np.maximum(count - discount, 0) / seen[of_gram]
-        weight = np.where(total > 0, discount * types / seen, 1.0)
-        # The end of every n-gram that was seen was seen itself, so its probability is in the table before.
-        lower = self.grams[-1][1][np.searchsorted(self.grams[-1][0], without_first)] if self.grams else self.uniform
-        self.grams.append((grams, share + weight[of_gram] * lower))
-        self.contexts.append((contexts, weight))
+    sharpness: float = SHARPNESS
 
     def surprise(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each run of letters the negative log-probability in every language, and the number of characters predicted."""
@@ -147,31 +166,21 @@ class Model:
         for low in range(0, len(codes), STEP):
             near = max(0, low - ORDER)
             part = slice(low, min(len(codes), low + STEP))
-            hashes = [h[low - near :] for h in _hashes(codes[near : part.stop])]
-            earlier = np.concatenate([[0], codes[near : part.stop - 1]]).astype(np.uint32) if near == 0 else codes[near - 1 : part.stop - 1]
-            histories = [h[low - near :] for h in _hashes(earlier)]
             at = np.flatnonzero(depth[part] > 0)
-            deep = depth[part][at]
-            p = np.empty((len(at), len(self.languages)))
-            # Most n-grams of full length are known; for the others the weight of the shorter history comes in, and so on.
-            open_rows, weight = np.arange(len(at)), np.ones((len(at), len(self.languages)))
-            for size in range(ORDER, 0, -1):
-                fits = deep[open_rows] >= size - 1
-                rows, place = _known(self.grams[size - 1][0], hashes[size - 1][at[open_rows]], fits)
-                p[open_rows[rows]] = weight[open_rows[rows]] * self.grams[size - 1][1][place]
-                rest = np.ones(len(open_rows), bool)
-                rest[rows] = False
-                open_rows, fits = open_rows[rest], fits[rest]
-                context = histories[size - 2][at[open_rows]] if size > 1 else np.zeros(len(open_rows), np.uint64)
-                rows, place = _known(self.contexts[size - 1][0], context, fits)
-                weight[open_rows[rows]] *= self.contexts[size - 1][1][place]
-            p[open_rows] = weight[open_rows] * self.uniform
-            np.add.at(out, run[part][at], -np.log(p))
+            hashes = [h[low - near :][at] for h in _hashes(codes[near : part.stop])]
+            earlier = np.concatenate([[0], codes[near : part.stop - 1]]).astype(np.uint32) if near == 0 else codes[near - 1 : part.stop - 1]
+            histories = [h[low - near :][at] for h in _hashes(earlier)]
+            deep, of_run = depth[part][at], run[part][at]
+            for i, fitted in enumerate(self.fitted):
+                p = _probabilities(fitted, hashes, histories, deep, self.uniform)
+                out[:, i] += np.bincount(of_run, -np.log(p), len(runs))
 
 
 def _known(table: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the wanted keys are in the table, and where."""
     rows = np.flatnonzero(wanted)
+    if not len(table):
+        return rows[:0], rows[:0]
     at = np.minimum(np.searchsorted(table, keys[rows]), len(table) - 1)
     found = table[at] == keys[rows]
     return rows[found], at[found]
@@ -267,47 +276,100 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "gram", "n"])
 
 
-def training_sample(docs: DataFrame, allowed: Column, per_language: int, languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Rows (lang, text) of about ``per_language`` labelled documents for each of the most frequent languages."""
+def training_sample(docs: DataFrame, allowed: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (lang, text, calibrates) of about ``per_language`` labelled documents for each language."""
     labelled = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("draw"))
-    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # As many rows as ``languages`` at most.
-    cuts = most.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
-    drawn = (F.shiftrightunsigned("draw", 11) / F.lit(float(2**53))) < F.col("share")
-    calibrates = F.pmod("draw", F.lit(CALIBRATES)) == 0
-    return labelled.join(F.broadcast(cuts), "lang").where(drawn).select("lang", "text", calibrates.alias("calibrates"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11)
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    sizes = small_side(labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")))
+    first = F.col("draw") == F.col("least")
+    drawn = F.col("draw") / F.lit(float(2**53)) < F.lit(float(per_language)) / F.col("n")
+    calibrates = (F.col("n") >= FEW) & ~first & (F.pmod("draw", F.lit(CALIBRATES)) == 0)
+    found = labelled.join(sizes, "lang").where(first | drawn).select("lang", "text", "draw", calibrates.alias("calibrates"))
+    return found.dropDuplicates(["lang", "draw"]).drop("draw")
 
 
-def fit(sample: DataFrame) -> Model | None:
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Of the rows (lang, gram, n) about the ``limit`` most frequent of each language; of the last number that fits in part, those with the least hash."""
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("rows"))
+    above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(limit) - F.coalesce(F.sum("rows").over(above), F.lit(0))
+    shares = levels.select("lang", "n", (room / F.col("rows")).alias("share")).where("share > 0")
+    place = F.shiftrightunsigned(F.xxhash64("gram"), 11) / F.lit(float(2**53))
+    return counts.join(shares, ["lang", "n"]).where(place < F.col("share")).select("lang", "gram", "n")
+
+
+FITTED = "lang string, size int, grams binary, shares binary, contexts binary, weights binary"
+
+
+def _fit_language(uniform: float):
+    """The n-grams of a language to its arrays, a row for each length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        # A fixed order, so that reruns add up alike.
+        table = table.sort_by("gram")
+        found = tables(table["gram"].to_pylist(), table["n"].to_numpy(), uniform)
+        arrays = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*found)]
+        lang = pa.array([table["lang"][0].as_py()] * ORDER, pa.string())
+        return pa.Table.from_arrays([lang, pa.array(range(1, ORDER + 1), pa.int32()), *arrays], ["lang", "size", "grams", "shares", "contexts", "weights"])
+
+    return run
+
+
+def fit(sample: DataFrame, grams: int = GRAMS, all_grams: int = ALL_GRAMS) -> Model | None:
     """The models of a bounded sample (lang, text, calibrates), calibrated on the rows set apart; None without a letter in the others."""
-    spark = sample.sparkSession
-    learned, sample = sample.where("not calibrates").drop("calibrates"), sample.where("calibrates").drop("calibrates")
+    learned, apart = sample.where("not calibrates").drop("calibrates"), sample.where("calibrates").drop("calibrates")
     runs = learned.mapInArrow(_count_words, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    counts = runs.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counts.empty:
+    counts = written(runs.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # Every character is the last one of an n-gram, but for the start mark.
+    size = counts.agg(F.count_distinct(F.right("gram", F.lit(1))).alias("characters"), F.count_distinct("lang").alias("languages")).first()
+    if not size.languages:
         return None
-    model = Model.fit(counts.sort_values(["lang", "gram"], ignore_index=True))
-    shipped = _Shipped(spark.sparkContext.broadcast(model))
+    uniform = 1.0 / (size.characters + 2)
+    most = _most_frequent(counts, max(1, min(grams, all_grams // size.languages)))
+    rows = most.groupBy("lang").applyInArrow(_fit_language(uniform), FITTED).collect()
+    found: dict[str, dict[int, tuple]] = {}
+    for r in rows:
+        arrays = [np.frombuffer(x, t) for x, t in ((r.grams, np.uint64), (r.shares, np.float32), (r.contexts, np.uint64), (r.weights, np.float32))]
+        found.setdefault(r.lang, {})[r["size"]] = tuple(arrays)
+    languages = sorted(found)
+    model = Model(languages, uniform, [[found[x][k] for k in range(1, ORDER + 1)] for x in languages])
+    return _calibrate(model, apart)
+
+
+def _shares(entropy: np.ndarray, sharpness: float) -> np.ndarray:
+    """The share of the least cross-entropy of each row in the softmax."""
+    return 1 / np.exp((entropy.min(axis=1, keepdims=True) - entropy) * sharpness).sum(axis=1)
+
+
+def _calibrate(model: Model, apart: DataFrame) -> Model:
+    """Mean and deviation of the cross-entropy for each language, and the sharpness, from rows (lang, text) that were not learned from."""
+    shipped = _Shipped(apart.sparkSession.sparkContext.broadcast(model))
+    tried = [f"share{i}" for i in range(len(GRID))]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shipped)
         index = {x: i for i, x in enumerate(scorer.model.languages)}
         for batch in slices(batches, "text"):
-            _, nearest, n = scorer.score(batch.column("text").to_pylist())
+            entropy, nearest, n = scorer.score(batch.column("text").to_pylist())
             lang = np.array([index.get(x, -1) for x in batch.column("lang").to_pylist()])
             rows = np.flatnonzero((n > 0) & (lang >= 0))
-            columns = [pa.array(lang[rows], pa.int32()), pa.array(nearest[rows]), pa.array(n[rows])]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "entropy", "n"])
+            right = (entropy.argmin(axis=1) == lang)[rows].astype(float)
+            columns = [pa.array(lang[rows], pa.int32()), pa.array(nearest[rows]), pa.array(right), *[pa.array(_shares(entropy[rows], g)) for g in GRID]]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "entropy", "right", *tried])
         scorer.forget()
 
-    scored = sample.mapInArrow(own, "lang int, entropy double, n double").groupBy("lang")
-    stats = scored.agg(F.avg("entropy").alias("mean"), F.stddev("entropy").alias("sd")).toPandas().set_index("lang")
+    scored = apart.mapInArrow(own, ", ".join(["lang int", *[f"{c} double" for c in ("entropy", "right", *tried)]])).groupBy("lang")
+    sums = [F.sum(c).alias(c) for c in ("right", *tried)]
+    stats = scored.agg(F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.stddev("entropy").alias("sd"), *sums).toPandas().set_index("lang").sort_index()
     highest = -float(np.log(model.uniform))
-    mean, sd = stats["mean"].dropna(), stats["sd"].dropna()
+    mean, sd, n = stats["mean"].dropna(), stats["sd"].dropna(), int(stats["n"].sum())
     # A language without enough rows set apart is judged as mildly as the hardest one.
     model.mean = np.array([mean.get(i, mean.max() if len(mean) else highest) for i in range(len(model.languages))])
     model.deviation = np.array([sd.get(i, sd.max() if len(sd) else highest) for i in range(len(model.languages))])
+    if n:
+        enough = stats[tried].sum().to_numpy() / n >= (stats["right"].sum() + 1) / (n + 2)
+        model.sharpness = float(GRID[enough.argmax()] if enough.any() else GRID[-1])
     return model
 
 
@@ -325,9 +387,8 @@ def identify(docs: DataFrame, model: Model | None, sigmas: float = SIGMAS, text_
         for batch in slices(batches, text_col):
             entropy, nearest, n = scorer.score(batch.column(text_col).to_pylist())
             best = entropy.argmin(axis=1)
-            least = entropy[np.arange(len(best)), best]
-            share = 1 / np.exp((least[:, None] - entropy) * SHARPNESS).sum(axis=1)
             fitted = scorer.model
+            share = _shares(entropy, fitted.sharpness)
             usual = fitted.mean[best] + sigmas * np.sqrt(fitted.deviation[best] ** 2 + fitted.mean[best] ** 2 / np.maximum(n, 1))
             rejected = (n == 0) | (nearest > usual)
             best = np.where(n > 0, best, len(names) - 1)
@@ -346,6 +407,6 @@ def remainder(doc_id: Column) -> Column:
 @register("op5_kneser_ney")
 def kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = fit(training_sample(docs, remainder(F.col("doc_id")) != 2, TRAIN_DOCS, LANGUAGES, "doc_id", "text", "lang"))
+    model = fit(training_sample(docs, remainder(F.col("doc_id")) != 2, TRAIN_DOCS, "doc_id", "text", "lang"))
     found = identify(docs.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "text"), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")

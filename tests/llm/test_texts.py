@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -157,15 +158,14 @@ def naive_probability(counts, history, char, order):
 
 
 def test_probabilities_follow_the_formula():
-    import pandas as pd
-
     words = Counter(["abab", "abba", "ba", "aab", "cab", "cab", "b"])
     grams = Counter()
     for word, n in words.items():
         marked = language_id.START + word + language_id.END
         for end in range(2, len(marked) + 1):
             grams[marked[max(0, end - language_id.ORDER) : end]] += n
-    model = language_id.Model.fit(pd.DataFrame([("xx", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
+    uniform = 1 / (len({c for g in grams for c in g}) + 1)
+    model = language_id.Model(["xx"], uniform, [language_id.tables(list(grams), np.array(list(grams.values())), uniform)])
     for word in ("ab", "cabab", "zz", "a", "bacab"):
         marked = language_id.START + word + language_id.END
         expected = -sum(math.log(naive_probability(grams, marked[max(0, i - language_id.ORDER + 1) : i], marked[i], language_id.ORDER)) for i in range(1, len(marked)))
@@ -194,7 +194,7 @@ def test_foreign_and_random_texts_are_rejected_with_a_large_alphabet(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     signs = [("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)),) for _ in range(60)]
     more = spark.createDataFrame(signs, "text string").selectExpr("-1 - monotonically_increasing_id() as doc_id", "'zh' as lang", "text")
-    model = language_id.fit(language_id.training_sample(docs.unionByName(more), F.lit(True), 2000, 10, "doc_id", "text", "lang"))
+    model = language_id.fit(language_id.training_sample(docs.unionByName(more), F.lit(True), 2000, "doc_id", "text", "lang"))
     assert 1 / model.uniform > 2500
     kept = language_id.identify(docs, model).where("not rejected")
     assert kept.count() >= 0.995 * docs.count()
@@ -211,6 +211,69 @@ def test_foreign_and_random_texts_are_rejected_with_a_large_alphabet(spark):
     assert {r.text: r.rejected for r in got} == {**dict.fromkeys([*letters, *foreign], True), mixed: False}
 
 
+def labelled(spark, texts):
+    return spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(texts)], "doc_id long, lang string, text string")
+
+
+def fitted(docs, **bounds):
+    return language_id.fit(language_id.training_sample(docs, F.lit(True), 2000, "doc_id", "text", "lang"), **bounds)
+
+
+def test_small_languages_are_learned(spark):
+    rng = random.Random(3)
+    english = ["the", "house", "of", "some", "old", "friend", "and", "there", "were", "stones"]
+    texts = [("en", " ".join(rng.choices(english, k=30))) for _ in range(200)]
+    texts += [("ru", t) for t in ("дом старого друга", "камни и трава у дома", "старый друг идёт домой")]
+    texts += [("x", "a b a b b")] + [("zz", "zork zyzzy zulu zap")] * 40
+    docs = labelled(spark, texts)
+    # Rows of one id and text share their hash: a language of such rows only is learned all the same.
+    docs = docs.withColumn("doc_id", F.when(F.col("lang") == "zz", F.lit(1)).otherwise(F.col("doc_id")))
+    model = fitted(docs)
+    assert model.languages == ["en", "ru", "x", "zz"]
+    asked = {"друг у старого дома": "ru", "b b a": "x", "zulu zork": "zz", "old stones and some house": "en"}
+    got = language_id.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()
+    assert {r.text: r.lang_pred for r in got} == asked
+
+
+def test_any_number_of_languages_in_a_bounded_model(spark):
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for k in range(60):
+        words = ["".join(rng.choices(alphabet, k=rng.randint(3, 8))) for _ in range(40)]
+        texts += [(f"l{k:02}", " ".join(rng.choices(words, k=60))) for _ in range(12)]
+    docs = labelled(spark, texts)
+    sample = language_id.training_sample(docs, F.lit(True), 2000, "doc_id", "text", "lang")
+    whole, tight = language_id.fit(sample), language_id.fit(sample, all_grams=60 * 100)
+    assert len(whole.languages) == len(tight.languages) == 60
+    # 100 n-grams of full length, and what they end in.
+    assert max(len(t[-1][0]) for t in tight.fitted) < 140 < max(len(t[-1][0]) for t in whole.fitted)
+    for model, least in ((whole, 0.99), (tight, 0.9)):
+        got = language_id.identify(docs, model)
+        assert got.where("lang = lang_pred").count() >= least * len(texts)
+
+
+def test_score_is_as_sure_as_the_answers_are_right(spark):
+    rng = random.Random(6)
+    common = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    # Two languages that differ in how often they use the same words.
+    weights = {"p": [3] * 30 + [2] * 30, "q": [2] * 30 + [3] * 30}
+    rows = [(lang, " ".join(rng.choices(common, w, k=40))) for _ in range(400) for lang, w in weights.items()]
+    model = fitted(labelled(spark, rows))
+    new = [(lang, " ".join(rng.choices(common, w, k=40))) for _ in range(200) for lang, w in weights.items()]
+    got = language_id.identify(labelled(spark, new), model).collect()
+    right, sure = sum(r.lang == r.lang_pred for r in got) / len(got), sum(r.score for r in got) / len(got)
+    assert 0.6 < right < 0.97 and abs(right - sure) < 0.08
+
+
+def test_known_text_is_hardly_ever_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = language_id.remainder(F.col("doc_id")) == 2
+    model = language_id.fit(language_id.training_sample(docs, ~held_out, 2000, "doc_id", "text", "lang"))
+    known = language_id.identify(docs.where(held_out & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), model)
+    assert known.where("rejected").count() <= 0.005 * known.count()
+
+
 # Pages
 
 
