@@ -19,7 +19,7 @@ PASSAGE_WORDS = 50
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with that language; texts without letters or unlike all languages go."""
     small_batches(spark)
-    sample = language_id.training_sample(docs, F.lit(True), language_id.TRAIN_DOCS, language_id.LANGUAGES, "doc_id", "text", "lang")
+    sample = language_id.training_sample(docs, F.lit(True), language_id.TRAIN_DOCS, "doc_id", "text", "lang")
     found = language_id.identify(docs, language_id.fit(sample))
     return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
