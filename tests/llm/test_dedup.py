@@ -173,6 +173,44 @@ def test_cuts_are_those_of_all_windows(spark, width, monkeypatch):
         assert all(out[i].text == t for i, t in rows if not out[i].n_removed)
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 13, 70])
+def test_passages_are_maximal(spark, width, monkeypatch):
+    rng = random.Random(width)
+    base = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(400)]
+    rows = []
+    for i in range(40):
+        parts = [base[(a := rng.randrange(300)) : a + rng.randint(1, 90)] if rng.random() < 0.7 else [f"z{i}x{j}" for j in range(5)] for _ in range(3)]
+        rows.append((i * 64, " ".join(w for p in parts for w in p), "s"))
+    seen, expected = {}, set()
+    for i, text, _ in rows:
+        words = words_of(text)
+        gone = [p for p in range(len(words) - width + 1) if seen.get(tuple(words[p : p + width]), i) < i]
+        for p in range(len(words) - width + 1):
+            seen.setdefault(tuple(words[p : p + width]), i)
+        begins = [p for p in gone if p - 1 not in gone]
+        for p in begins:
+            n = next(k for k in range(1, len(words) + 2) if p + k not in gone)
+            expected.add((i, p, n - 1 + width))
+    for flush, frequent, part in ((10**6, 64, 1 << 24), (11, 2, 300)):
+        monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+        monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(substring_dedup, "PART_BYTES", part)
+        got = substring_dedup.repeated_passages(table(spark, rows).repartition(4), width=width).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_nodes_are_as_deep_as_neighbours_agree():
+    suffixes = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 4], [1, 5, 0], [2, 5, 0]], np.uint32)
+    assert substring_dedup._shared_words(suffixes).tolist() == [0, 3, 2, 1, 0]
+    assert substring_dedup._shared_words(suffixes[:0]).tolist() == []
+
+
+def test_ids_with_a_step_are_dealt_out_to_all_parts():
+    parts = substring_dedup._of_document(np.arange(100_000) * 64, 64)
+    sizes = np.bincount(parts, minlength=64)
+    assert sizes.min() > 1000 and sizes.max() < 2200
+
+
 def test_odd_rows_of_repeats(spark):
     text = " ".join(f"x{i}" for i in range(20))
     other = " ".join(f"y{i}" for i in range(20))
