@@ -2,10 +2,10 @@
 
 Templates are notices of one sentence, standard headers and whole license texts. Of a file each line, each paragraph (lines with words in a
 row), each window of lines that has as many words as a template, and the whole are sparse vectors over their words, term frequency times
-inverse document frequency. Document frequencies are counted over all files, for the templates' words and for the ``FREQUENT`` other words
-that are in most files; rarer words weigh as one that is in no file, so that other text around a notice lowers the cosine. A text is
-passed over if its words cannot reach the threshold with any template. The license of the template with the largest cosine of ``THRESHOLD``
-or more is the file's own.
+inverse document frequency. Document frequencies are counted over all files and for all words. All tasks know those of the templates'
+words and of the ``FREQUENT`` other words that are in most files. A text is passed over if its words cannot reach the threshold with any
+template, or if none of its parts reaches it although its rarer words weigh as little as they can; for the texts that are left, the
+frequencies of their rarer words are joined to them. The license of the template with the largest cosine of ``THRESHOLD`` or more is the file's own.
 
 A directory has the license of its license files (``LICENSE``, ``COPYING`` and the like). A file without a license of its own
 inherits from the nearest directory above it that has one: the distinct directories are joined with their licensed ancestors, and files
@@ -33,7 +33,7 @@ from evenhand.llm.rows import replace_columns, schema_with
 
 THRESHOLD = 0.6
 LICENSE_FILE = r"(?i)^(un)?licen[sc]e(s)?([-_.].*)?$|^copying([-_.].*)?$|^notice([-_.].*)?$|^copyright([-_.].*)?$"
-# Other words whose document frequency is known to all tasks.
+# Other words whose document frequency is known to all tasks; that of the rest is joined where it can matter.
 FREQUENT = 10_000
 # Counts of words that a task holds before it passes them on.
 HELD_WORDS = 1 << 20
@@ -88,16 +88,21 @@ def _row_of(first: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """Cosines of texts with the templates, for known document frequencies (by hash of the word)."""
+    """Cosines of texts with the templates, for known document frequencies (by hash of the word).
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]], frequencies: Mapping[int, int], files: int):
+    No other word is in more than ``others`` files. Where its frequency is not given, it weighs as if it were in so many, the least it can
+    weigh, and cosines are upper bounds.
+    """
+
+    def __init__(self, templates: Mapping[str, tuple[str, ...]], frequencies: Mapping[int, int], files: int, others: int = 0):
         listed = [(name, notice) for name in sorted(templates) for notice in templates[name]]
         self.names = [name for name, _ in listed]
         hashes, first, _ = _words(pa.array([notice for _, notice in listed], pa.string()))
-        self.unseen = math.log(files + 1.0) + 1
+        self.files = files
+        self.unseen = self.weight(others)
         self.vocabulary = np.unique(hashes)
         self.known = np.unique(np.concatenate([self.vocabulary, np.array([*frequencies], np.uint64)]))
-        self.idf = np.array([math.log((files + 1.0) / (frequencies.get(h, 0) + 1.0)) + 1 for h in self.known.tolist()])
+        self.idf = np.array([self.weight(frequencies.get(h, 0)) for h in self.known.tolist()])
         # Rows are templates, columns the vocabulary.
         counts = np.zeros((len(listed), len(self.vocabulary)))
         np.add.at(counts, (_row_of(first), np.searchsorted(self.vocabulary, hashes)), 1)
@@ -106,6 +111,15 @@ class Matcher:
         self.squares = np.ascontiguousarray((self.vectors**2).T)
         self.sizes = np.diff(first)
 
+    def weight(self, n: int) -> float:
+        """The inverse document frequency of a word that is in ``n`` files."""
+        return math.log((self.files + 1.0) / (n + 1.0)) + 1
+
+    def rarer(self, hashes: np.ndarray) -> np.ndarray:
+        """The different words, ascending, whose frequency is not known."""
+        words = np.unique(hashes)
+        return words[self.known[np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)] != words]
+
     def possible(self, texts: pa.Array, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Rows that may reach the threshold, with the templates that they may reach, their words and the line of each.
 
@@ -124,12 +138,20 @@ class Matcher:
                 part = slice(first[row], first[row + 1])
                 yield row, near, hashes[part], line[part]
 
-    def best(self, near: np.ndarray, hashes: np.ndarray, line: np.ndarray, threshold: float) -> tuple[str | None, float]:
-        """The license whose template, of those given, is nearest to a line, a paragraph, a window or all of the text."""
+    def best(
+        self, near: np.ndarray, hashes: np.ndarray, line: np.ndarray, threshold: float, given: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[str | None, float]:
+        """The license whose template, of those given, is nearest to a line, a paragraph, a window or all of the text.
+
+        ``given`` has the rarer words of the text and in how many files each is.
+        """
         found, cosine = None, threshold
         words, word = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
         weight = np.where(self.known[at] == words, self.idf[at], self.unseen)
+        if given is not None:
+            counts, of = np.unique(given[1], return_inverse=True)
+            weight[np.searchsorted(words, given[0])] = np.array([self.weight(n) for n in counts.tolist()])[of]
         place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         in_vocabulary = self.vocabulary[place] == words
         begins = np.flatnonzero(np.diff(line, prepend=line[0] - 1))
@@ -156,8 +178,12 @@ class Matcher:
         return found, cosine if found else 0.0
 
 
-def term_frequencies(files: DataFrame, templates: Mapping[str, tuple[str, ...]], text_col: str = "text") -> tuple[dict[int, int], int]:
-    """In how many files each word of a template, and each of the ``FREQUENT`` words in most files, stands (by hash), and the number of files."""
+def term_frequencies(files: DataFrame, templates: Mapping[str, tuple[str, ...]], text_col: str = "text") -> tuple[DataFrame, dict[int, int], int, int]:
+    """In how many files each word (by hash) stands.
+
+    A table ``(h, n)`` of all words but the templates', the frequencies of the templates' words and of the ``FREQUENT`` others in most files,
+    the number of files, and the most files that a word not among these is in.
+    """
     vocabulary = _hashed({t for notices in templates.values() for notice in notices for t in terms(notice)})
 
     def rows(kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -189,27 +215,63 @@ def term_frequencies(files: DataFrame, templates: Mapping[str, tuple[str, ...]],
         yield from passed_on(h, n)
         yield rows(0, np.zeros(1, np.uint64), np.array([total]))
 
-    counts = files.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    texts = files.select(F.col(text_col).cast("string").alias(text_col))
+    counts = written(texts.mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")))
     found = counts.orderBy("kind", F.desc("n"), "h").limit(1 + len(vocabulary) + FREQUENT).collect()
     by_hash = {r["h"] % 2**64: r["n"] for r in found if r["kind"] > 0}
-    return by_hash, sum(r["n"] for r in found if r["kind"] == 0)
+    total = sum(r["n"] for r in found if r["kind"] == 0)
+    # The words that are not here come behind the last one.
+    others = [r["n"] for r in found if r["kind"] == 2][-1:] or [total]
+    return counts.where("kind = 2").select("h", "n"), by_hash, total, others[0]
 
 
 def own_licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows without the text, with ``own_license`` and ``cosine`` (0 without one)."""
     templates = all_templates() if templates is None else templates
-    shipped = files.sparkSession.sparkContext.broadcast(Matcher(templates, *term_frequencies(files, templates, text_col)))
+    counts, *known = term_frequencies(files, templates, text_col)
+    shipped = files.sparkSession.sparkContext.broadcast(Matcher(templates, *known))
+    kept = schema_with(files.drop(text_col).schema, "own_license string, cosine double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_columns(found: list[tuple[str | None, float]]) -> dict[str, pa.Array]:
+        return {"own_license": pa.array([f[0] for f in found], pa.string()), "cosine": pa.array(np.array([f[1] for f in found], np.float64))}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shipped.value
         for batch in slices(batches, text_col):
+            texts = batch.column(text_col)
             found: list[tuple[str | None, float]] = [(None, 0.0)] * batch.num_rows
-            for row, near, hashes, line in matcher.possible(batch.column(text_col), threshold):
-                found[row] = matcher.best(near, hashes, line, threshold)
-            columns = {"own_license": pa.array([f[0] for f in found], pa.string()), "cosine": pa.array(np.array([f[1] for f in found], np.float64))}
-            yield replace_columns(batch.drop_columns([text_col]), columns)
-
-    return files.mapInArrow(run, schema_with(files.drop(text_col).schema, "own_license string, cosine double"))
+            rarer: list[np.ndarray | None] = [None] * batch.num_rows
+            for row, near, hashes, line in matcher.possible(texts, threshold):
+                other = matcher.rarer(hashes)
+                if not len(other):
+                    found[row] = matcher.best(near, hashes, line, threshold)
+                elif matcher.best(near, hashes, line, threshold - 1e-9)[0] is not None:
+                    rarer[row] = other.view(np.int64)
+            kept_texts = texts.take(pa.array([None if r is None else i for i, r in enumerate(rarer)], pa.int64()))
+            open_columns = {"_open_text": kept_texts, "_open_words": pa.array(rarer, pa.list_(pa.int64()))}
+            yield replace_columns(batch.drop_columns([text_col]), found_columns(found) | open_columns)
+
+    def judge_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = shipped.value
+        for batch in slices(batches, "_open_text"):
+            found: list[tuple[str | None, float]] = [(None, 0.0)] * batch.num_rows
+            given = batch.column("_open_words")
+            for row, near, hashes, line in matcher.possible(batch.column("_open_text"), threshold):
+                words = given[row].values
+                h, n = (words.field(name).to_numpy(zero_copy_only=False) for name in ("h", "n"))
+                found[row] = matcher.best(near, hashes, line, threshold, (h.view(np.uint64), n))
+            yield replace_columns(batch.drop_columns(["_open_text", "_open_words"]), found_columns(found))
+
+    # Rows may share all their values, so they are told apart by numbers that are written with them.
+    first = schema_with(kept, f"_open_text {files.schema[text_col].dataType.simpleString()}, _open_words array<long>")
+    judged = written(files.mapInArrow(judge, first).withColumn("_open_row", F.monotonically_increasing_id()))
+    is_open = F.col("_open_words").isNotNull()
+    # No word here is in more files than any of the frequent ones, so none gathers a large share of the rows.
+    words = judged.where(is_open).select("_open_row", F.explode("_open_words").alias("h"))
+    looked_up = words.join(counts, "h", "left").groupBy("_open_row").agg(F.collect_list(F.struct("h", F.coalesce("n", F.lit(0)).alias("n"))).alias("_open_words"))
+    left = judged.where(is_open).drop("_open_words").join(looked_up, "_open_row").drop("_open_row")
+    columns = [F.col(f"`{c}`") for c in kept.fieldNames()]
+    return judged.where(~is_open).select(*columns).unionByName(left.mapInArrow(judge_open, kept))
 
 
 def directory(path: Column) -> Column:

@@ -439,6 +439,41 @@ def test_frequent_other_words_weigh_less(spark):
     assert max(cosines) > 0.98
 
 
+def test_all_words_weigh_by_their_frequency(spark, monkeypatch):
+    notices = {"Wug": ("Released under the Wug License.",), "Zorp": ("You may use the zorp freely.",)}
+    # More other words than all tasks know are in more files than "qua" and "pim", which stand around the notices.
+    common = " ".join(f"w{i}" for i in range(licenses.FREQUENT + 500))
+    texts = [common] * 12 + ["qua pim"] * 9 + ["qua released under the wug license pim", "only here\nqua released under the wug license once\nw1 w2", "use the zorp qua", "use the pim", "", None]
+    texts += ["qua released under the wug license pim", common + "\nyou may use the zorp freely qua"]
+    n = len(texts)
+    frequencies = Counter(t for text in texts for t in set(licenses.terms(text or "")))
+
+    def vector(text):
+        return {t: c * (math.log((n + 1.0) / (frequencies[t] + 1.0)) + 1) for t, c in Counter(licenses.terms(text)).items()}
+
+    def nearest(text):
+        found = [(0.0, None)]
+        for part in [*text.split("\n"), text]:
+            for name, (notice,) in notices.items():
+                a, b = vector(part), vector(notice)
+                length = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+                found.append((sum(v * b.get(t, 0.0) for t, v in a.items()) / length if length else 0.0, name))
+        cosine, name = max(found, key=lambda f: f[0])
+        return (name, round(cosine, 9)) if cosine >= licenses.THRESHOLD else (None, 0.0)
+
+    expected = Counter((i, *nearest(text or "")) for i, text in enumerate(texts))
+    assert sum(1 for _, name, _ in expected if name) >= 4
+    df = spark.createDataFrame([*enumerate(texts)], "i int, text string").repartition(3)
+    for known in (licenses.FREQUENT, 3, 0, 10**6):
+        monkeypatch.setattr(licenses, "FREQUENT", known)
+        got = licenses.own_licenses(df, notices)
+        assert got.columns == ["i", "own_license", "cosine"]
+        assert Counter((r.i, r.own_license, round(r.cosine, 9)) for r in got.collect()) == expected
+    # Rows that share all their values stay apart.
+    twice = licenses.own_licenses(df.unionByName(df).select("text"), notices).collect()
+    assert Counter(r.own_license for r in twice) == Counter(name for _, name, _ in [*expected, *expected])
+
+
 def test_nearest_directory_wins(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
