@@ -60,12 +60,35 @@ def matrix(column: pa.Array, width: int, dtype: str = "float64") -> np.ndarray:
     return out
 
 
-def pack(rows: DataFrame, keys: Sequence[str], width: int, blocks: int = 1) -> DataFrame:
+def slices_of(width: int, blocks: int) -> list[int]:
+    """Where the slices of the components begin and end."""
+    return np.linspace(0, width, blocks + 1).astype(int).tolist()
+
+
+def shrunk(values: np.ndarray) -> bytes:
+    """The values in the smallest type that holds them exactly: whole numbers of 1, 2 or 4 bytes, else doubles."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            small = values.astype(kind)
+            if (small == values).all():
+                return small.tobytes()
+            break
+    return values.astype(np.float64).tobytes()
+
+
+def spread(data: pa.Buffer, count: int) -> np.ndarray:
+    """The ``count`` values that ``shrunk`` has written."""
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 4: np.int32}.get(len(data) // max(1, count), np.float64))
+
+
+def pack(rows: DataFrame, keys: Sequence[str], width: int, blocks: int = 1, shrink: bool = False) -> DataFrame:
     """Rows (keys..., vec_id, v) to one row for each key and slice of the components: keys..., slice, ids, vals.
 
-    ids ascend; vals is the matrix of that slice in row order, as doubles.
+    ids ascend; vals is the matrix of that slice in row order, as doubles, or with ``shrink`` in the smallest type (``shrunk``).
     """
-    cuts = np.linspace(0, width, blocks + 1).astype(int)
+    cuts = slices_of(width, blocks)
+    write = shrunk if shrink else np.ndarray.tobytes
     schema = ", ".join(f"{k} int" for k in keys) + ", slice int, ids binary, vals binary"
 
     def to_block(table: pa.Table) -> pa.Table:
@@ -76,7 +99,7 @@ def pack(rows: DataFrame, keys: Sequence[str], width: int, blocks: int = 1) -> D
         out = {k: pa.array([table[k][0].as_py()] * blocks, pa.int32()) for k in keys}
         out["slice"] = pa.array(range(blocks), pa.int32())
         out["ids"] = pa.array([ids] * blocks, pa.binary())
-        out["vals"] = pa.array([np.ascontiguousarray(values[:, a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+        out["vals"] = pa.array([write(np.ascontiguousarray(values[:, a:b])) for a, b in zip(cuts, cuts[1:])], pa.binary())
         return pa.table(out)
 
     return rows.select(*keys, "vec_id", "v").groupBy(*keys).applyInArrow(to_block, schema)

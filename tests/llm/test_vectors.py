@@ -57,6 +57,41 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
         assert found(uniform_topk.top_k(table(spark, rows), query(), k=4, nodes=nodes)) == brute(rows, 4)
 
 
+def test_top_k_over_many_strips_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(vec, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(vec, "GROUP_ROWS", 3)
+    monkeypatch.setattr(uniform_topk, "STRIP_CHUNKS", 2)
+    monkeypatch.setattr(uniform_topk, "PART_GROUPS", 2)
+    rows = [(i, [float(round(5 * x)) for x in v]) for i, v in random_rows(300, 6, 4)]
+    for nodes, k in ((1, 4), (2, 4), (3, 40), (6, 299)):
+        assert found(uniform_topk.top_k(table(spark, rows), query(), k=k, nodes=nodes)) == brute(rows, k)
+
+
+@pytest.mark.parametrize("size", [1.0, 300.0, 2.0**20, 2.0**28])
+def test_top_k_of_numbers_of_any_size(spark, size):
+    rows = [(i, [float(round(size * x)) for x in v]) for i, v in random_rows(2000, 6, 5)]
+    rows = [(i, v) for i, v in rows if i % 20 or i < 200] + [(3000 + i, [-abs(x) for x in v]) for i, v in rows[:50]]
+    assert found(uniform_topk.top_k(table(spark, rows), query(), k=6)) == brute(rows, 6, int)
+
+
+def test_blocks_of_top_k_never_meet_in_the_driver(spark, monkeypatch):
+    """Blocks of queries, copied for all vectors, would come to the driver as a broadcast wherever their packed file is small."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    written = uniform_topk.written
+    monkeypatch.setattr(uniform_topk, "written", noted)
+    rows = [(i, [float(round(5 * x)) for x in v]) for i, v in random_rows(300, 6, 4)]
+    top = uniform_topk.top_k(table(spark, rows), query(), k=4)
+    plans.append(top._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in plan for plan in plans) >= 2
+    assert not [plan for plan in plans if "Broadcast" in plan or "CartesianProduct" in plan]
+    assert found(top) == brute(rows, 4)
+
+
 def test_top_k_beyond_the_exact_range_of_doubles(spark):
     rows = [(i, [float(2**28 + 32 * i), float(i), 1.0]) for i in range(45)]
     got = found(uniform_topk.top_k(table(spark, rows), query(), k=3))
